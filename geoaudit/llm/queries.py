@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from geoaudit.llm import bpe, sharding, url_filters
+from geoaudit.llm import bpe, decontaminate, jaccard, language, neardup, sharding, toxicity, url_filters
 
 QUERIES = {
+    "op1_embedding_neardup": neardup.op1,
+    "op2_decontamination": decontaminate.op2,
     "op3_bpe": bpe.op3,
+    "op4_ngram_jaccard": jaccard.op4,
     "op5_sharding": sharding.op5,
+    "op6_toxicity": toxicity.op6,
+    "op7_language_id": language.op7,
     "op10_url_filters": url_filters.op10,
 }
 
 ORACLE = {
+    "op6_toxicity": toxicity.op6,
+    "op7_language_id": language.op7,
     "op10_url_filters": url_filters.SQL,
 }
