@@ -19,15 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     It is what ``spark.checkpoint.dir`` of the session names.  Only where that
     is unset (tests, notebooks) a local temporary folder takes its place.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="geoaudit-")
-        _OWNED[named] = spark
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -70,7 +66,7 @@ def dematerialise(df: DataFrame) -> None:
 def _tidy() -> None:
     for path, spark in list(_OWNED.items()):
         try:
-            drop_folder(spark, path.rsplit("/", 1)[0] if "/geoaudit-" in path and not path.startswith("file:///tmp/geoaudit-") else path)
+            drop_folder(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already; the folder is then left to the cluster
             return
 
