@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoaudit.llm import bpe, decontaminate, jaccard, language, neardup, sharding, toxicity, url_filters
+from geoaudit.llm import bpe, decontaminate, jaccard, language, licenses, neardup, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1,
@@ -12,10 +12,13 @@ QUERIES = {
     "op5_sharding": sharding.op5,
     "op6_toxicity": toxicity.op6,
     "op7_language_id": language.op7,
+    "op8_warc": warc.op8,
+    "op9_licenses": licenses.op9,
     "op10_url_filters": url_filters.op10,
 }
 
 ORACLE = {
+    "op8_warc": warc.SQL,
     "op6_toxicity": toxicity.op6,
     "op7_language_id": language.op7,
     "op10_url_filters": url_filters.SQL,
