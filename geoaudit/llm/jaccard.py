@@ -13,11 +13,13 @@ the result is exact.
    are connected already are passed over.  This settles dense groups cheaply; it
    need not be complete.
 3. To be complete, every class sends its prefix: in an order that puts frequent
-   shingles last, its first ``n - ceil(0.8 n) + 1`` shingles, of which linked
-   sets share at least one.  Shingles whose classes all lie in one component so
-   far say nothing new and drop out.  The classes of each other shingle are put
-   into trees (in blocks, all pairs of blocks, when they are many), traversed
-   two at a time, and what remains is verified.
+   shingles last, its first ``n - ceil(0.8 n) + k`` shingles, of which linked sets
+   share at least the lesser k (k is one and a twentieth of the set's size).  Shingles whose classes all lie in one component so
+   far say nothing new and drop out.  The classes of each other shingle, if they
+   are more than a few, are put into trees (in blocks, all pairs of blocks, when
+   they are many) and traversed two at a time; the pairs of few are counted over
+   all shingles and need k.  What remains is tested with wider bitmaps and then
+   verified on the whole sets.
 4. All links found, and each class's members, go through connected components.
 
 A signature tree's nodes hold the OR of the bitmaps below them, their range of
@@ -45,9 +47,13 @@ from geoaudit.llm._words import mix, shingle_sets
 from geoaudit.llm.components import components
 from geoaudit.session import dematerialise, materialise, table
 
+#: Bits of the bitmaps in trees; of a long text's own bitmap at most.
 BITS = 2048
+MOST_BITS = 1 << 16
 KEYS = 2
 BLOCK = 256
+#: Groups up to this size are paired directly: a tree of them would be its leaves.
+SMALL = 32
 FAN = 8
 SKETCH = 1 << 20
 SKETCH_PART = 1 << 16
@@ -138,15 +144,24 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    held = np.zeros(BITS, bool)
-    held[(s & _U(BITS - 1)).astype(np.int64)] = True
+def _bitmap(s: np.ndarray, most: int = BITS) -> bytes:
+    """One bit per shingle: in BITS bits, or in up to ``most`` for a set that would fill them."""
+    width = min(max(BITS, 1 << (4 * len(s) - 1).bit_length()), most)
+    held = np.zeros(width, bool)
+    held[(s & _U(width - 1)).astype(np.int64)] = True
     return np.packbits(held).tobytes()
 
 
+def _fold(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap at a smaller width, in bytes: the OR of its equal pieces."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), 0)
+
+
 def bitmaps(column: pa.Array) -> np.ndarray:
-    """A column of bitmaps as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+    """A column of bitmaps, folded to BITS, as rows of 64-bit words."""
+    size = BITS // 8
+    raw = [x if len(x) == size else _fold(x, size).tobytes() for x in column.to_pylist()]
+    return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), BITS // 64)
 
 
 FEATURES = "id long, n long, fp_a long, fp_b long, keys array<long>, bits binary, part int, counts binary"
@@ -175,7 +190,7 @@ def features(df: DataFrame, k: int) -> DataFrame:
                 out["fp_a"].append(_long(np.bitwise_xor.reduce(mix(s))))
                 out["fp_b"].append(_long(s.sum(dtype=np.uint64)))
                 out["keys"].append([_long(mix(s ^ seed).min()) for seed in _SEEDS])
-                out["bits"].append(_bitmap(s))
+                out["bits"].append(_bitmap(s, MOST_BITS))
                 pending.append(s)
                 waiting += len(s)
                 if waiting > SKETCH:
@@ -281,6 +296,11 @@ def near_in_blocks(members: DataFrame, k: int, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def shared_least(n: int | np.ndarray) -> int | np.ndarray:
+    """How many shingles of their prefixes linked sets share at least, by the lesser size."""
+    return 1 + n // 20
+
+
 def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
     """``(token, fp)``: the prefix of each set, once per task for sets that are equal."""
     shared = df.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes whatever the input
@@ -299,7 +319,7 @@ def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFr
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                p = n - -(-percent * n // 100) + 1
+                p = n - -(-percent * n // 100) + shared_least(n)
                 order = kinds[_slot(s)].astype(np.uint64) << _U(58) | mix(s) >> _U(6)
                 tokens.append(s[np.argpartition(order, p - 1)[:p]] if p < n else s)
                 owners.append(fp)
@@ -366,6 +386,53 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share enough shingles within groups of up to SMALL rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("token", "id", "n", "comp")], 1)])
+            cut = int(np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))[-1])
+            held, x = x[cut:], x[:cut]
+            yield pairs(x)
+        yield pairs(held)
+
+    def pairs(x: np.ndarray) -> pa.RecordBatch:
+        found = [np.zeros((0, 3), np.int64)]
+        for d in range(1, min(SMALL, len(x))):
+            y, z = x[:-d], x[d:]
+            ok = (y[:, 0] == z[:, 0]) & (y[:, 3] != z[:, 3]) & (100 * y[:, 2] >= percent * z[:, 2]) & (100 * z[:, 2] >= percent * y[:, 2])
+            y, z = y[ok], z[ok]
+            found.append(np.stack([np.minimum(y[:, 1], z[:, 1]), np.maximum(y[:, 1], z[:, 1]), shared_least(np.minimum(y[:, 2], z[:, 2]))], 1))
+        once, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(once[:, k]) for k in range(3)), pa.array(times, pa.int64())], names=["a", "b", "need", "times"])
+
+    each = members.select("token", "id", "n", "comp").repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, need long, times long")
+    return each.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
+
+
+def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs those whose own bitmaps leave the threshold within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                size = min(len(x), len(y))
+                u, v = _fold(x, size), _fold(y, size)
+                both = int(np.bitwise_count(u & v).sum())
+                loss = min(n - int(np.bitwise_count(u).sum()), m - int(np.bitwise_count(v).sum()))
+                keep.append((100 + percent) * min(both + loss, n, m) >= percent * (n + m))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs those whose whole sets link."""
 
@@ -417,13 +484,16 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     tokens = shared_tokens(prefixes(docs.select("text"), k, percent, classes)).join(owners, "fp").select("token", "id", "n", "comp")
     tokens = materialise(tokens, "tokens")
     open_tokens = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
-    mixed = tokens.join(open_tokens, "token").join(reps.select(F.col("rep").alias("id"), "bits"), "id")
+    mixed = tokens.join(open_tokens, "token")
+    few = small_pairs(mixed.where(F.col("m") <= SMALL), percent)
+    mixed = mixed.where(F.col("m") > SMALL).join(reps.select(F.col("rep").alias("id"), "bits"), "id")
     nb = F.ceil(F.col("m") / (2 * BLOCK)).cast("int")
     mixed = mixed.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id", "token"), F.col("nb")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     mixed = mixed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "bits")
     trees = mixed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = materialise(candidates(trees, percent).distinct(), "pairs")
+    near_enough = few.union(candidates(trees, percent)).distinct()
+    pairs = materialise(promising(near_enough, reps, percent), "pairs")
     late = materialise(verified(pairs, docs, k, percent), "links")
 
     found = components(same.union(near).union(late))
