@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from geoaudit.plans import evaluation
+
+QUERIES = {**evaluation.QUERIES}
+ORACLE = {**evaluation.ORACLE}
