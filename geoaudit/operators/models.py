@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoaudit.functions.ranking import rank_metrics
+from geoaudit.session import materialise
 
 
 def balanced(df: DataFrame, label: str = "y") -> DataFrame:
@@ -35,13 +36,16 @@ def reader(kind: str, seed: int = 42, **params: float) -> list[Estimator]:
     if kind == "boosting":
         return [GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=int(params.get("rounds", 300)), stepSize=params.get("rate", 0.1), maxDepth=int(params.get("depth", 5)), seed=seed)]
     if kind == "logistic":
-        return [StandardScaler(inputCol="x", outputCol="xs", withMean=True), LogisticRegression(featuresCol="xs", labelCol="y", weightCol="weight", regParam=params.get("reg", 1e-3), elasticNetParam=0.0, standardization=False, maxIter=100)]
+        return [StandardScaler(inputCol="x", outputCol="xs", withMean=True), LogisticRegression(featuresCol="xs", labelCol="y", weightCol="weight", regParam=params.get("reg", 1e-3), elasticNetParam=0.0, standardization=False, maxIter=int(params.get("iterations", 100)))]
     raise ValueError(kind)
 
 
 def fit(train: DataFrame, features: list[str], stages: list[Estimator]) -> object:
     """A pipeline fitted on ``train`` with class-balancing weights."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip"), *stages]).fit(balanced(train))
+    rows = balanced(train).persist()  # estimators pass over their rows many times; lost blocks are computed again
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip"), *stages]).fit(rows)
+    rows.unpersist()
+    return model
 
 
 def scores(model: object, df: DataFrame, name: str = "score") -> DataFrame:
@@ -86,7 +90,7 @@ def tuned(df: DataFrame, features: list[str], kind: str, params: list[dict], out
     """
     spark, rows = df.sparkSession, []
     for i in range(outer):
-        train = inner(df.where(F.col("fold") != i).drop("fold"))
+        train = materialise(inner(df.where(F.col("fold") != i).drop("fold")), "train")
         k = train.agg(F.max("fold")).first()[0] + 1
         best, chosen = -1.0, params[0]
         for p in params:

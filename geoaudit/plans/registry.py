@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoaudit.plans import evaluation
+from geoaudit.plans import clusters, evaluation, grids
 
-QUERIES = {**evaluation.QUERIES}
-ORACLE = {**evaluation.ORACLE}
+QUERIES = {**evaluation.QUERIES, **grids.QUERIES, **clusters.QUERIES}
+ORACLE = {**evaluation.ORACLE, **grids.ORACLE, **clusters.ORACLE}
