@@ -53,7 +53,7 @@ MOST_BITS = 1 << 16
 KEYS = 2
 BLOCK = 256
 #: Groups up to this size are paired directly: a tree of them would be its leaves.
-SMALL = 32
+SMALL = 8
 FAN = 8
 SKETCH = 1 << 20
 SKETCH_PART = 1 << 16
@@ -158,14 +158,12 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
 
 
 def bitmaps(column: pa.Array) -> np.ndarray:
-    """A column of bitmaps, folded to BITS, as rows of 64-bit words."""
-    size = BITS // 8
-    raw = [x if len(x) == size else _fold(x, size).tobytes() for x in column.to_pylist()]
-    return np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), BITS // 64)
+    """A column of bitmaps of BITS as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
-FEATURES = "id long, n long, fp_a long, fp_b long, keys array<long>, bits binary, part int, counts binary"
-_ARROW = {"id": pa.int64(), "n": pa.int64(), "fp_a": pa.int64(), "fp_b": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
+FEATURES = "id long, n long, fp_a long, fp_b long, keys array<long>, bits binary, wide binary, part int, counts binary"
+_ARROW = {"id": pa.int64(), "n": pa.int64(), "fp_a": pa.int64(), "fp_b": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "wide": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
 
 
 def _long(x: np.ndarray | int) -> int:
@@ -179,18 +177,19 @@ def features(df: DataFrame, k: int) -> DataFrame:
         sketch = np.zeros(SKETCH, np.uint32)
         for b in batches:
             ids = b.column("id")
-            out: dict[str, list] = {c: [] for c in ("n", "fp_a", "fp_b", "keys", "bits")}
+            out: dict[str, list] = {c: [] for c in ("n", "fp_a", "fp_b", "keys", "bits", "wide")}
             pending, waiting = [], 0
             for s in shingle_sets(b.column("text"), k):
                 out["n"].append(len(s))
                 if not len(s):
-                    for c in ("fp_a", "fp_b", "keys", "bits"):
+                    for c in ("fp_a", "fp_b", "keys", "bits", "wide"):
                         out[c].append(None)
                     continue
                 out["fp_a"].append(_long(np.bitwise_xor.reduce(mix(s))))
                 out["fp_b"].append(_long(s.sum(dtype=np.uint64)))
                 out["keys"].append([_long(mix(s ^ seed).min()) for seed in _SEEDS])
-                out["bits"].append(_bitmap(s, MOST_BITS))
+                out["bits"].append(_bitmap(s))
+                out["wide"].append(_bitmap(s, MOST_BITS) if 4 * len(s) > BITS else None)
                 pending.append(s)
                 waiting += len(s)
                 if waiting > SKETCH:
@@ -428,8 +427,8 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 keep.append((100 + percent) * min(both + loss, n, m) >= percent * (n + m))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.coalesce("wide", "bits").alias("bits_a"))
+    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.coalesce("wide", "bits").alias("bits_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -461,7 +460,7 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     filled = rows.where("n > 0 AND id IS NOT NULL")
     classes = frequency_classes(known)
     # equal sets: one class, known by its least id
-    reps = filled.groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    reps = filled.groupBy("fp_a", "fp_b", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     reps = materialise(reps, "classes")
     same = filled.join(reps.select("fp_a", "fp_b", "n", "rep"), ["fp_a", "fp_b", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
