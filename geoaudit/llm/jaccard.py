@@ -55,8 +55,9 @@ BLOCK = 256
 #: Groups up to this size are paired directly: a tree of them would be its leaves.
 SMALL = 8
 FAN = 8
-SKETCH = 1 << 20
-SKETCH_PART = 1 << 16
+#: Counters of the sketch of shingle frequencies, and how many travel together.
+SKETCH = 1 << 24
+SKETCH_PART = 1 << 18
 _SEEDS = mix(np.arange(1, KEYS + 1).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _U = np.uint64
 
@@ -192,14 +193,14 @@ def features(df: DataFrame, k: int) -> DataFrame:
                 out["wide"].append(_bitmap(s, MOST_BITS) if 4 * len(s) > BITS else None)
                 pending.append(s)
                 waiting += len(s)
-                if waiting > SKETCH:
+                if waiting > 1 << 20:
                     _count(sketch, pending)
                     waiting = 0
             _count(sketch, pending)
             made = [ids, *(pa.array(out[c], _ARROW[c]) for c in out), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=list(_ARROW))
         for p in range(SKETCH // SKETCH_PART):
-            counts = sketch[p * SKETCH_PART : (p + 1) * SKETCH_PART]
+            counts = np.minimum(sketch[p * SKETCH_PART : (p + 1) * SKETCH_PART], 255).astype(np.uint8)  # only an order hangs on it
             if counts.any():
                 row = {"part": [p], "counts": [zlib.compress(counts.tobytes(), 1)]}
                 yield pa.RecordBatch.from_arrays([pa.array(row.get(c, [None]), t) for c, t in _ARROW.items()], names=list(_ARROW))
@@ -208,36 +209,38 @@ def features(df: DataFrame, k: int) -> DataFrame:
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> _U(44)).astype(np.int64)
+    return (s >> _U(40)).astype(np.int64)
 
 
 def _count(sketch: np.ndarray, pending: list[np.ndarray]) -> None:
     if pending:
-        sketch += np.bincount(_slot(np.concatenate(pending)), minlength=SKETCH).astype(np.uint32)
+        np.add.at(sketch, _slot(np.concatenate(pending)), 1)
         pending.clear()
 
 
-def frequency_classes(parts: DataFrame) -> np.ndarray:
-    """How frequent each slot of the sketch is, in powers of two above the mean; SKETCH small numbers.
+def frequency_classes(known: DataFrame) -> np.ndarray:
+    """How frequent each slot of the sketch is, in powers of two above the mean; SKETCH bytes.
 
-    Parts of the sketch are summed where they lie after one shuffle of
-    fixed-size pieces; the driver gets one fixed-size array.
+    Parts of the sketch are summed where they lie after one shuffle of pieces of
+    bounded size; the driver gets one array of fixed size.
     """
+    shingles = known.where("part IS NULL").agg(F.sum("n")).first()[0] or 0
+    mean = max(shingles / SKETCH, 1.0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for p, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held[p] = held.get(p, 0) + np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint32).astype(np.int64)
+                held[p] = held.get(p, 0) + np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).astype(np.int64)
         for p, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+            kind = np.log2(np.maximum(total / mean, 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([kind.tobytes()], pa.binary())], names=["part", "kinds"])
 
-    total = np.zeros(SKETCH, np.int64)
-    summed = parts.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary")
+    kinds = np.zeros(SKETCH, np.uint8)
+    summed = known.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(add, "part int, kinds binary")
     for r in summed.toLocalIterator():
-        total[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], np.int64)
-    ratio = total / max(total.mean(), 1.0)
-    return np.clip(np.log2(np.maximum(ratio, 1)), 0, 30).astype(np.uint8)
+        kinds[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["kinds"], np.uint8)
+    return kinds
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
