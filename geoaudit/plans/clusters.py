@@ -167,7 +167,7 @@ def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tuned_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested selection of the penalty of a logistic reader."""
     inner = lambda t: t.join(F.broadcast(folds.group_folds(t.groupBy("block").agg(F.count(F.lit(1)).alias("n")), 2, "block")), "block")
-    return models.tuned(_points(spark, sf_dir), ["v", "q", "d"], "logistic", list(models.grid(reg=[0.001, 0.1], iterations=[20])), 3, inner)
+    return models.tuned(_points(spark, sf_dir), ["v", "q", "d"], "logistic", list(models.grid(reg=[0.001, 0.1], iterations=[8])), 2, inner)
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
