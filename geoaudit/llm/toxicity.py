@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,17 +113,20 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     nothing = Machine(-40.0 if not len(y) or not y.any() else 40.0, np.zeros(1), np.zeros((1, FACTORS)), np.full(BUCKETS, -1, np.int32))
     if not len(y) or y.min() == y.max():
         return nothing
-    lists = [np.asarray(x, np.int64) for x in sample.column("buckets").to_pylist()]
-    size = np.array([len(x) for x in lists])
-    flat = np.concatenate(lists) if size.sum() else np.zeros(0, np.int64)
-    weight = np.repeat(y, size)
-    ones, total, share = np.bincount(flat, weight, BUCKETS), np.bincount(flat, minlength=BUCKETS), y.mean()
+    # the sample stays in Arrow's own arrays; nothing is made for a single term
+    buckets = sample.column("buckets").combine_chunks()
+    size = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+    flat = buckets.flatten().to_numpy()
+    ones, total, share = np.bincount(flat[np.repeat(y > 0, size)], minlength=BUCKETS), np.bincount(flat, minlength=BUCKETS), y.mean()
     z = (ones - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (total >= 3))
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_TERMS]])
     index = np.full(BUCKETS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    lists = [index[x][index[x] >= 0] for x in lists]
+    term = index[flat]
+    known = term >= 0
+    stop = np.append(0, np.cumsum(known))[np.cumsum(size)[:-1]]
+    lists = np.split(term[known], stop)
     m = max(1, len(chosen))
     draw = np.random.Generator(np.random.Philox(seed))
     w, v, bias = np.zeros(m), draw.normal(0, 0.02, (m, FACTORS)), float(np.log(share / (1 - share)))
