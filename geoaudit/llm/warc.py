@@ -1,12 +1,13 @@
 """WARC archives with a two-level capture index.
 
-Captures are sorted by their reversed-host URL key and written, a partition at a
-time, as WARC files of one gzip member per record.  Beside each lies its index:
-the capture lines in compressed blocks of ``BLOCK`` lines, and a sparse directory
-with the first key of every block.  The list of parts (one row per partition) is
-the level above.  A lookup binary-searches the list for the part, the part's
-directory for the block, and the block for the line, and reads only those byte
-ranges, and then the record's.
+Records are written, a partition at a time, as WARC files of one gzip member per
+record.  Their captures (key, file, byte range) are sorted by reversed-host URL
+key into index files: compressed blocks of ``BLOCK`` lines, and a sparse directory
+with the first key of every block.  The list of index parts (one row per
+partition) is the level above.  A lookup binary-searches the list for the part,
+the part's directory for the block, and the block for the line, and reads only
+those byte ranges; bulk reads then go through each WARC file in order of offset.
+Payloads are exchanged once, with the join that finds equal ones.
 
 Files go into the shared folder under a name of the attempt that writes them; the
 list of parts names those of the attempts that succeeded, so a lost executor or a
@@ -44,6 +45,8 @@ from geoaudit.session import materialise, new_folder, table
 
 #: Lines in an index block.
 BLOCK = 512
+#: Bytes of a WARC file that one task reads in a row.
+RANGE = 1 << 20
 NO_ID = -(1 << 63)
 #: Fixed value: the profile of revisits with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,12 +103,12 @@ def parse(raw: bytes) -> dict:
     }
 
 
-PARTS = "first_key string, first_id long, warc string, index string, directory_at long, directory_size long, captures long"
-_PARTS = {"first_key": pa.string(), "first_id": pa.int64(), "warc": pa.string(), "index": pa.string(), "directory_at": pa.int64(), "directory_size": pa.int64(), "captures": pa.int64()}
+WRITTEN = "key string, id long, warc string, at long, size long"
+PARTS = "first_key string, first_id long, index string, directory_at long, directory_size long, captures long"
 
 
 def write_archive(df: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Write every row as a record below ``folder``; returns the list of parts, in key order.
+    """Write every row as a record below ``folder``; returns the list of index parts.
 
     ``folder`` is a URI that all executors reach (a file system that Arrow knows).
     """
@@ -116,49 +119,60 @@ def write_archive(df: DataFrame, folder: str, id: str = "page_id", url: str = "u
     # one row per payload that several captures have; combined before the shuffle
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.coalesce(F.min(ids), F.lit(NO_ID)).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("sha", "first")
     known = rows.join(firsts, "sha", "left").select("id", "url", "payload", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"), url_key(F.col("url")).alias("key"))
-    placed = known.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        name = uuid.uuid4().hex
-        warc = None
-        at, lines, blocks, index_at = 0, [], [], 0
-        total, first = 0, None
-
-        def flush() -> None:
-            nonlocal index_at, lines
-            if lines:
-                block = zlib.compress("\n".join(lines).encode(), 6)
-                index.write(block)
-                key, i = lines[0].split("\t")[:2]
-                blocks.append(f"{key}\t{i}\t{index_at}\t{len(block)}")
-                index_at += len(block)
-                lines = []
-
+        name, warc, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
-            for i, u, p, r, k in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to", "key")), strict=True):
+            places, sizes = [], []
+            for i, u, p, r in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to")), strict=True):
                 if warc is None:
                     store.create_dir(base, recursive=True)
-                    warc, index = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None), store.open_output_stream(f"{base}/{name}.cdx", compression=None)
-                first = first or (k, i)
+                    warc = store.open_output_stream(f"{base}/{name}", compression=None)
                 member = gzip.compress(record(u, i, p, r, b32encode(hashlib.sha1(p).digest()).decode()), 6, mtime=0)
                 warc.write(member)
-                lines.append(f"{k}\t{i}\t{at}\t{len(member)}")
+                places.append(at)
+                sizes.append(len(member))
                 at += len(member)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array([name] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "id", "warc", "at", "size"])
+        if warc is not None:
+            warc.close()
+
+    # the rows name the files of the attempts that succeeded
+    captures = materialise(known.mapInArrow(write_records, WRITTEN), "captures")
+
+    def write_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        name, index, at, total, lines, blocks = f"{uuid.uuid4().hex}.cdx", None, 0, 0, [], []
+
+        def flush() -> None:
+            nonlocal at, lines
+            block = zlib.compress("\n".join(lines).encode(), 6)
+            index.write(block)
+            blocks.append("\t".join([*lines[0].split("\t")[:2], str(at), str(len(block))]))
+            at += len(block)
+            lines = []
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "warc", "at", "size")), strict=True):
+                index = index or store.open_output_stream(f"{base}/{name}", compression=None)
+                lines.append("\t".join(map(str, row)))
                 total += 1
                 if len(lines) == BLOCK:
                     flush()
-        if warc is None:
+        if index is None:
             return
-        flush()
+        if lines:
+            flush()
         directory = zlib.compress("\n".join(blocks).encode(), 6)
         index.write(directory)
-        warc.close()
         index.close()
-        row = [first[0], first[1], f"{name}.warc.gz", f"{name}.cdx", index_at, len(directory), total]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _PARTS.values(), strict=True)], names=list(_PARTS))
+        key, i = blocks[0].split("\t")[:2]
+        row = {"first_key": key, "first_id": int(i), "index": name, "directory_at": at, "directory_size": len(directory), "captures": total}
+        yield pa.RecordBatch.from_pylist([row])
 
-    return materialise(placed.mapInArrow(run, PARTS), "parts")
+    ordered = captures.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    return materialise(ordered.mapInArrow(write_index, PARTS), "parts")
 
 
 class Index:
@@ -184,7 +198,7 @@ class Index:
 
     def _lines(self, name: str, at: int, size: int) -> tuple[list, list]:
         def make() -> tuple[list, list]:
-            rows = [(k, int(i), int(x), int(n)) for k, i, x, n in (r.split("\t") for r in zlib.decompress(self.ranged(name, at, size)).decode().split("\n"))]
+            rows = [(k, int(i), *x) for k, i, *x in (r.split("\t") for r in zlib.decompress(self.ranged(name, at, size)).decode().split("\n"))]
             return rows, [r[:2] for r in rows]
 
         return self._kept((name, at), make)
@@ -194,14 +208,14 @@ class Index:
         want = (key, NO_ID if id is None else id)
         part = max(0, bisect.bisect_left(self.firsts, want) - 1)
         while part < len(self.parts) and self.firsts[part][0] <= key:
-            _, _, warc, index, at, size, _ = self.parts[part]
+            _, _, index, at, size, _ = self.parts[part]
             blocks, firsts = self._lines(index, at, size)
             block = max(0, bisect.bisect_left(firsts, want) - 1)
             while block < len(blocks) and firsts[block][0] <= key:
-                lines, keys = self._lines(index, *blocks[block][2:])
+                lines, keys = self._lines(index, *map(int, blocks[block][2:]))
                 line = bisect.bisect_left(keys, want)
                 while line < len(lines) and lines[line][0] == key and (id is None or lines[line][1] == id):
-                    yield warc, *lines[line][2:]
+                    yield lines[line][2], int(lines[line][3]), int(lines[line][4])
                     line += 1
                 if line < len(lines):
                     return
@@ -221,23 +235,31 @@ def read_captures(asked: DataFrame, folder: str, parts: DataFrame, id: str = "pa
     shared = asked.sparkSession.sparkContext.broadcast(rows)
     keyed = asked.select(url_key(F.col(url)).alias("key"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, shared.value)
+        for b in batches:
+            found = [place for k, i in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), strict=True) for place in index.find(k, i)]
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["warc", "at", "size"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(folder, [])
+        columns = {"id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "digest": pa.string(), "type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 g = b.slice(s, 512)
                 out = []
-                for k, i in zip(g.column("key").to_pylist(), g.column("id").to_pylist(), strict=True):
-                    for place in index.find(k, i):
-                        x = parse(gzip.decompress(index.ranged(*place)))
-                        if x["payload"] is not None and b32encode(hashlib.sha1(x["payload"]).digest()).decode() != x["digest"]:
-                            raise ValueError(f"digest of capture {x['id']} does not match")
-                        out.append(x)
-                columns = {"id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "digest": pa.string(), "type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+                for place in zip(*(g.column(c).to_pylist() for c in ("warc", "at", "size")), strict=True):
+                    x = parse(gzip.decompress(index.ranged(*place)))
+                    if x["payload"] is not None and b32encode(hashlib.sha1(x["payload"]).digest()).decode() != x["digest"]:
+                        raise ValueError(f"digest of capture {x['id']} does not match")
+                    out.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] if c != "payload" or payload else None for x in out], t) for c, t in columns.items()], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    # the key's order makes neighbouring lookups share blocks and files
-    return keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(run, CAPTURE)
+    # in key order neighbouring lookups share index blocks; in offset order reads share files
+    places = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(look_up, "warc string, at long, size long")
+    tasks = max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return places.repartition(tasks, "warc", F.floor(F.col("at") / RANGE)).sortWithinPartitions("warc", "at").mapInArrow(read, CAPTURE)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
