@@ -12,6 +12,7 @@ def test_registered():
     assert "pipeline" in __spark_entry__.queries()
     assert len([k for k in __spark_entry__.queries() if k.startswith("op")]) == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
 
 
 def test_pipeline(spark):
