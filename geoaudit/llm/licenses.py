@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoaudit.llm._words import ALNUM, Words, words
-from geoaudit.session import table
+from geoaudit.session import materialise, table
 
 #: Least cosine of a licence.
 LEAST = 0.6
@@ -200,7 +200,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     it lies in, or for one or two above when d mod 3 is 1 or 2.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = scan(docs).drop("text")
+    found = materialise(scan(docs).drop("text"), "licences")  # read three times below, scanned once
     place = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 64).cast("string")]
     up = F.when(F.col("own_license").isNull(), 0).otherwise(F.col("doc_id") % 3).cast("int")
     path = F.concat_ws("/", F.array_join(F.slice(F.array(*place), F.lit(1), 3 - up), "/"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
