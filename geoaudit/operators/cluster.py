@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from geoaudit.operators import blocks
 
 
 def signatures(df: DataFrame, cluster: str, values: list[str], k: int) -> DataFrame:
@@ -104,19 +110,40 @@ def internal_quality(df: DataFrame, cluster: str, values: list[str]) -> DataFram
     return worst.agg(F.avg("w").alias("davies_bouldin")).crossJoin(ch)
 
 
-def silhouette(sample: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    """One row ``(n, silhouette)``: exact Euclidean silhouette of a bounded sample.
+def silhouette(points: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    """One row ``(n, silhouette)``: exact Euclidean silhouette over all points.
 
-    Every point of the sample meets all points in blocks: the sample's size is
-    the caller's bound; a point's distances are summed by cluster before the
-    shuffle.
+    Every block of points meets every block; a point's distances are summed by
+    cluster within a pair of blocks, so a pair gives one row per point and
+    cluster.  The comparisons grow with the square of the rows.  The only point of
+    a cluster counts 0; ids are unique.
     """
-    dist = lambda u, v: F.sqrt(F.aggregate(F.zip_with(u, v, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    l = sample.select(F.col(key).alias("i"), F.col(cluster).alias("ci"), F.col(vector).alias("vi"))
-    r = sample.select(F.col(key).alias("j"), F.col(cluster).alias("cj"), F.col(vector).alias("vj"))
-    means = l.join(r, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(dist(F.col("vi"), F.col("vj"))).alias("d"))
+
+    def run(g: pa.Table) -> pa.Table:
+        l, x, r, y = blocks.sides(g)
+        kinds = g.column("label").combine_chunks().unique()
+        mine, theirs = (pc.index_in(t.column("label"), kinds).to_numpy(zero_copy_only=False) for t in (l, r))
+        member = (theirs[:, None] == np.arange(len(kinds))[None, :]).astype(np.float64)
+        total = np.zeros((len(x), len(kinds)))
+        for lo in range(0, len(x) if len(y) else 0, blocks.ROWS):
+            part = x[lo : lo + blocks.ROWS]
+            d, slack = blocks.squared(part, y)
+            a, b = np.nonzero(d <= 1e4 * slack[:, None])  # copies and the like: by differences
+            d[a, b] = blocks.exact(part, y, a, b)
+            total[lo : lo + blocks.ROWS] = np.sqrt(d, out=d) @ member
+        m = np.tile(member.sum(0).astype(np.int64), (len(x), 1))
+        if g.column("i")[0] == g.column("j")[0]:
+            m[np.arange(len(x)), mine] -= 1  # the point itself, at distance 0
+        a, c = np.nonzero(m)
+        return pa.table({"i": l.column("id").take(pa.array(a)), "ci": l.column("label").take(pa.array(a)), "cj": kinds.take(pa.array(c)), "d": total[a, c], "m": m[a, c]})
+
+    kept = points.select(F.col(key).alias("i"), F.col(cluster).alias("c")).schema
+    shape = T.StructType([kept["i"], T.StructField("ci", kept["c"].dataType), T.StructField("cj", kept["c"].dataType), T.StructField("d", T.DoubleType()), T.StructField("m", T.LongType())])
+    points = points.where(F.col(cluster).isNotNull())
+    sums = blocks.paired(points, points, key, vector, cluster).groupBy("i", "j", "dim").applyInArrow(run, shape)
+    means = sums.groupBy("i", "ci", "cj").agg((F.sum("d") / F.sum("m")).alias("d"))
     per = means.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    s = F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
@@ -154,13 +181,33 @@ def linked_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> D
 def nearest_label(points: DataFrame, known: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """Label of each point by majority of its k nearest known vectors (ties: the least label).
 
-    ``known`` is a bounded sample; candidates are cut to k within cells of it
-    first, so that no point's candidates are gathered whole.
+    Blocks of points meet blocks of known vectors and keep k candidates a point
+    (ties: the least id); a known vector with the point's own id is not asked.
+    Distances are compared at 12 decimals.
     """
-    dist = F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    l = points.select(F.col(key).alias("i"), F.col(vector).alias("vi"))
-    r = known.select(F.col(key).alias("j"), F.col(vector).alias("vj"), F.col(label).alias("lj"))
-    x = l.crossJoin(F.broadcast(r)).select("i", "j", "lj", F.round(dist, 12).alias("d"))  # the stated queries against a bounded sample
+
+    def run(g: pa.Table) -> pa.Table:
+        l, x, r, y = blocks.sides(g)
+        ids, others = (t.column("id").to_numpy() for t in (l, r))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo in range(0, len(x) if len(y) else 0, blocks.ROWS):
+            part = x[lo : lo + blocks.ROWS]
+            d, slack = blocks.squared(part, y)
+            d[ids[lo : lo + blocks.ROWS][:, None] == others[None, :]] = np.inf
+            top = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            a, b = np.nonzero((d <= (top + 2 * slack + 2e-12)[:, None]) & np.isfinite(d))
+            e = np.round(blocks.exact(part, y, a, b), 12)
+            order = np.lexsort((others[b], e, a))
+            a, b, e = a[order], b[order], e[order]
+            first = np.searchsorted(a, a)
+            near = np.arange(len(a)) - first < k
+            found.append((a[near] + lo, b[near], e[near]))
+        a, b, e = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({"i": l.column("id").take(pa.array(a)), "j": r.column("id").take(pa.array(b)), "lj": r.column("label").take(pa.array(b)), "d": e})
+
+    kept = known.select(F.col(key).alias("i"), F.col(key).alias("j"), F.col(label).alias("lj")).schema
+    asked = points.select(key, vector, F.lit(None).cast(known.schema[label].dataType).alias(label))
+    x = blocks.paired(asked, known.where(F.col(label).isNotNull()), key, vector, label).groupBy("i", "j", "dim").applyInArrow(run, T.StructType([*kept, T.StructField("d", T.DoubleType())]))
     near = x.withColumn("__r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("__r") <= k)
     votes = near.groupBy("i", "lj").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("lj")).alias("l"))).alias("m")).select(F.col("i").alias(key), (-F.col("m.l")).alias(label))

@@ -54,9 +54,8 @@ def internal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact silhouette of the labels of a bounded sample of 300 vectors."""
-    x = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(300)
-    return rounded(cluster.silhouette(x, "vec_id", "label", "embedding"), 5)
+    """Exact silhouette of the labels of all vectors."""
+    return rounded(cluster.silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), 5)
 
 
 def cosine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +75,9 @@ def correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label by the five nearest of a bounded set of known vectors, against the true one."""
-    x = table(spark, sf_dir, "embeddings").where("vec_id < 500")
-    known, asked = x.where("vec_id % 4 <> 0"), x.where("vec_id % 4 = 0")
-    return cluster.nearest_label(asked, known, 5, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("bigint"))
+    """Label of every vector by the five nearest of all others."""
+    x = table(spark, sf_dir, "embeddings")
+    return cluster.nearest_label(x, x, 5, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("bigint"))
 
 
 def morphotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
