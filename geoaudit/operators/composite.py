@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaudit.functions.ranking import running_totals
+
 
 def offset_of(baseline: Column) -> Column:
     """Radiometric offset of a processing baseline: 1000 from 4.0 on; unreadable ones have none."""
@@ -46,6 +48,14 @@ def merged(parts: DataFrame, by: list[str] = ("band", "cell")) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("total").alias("__t"), F.sum("n").alias("n")).select(*by, F.when(F.col("n") > 0, F.col("__t") / F.col("n")).alias("mean"), "n")
 
 
-def batches(df: DataFrame, k: int, order: str) -> DataFrame:
-    """Append ``batch``: k contiguous runs of almost equal length (the first ones longer)."""
-    return df.withColumn("batch", F.ntile(k).over(Window.orderBy(order)).cast("bigint") - 1)
+def batches(df: DataFrame, k: int, order: str, by: list[str] = ()) -> DataFrame:
+    """Append ``batch``: k contiguous runs of almost equal length (the first ones longer), per group.
+
+    Rows are numbered within ranges of ``order`` after the rows of the ranges
+    before, so that no group is ordered in one task; ``order`` is a number.
+    """
+    x = running_totals(df.withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0))).withColumn("__k", F.lit(1).cast("bigint")), ["__g"], order, ["__k"])
+    size, longer = F.floor(F.col("__k_all") / k), F.col("__k_all") % k
+    at = F.col("__k_before")
+    early, late = F.floor(at / (size + 1)), longer + F.floor((at - longer * (size + 1)) / F.greatest(size, F.lit(1)))
+    return x.withColumn("batch", F.when(at < longer * (size + 1), early).otherwise(late).cast("bigint")).select(*df.columns, "batch")

@@ -79,13 +79,13 @@ def constrained_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semivariance of quantities by lag."""
-    x = views.cells(spark, sf_dir).withColumn("id", F.col("r") * WIDTH + F.col("c")).where("id % 3 = 0")
+    x = views.cells(spark, sf_dir).withColumn("id", F.col("r") * WIDTH + F.col("c"))
     return rounded(variogram.semivariance(x, "id", "q", EDGES), 6)
 
 
 def variogram_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spherical model of the same bins over a grid of ranges."""
-    x = views.cells(spark, sf_dir).withColumn("id", F.col("r") * WIDTH + F.col("c")).where("id % 3 = 0")
+    x = views.cells(spark, sf_dir).withColumn("id", F.col("r") * WIDTH + F.col("c"))
     return rounded(variogram.fit(variogram.semivariance(x, "id", "q", EDGES), [2.0, 3.0, 4.0, 5.0, 6.0]), 4)
 
 
@@ -117,9 +117,9 @@ def merged_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of seven contiguous batches of a tile's scenes."""
-    x = composite.batches(views.scenes(spark, sf_dir).where("tile = 3"), 7, "scene_id")
-    return x.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first_scene"), F.max("scene_id").alias("last_scene"))
+    """Sizes of seven contiguous batches of each tile's scenes."""
+    x = composite.batches(views.scenes(spark, sf_dir), 7, "scene_id", ["tile"])
+    return x.groupBy("tile", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first_scene"), F.max("scene_id").alias("last_scene"))
 
 
 def streamed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes one-hot by those of the training rows; unseen ones are all 0."""
-    x = views.inventory(spark, sf_dir).where("id < 2000").withColumn("kind", F.when(F.col("id") % 50 == 0, F.lit("rare")).otherwise(F.col("type")))
+    x = views.inventory(spark, sf_dir).withColumn("kind", F.when(F.col("id") % 50 == 0, F.lit("rare")).otherwise(F.col("type")))
     y = features.one_hot_fitted(x, F.col("id") % 50 != 0, "kind")
     return y.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_join(F.transform("one_hot", lambda v: v.cast("int").cast("string")), "")).alias("code"))
 
