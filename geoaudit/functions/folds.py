@@ -57,12 +57,17 @@ def stratified_group_folds(groups: DataFrame, k: int, group: str = "grp", pos: s
 def stratified_folds(df: DataFrame, k: int, label: str, key: str, seed: int = 42) -> DataFrame:
     """Append ``fold``: rows of each class, in the order of a portable hash, dealt out in turn.
 
-    The turn of a row is its rank within a bucket of its class, so that no class
-    is ordered in one task; bucket sizes differ, and so do fold sizes, by little.
+    The turn of a row is its rank in its class: that in a bucket of the class by
+    the hash's first byte, after the rows of the buckets before.  So no class is
+    ordered in one task, and a class's folds differ by one row at most.
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    w = Window.partitionBy(label, F.substring(h, 1, 2)).orderBy(h, key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("bigint"))
+    x = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__b", F.substring("__h", 1, 2))
+    before = Window.partitionBy("__y").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    low = x.groupBy(F.col(label).alias("__y"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    low = low.withColumn("__low", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # 256 rows a class
+    w = Window.partitionBy(label, "__b").orderBy("__h", key)
+    x = x.withColumn("__r", F.row_number().over(w)).join(low, F.col(label).eqNullSafe(F.col("__y")) & (F.col("__b") == F.col("__c")))
+    return x.withColumn("fold", ((F.col("__low") + F.col("__r") - 1) % k).cast("bigint")).drop("__h", "__b", "__y", "__c", "__low", "__r")
 
 
 def fold_or_default(points: DataFrame, folds: DataFrame, block: str, k: int = 5) -> DataFrame:
