@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 from geoaudit.session import table
 
-#: Path prefixes up to so many segments can be listed.
-PATH_DEPTH = 3
-
 
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals ``(list_name, pattern, valid_from, valid_to)``; open ones end null."""
@@ -57,13 +54,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that would list a URL: host suffixes, and the host with path prefixes."""
+def patterns_of(url: Column, depth: int) -> Column:
+    """All patterns that would list a URL: host suffixes, and the host with path prefixes of up to ``depth`` segments."""
     labels = F.split(host_of(url), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     segments = F.filter(F.split(F.lower(path_of(url)), "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(PATH_DEPTH))
-    prefixes = F.when(depth >= 1, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(host_of(url), F.lit("/"), F.concat_ws("/", F.slice(segments, 1, i)))))
+    some = F.least(F.size(segments), F.lit(depth))
+    prefixes = F.when(some >= 1, F.transform(F.sequence(F.lit(1), some), lambda i: F.concat(host_of(url), F.lit("/"), F.concat_ws("/", F.slice(segments, 1, i)))))
     return F.when(host_of(url) != "", F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>")))))
 
 
@@ -75,8 +72,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str, url: str = "u
     ``key`` names a column that tells captures apart; captures that share key,
     URL and fetch time get the same judgement, so they may be looked up once.
     """
+    # no entry is deeper than this: one number, whatever the list's size
+    depth = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     asked = captures.select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.col(fetched).alias("__at"))
-    probe = asked.where(F.col("__at").isNotNull()).select("__key", "__url", "__at", F.explode(patterns_of(F.col("__url"))).alias("__p"))
+    probe = asked.where(F.col("__at").isNotNull()).select("__key", "__url", "__at", F.explode(patterns_of(F.col("__url"), depth)).alias("__p"))
     valid = intervals(entries).select(F.col("pattern").alias("__v"), F.col("list_name").alias("__l"), F.col("valid_from").alias("__f"), F.col("valid_to").alias("__t"))
     on = (F.col("__p") == F.col("__v")) & (F.col("__at") >= F.col("__f")) & (F.col("__t").isNull() | (F.col("__at") < F.col("__t")))
     # repeated captures would be counted once each: distinct (pattern, list, start) per capture
