@@ -3,8 +3,12 @@
 Every whole text is compared with licence templates at three grains: each line,
 each paragraph (lines up to a blank one) and the whole text; so a one-line
 header, a header of several lines and a licence file are all met.  The measure is
-the cosine of sparse TF-IDF vectors of words; inverse document frequencies of the
-templates' words are counted over all texts.
+the cosine of sparse TF-IDF vectors of words; document frequencies are counted over
+all texts, exactly for the templates' words and by a sketch of fixed size for all
+others (the lesser of two hashed counts, so never too low).
+
+A whole text that is close to a template (``WHOLE``) has its licence, even if a
+sentence of it that several licences share is closer to another one's.
 
 A file whose own best cosine reaches ``LEAST`` has that licence.  A file without
 one inherits from the nearest ancestor directory that has a licence file: every
@@ -26,13 +30,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoaudit.llm._words import ALNUM, Words, words
+from geoaudit.llm._words import ALNUM, U, Words, mix, words
 from geoaudit.session import materialise, table
 
 #: Least cosine of a licence.
 LEAST = 0.6
-#: Directories above a file that are looked at.
-DEPTH = 32
+#: Cosine from which a whole text decides.
+WHOLE = 0.8
+#: Counts in each half of the sketch.
+SKETCH = 1 << 19
+#: Wordings that several templates share.
+_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program"
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: Licences and the wordings by which files name them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -54,6 +64,14 @@ TEMPLATES = [
     ("MIT", "Licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0", _GNU.format("GNU Affero General Public License", 3)),
+    ("AGPL-3.0", _GNU.format("GNU Affero General Public License", 3) + " " + _NO_WARRANTY.format("GNU Affero General Public License")),
+    ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0-or-later", _GNU.format("GNU General Public License", 2)),
+    ("GPL-2.0-or-later", _GNU.format("GNU General Public License", 2) + " " + _NO_WARRANTY.format("GNU General Public License")),
+    ("GPL-3.0", _GNU.format("GNU General Public License", 3) + " " + _NO_WARRANTY.format("GNU General Public License")),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
@@ -71,39 +89,58 @@ def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, at, -1)
 
 
-def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """Number of texts, and in how many of them each template word occurs."""
+def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each word in the sketch."""
+    x = mix(h.astype(U))
+    return (x & U(SKETCH - 1)).astype(np.int64), SKETCH + ((x >> U(32)) & U(SKETCH - 1)).astype(np.int64)
+
+
+def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of texts, in how many of them each template word occurs, and a sketch of that for all other words."""
     known = vocabulary()[0]
+    size = len(known) + 2 * SKETCH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known) + 1, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             total[-1] += b.num_rows
             for w in words(b.column(0), ALNUM):
-                n = numbered(w.hashes, known)
-                pairs = np.unique(w.rows[n >= 0] * len(known) + n[n >= 0])
-                total[:-1] += np.bincount(pairs % len(known), minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["word", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row per template word
-    total = np.zeros(len(known) + 1, np.int64)
-    for r in rows:
-        total[r["word"]] = r["n"]
-    return int(total[-1]), total[:-1]
+                # a word of a text once, told by one hash of both
+                _, first = np.unique(mix(w.hashes.astype(U) + mix(w.rows.astype(U) + U(1))), return_index=True)
+                h = w.hashes[first]
+                n = numbered(h, known)
+                np.add.at(total, n[n >= 0], 1)
+                for at in slots(h[n < 0]):
+                    np.add.at(total, len(known) + at, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # of the sketch's fixed size at most
+    total = np.zeros(size, np.int64)
+    total[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
+    return int(total[-1]), total[: len(known)], total[len(known) : -1]
 
 
 class Scanner:
     """Cosines of segments of texts to all templates."""
 
-    def __init__(self, n: int, frequency: np.ndarray):
+    def __init__(self, n: int, frequency: np.ndarray, sketch: np.ndarray | None = None):
         self.known, counts = vocabulary()
         self.idf = np.log((1.0 + n) / (1.0 + frequency)) + 1
-        self.other = float(np.log(1.0 + n) + 1)  # words that no template has count as rare
+        self.n, self.sketch = n, sketch
+        self.other = float(np.log(1.0 + n) + 1)  # words that no text has
         self.templates = np.zeros((len(self.known), len(TEMPLATES)))
         for k, (word, count) in enumerate(counts):
             weight = (1 + np.log(count)) * self.idf[word]
             self.templates[word, k] = weight / np.sqrt((weight**2).sum())
 
+    def rarity(self, h: np.ndarray) -> np.ndarray:
+        """Inverse document frequencies of words that no template has."""
+        if self.sketch is None:
+            return np.full(len(h), self.other)
+        a, b = slots(h)
+        return np.log((1.0 + self.n) / (1.0 + np.minimum(self.sketch[a], self.sketch[b]))) + 1
+
     def cosines(self, w: Words, segment: np.ndarray, n: int) -> np.ndarray:
         """Cosines, segments x templates; ``segment`` numbers that of each word."""
         h = w.hashes
@@ -111,8 +148,11 @@ class Scanner:
         s, h = segment[order], h[order]
         first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (h[1:] != h[:-1]))) if len(s) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(s)))
-        s, number = s[first], numbered(h[first], self.known)
-        weight = (1 + np.log(times)) * np.where(number >= 0, self.idf[number], self.other)
+        s, h = s[first], h[first]
+        number = numbered(h, self.known)
+        weight = self.idf[number]
+        weight[number < 0] = self.rarity(h[number < 0])
+        weight *= 1 + np.log(times)
         norm = np.sqrt(np.bincount(s, weight**2, n))
         hit = number >= 0
         out = np.zeros((n, len(TEMPLATES)))
@@ -142,14 +182,14 @@ class Scanner:
             order = np.lexsort((-value, row))
             first = order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))]
             r, v = row[first], value[first]
-            better = v > top[r] + 1e-9
+            better = (v > top[r] + 1e-9) | ((g == 2) & (v >= WHOLE) & (k[first] != which[r]))
             top[r[better]], which[r[better]], grain[r[better]] = v[better], k[first][better], g
         return top, which, grain
 
 
 def scan(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """Append ``own_license``, ``similarity`` (of the best template) and ``grain`` to every row."""
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(*document_frequencies(docs, text)))  # templates only
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(*document_frequencies(docs, text)))  # of the templates' and the sketch's size
     kept = [c for c in docs.columns if c not in ("own_license", "similarity", "grain")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +221,7 @@ def inherit(files: DataFrame, is_license_file: Column, path: str = "path") -> Da
     spoken = marked.where("__speaks").groupBy(directory(F.col(path)).alias("__dir")).agg(F.min(F.struct(F.col(path).alias("p"), F.col("own_license").alias("l"))).alias("__x")).select("__dir", F.col("__x.l").alias("__license"))
     # ancestors of the distinct directories, not of the files
     parts = F.split("__of", "/")
-    depth = F.when(F.col("__of") == "", 0).otherwise(F.least(F.size(parts), F.lit(DEPTH)))
+    depth = F.when(F.col("__of") == "", 0).otherwise(F.size(parts))
     above = F.transform(F.sequence(F.lit(0), depth), lambda i: F.array_join(F.slice(parts, 1, F.size(parts) - i), "/"))
     above = F.when(F.col("__of") == "", F.array(F.lit(""))).otherwise(above)
     dirs = files.where(F.col(path).isNotNull()).select(directory(F.col(path)).alias("__of")).distinct().select("__of", F.posexplode(above).alias("__up", "__dir"))
