@@ -2,15 +2,19 @@
 
 Texts are taken as the UTF-8 bytes that Arrow already holds side by side, and
 handled a few hundred kilobytes at a time, so that memory does not depend on
-how many rows a batch has.  A word's hash is a polynomial over its bytes, got
-from prefix sums in wrapping 64-bit arithmetic; no Python object is made for
-a word.
+how many rows a batch has.  A word's hash takes in its bytes eight at a time
+through a mixing function that is not linear (polynomials in wrapping arithmetic
+have words, such as the Thue-Morse ones, that collide for every base); words
+longer than ``LONG`` bytes get a keyed digest.  No Python object is made for a
+shorter word.  Different seeds give independent hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +22,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = np.ones(1, U), np.ones(1, U)
+#: Bytes of a word from which on it is digested by itself.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,24 +36,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64."""
-    global _POWERS
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        out = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _POWERS = tuple(out)
-    return _POWERS
-
-
-_FOLD = np.arange(256)
-_FOLD[65:91] += 32
-#: A random-looking value for each byte; A-Z count as a-z.
-FOLDED = mix(_FOLD.astype(U) + U(0x1234567))
+#: By number of bytes: the mask that keeps them, of eight bytes read at once.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; behind the end stand zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each span of ``data``; ``x`` are its eights."""
+    size = ends - starts
+    h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(0x1234567 + seed))
+    live, at, left = slice(None), starts, size
+    while len(at):
+        h[live] = mix(h[live] ^ (x[at] & _KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"%d" % seed)
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+def equal_spans(data: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at places ``a`` and ``b`` are the same; of more than LONG only the first eight are compared."""
+    same = np.ones(len(a), bool)
+    live, left = np.arange(len(a)), size
+    while len(live):
+        same[live] = ((x[a] ^ x[b]) & _KEEP[np.minimum(left, 8)]) == 0
+        more = np.flatnonzero((left > 8) & (left <= LONG) & same[live])
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
+
+
+#: Bytes as words have them: A-Z count as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
 #: Bytes of words: everything but space, tab, LF, VT, FF and CR.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -69,14 +95,16 @@ class Words:
     starts: np.ndarray  # first byte of each word
     ends: np.ndarray  # one past its last byte
     at: np.ndarray  # at[i]:at[i+1] are the words of row first+i
-    sums: np.ndarray  # prefix sums behind the hashes
 
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inverse = powers(len(self.data))[1]
-        h = (self.sums[ends] - self.sums[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    @cached_property
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        folded = FOLDED[self.data]
+        return folded, eights(folded)
 
-    @property
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        return span_hashes(*self._folded, starts, ends, seed)
+
+    @cached_property
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
@@ -133,34 +161,39 @@ def split(part: np.ndarray, bounds: np.ndarray, i: int, j: int, alphabet: np.nda
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum(FOLDED[part] * powers(n)[0][:n], out=sums[1:])
-    return Words(i, j, part, starts, ends, np.searchsorted(starts, bounds), sums)
+    return Words(i, j, part, starts, ends, np.searchsorted(starts, bounds))
+
+
+_STEP = U(0xA24BAED4963EE407 | 1)
+
+
+def rolled(h: np.ndarray, m: int) -> np.ndarray:
+    """One hash for every ``m`` words in a row."""
+    if len(h) < m:
+        return np.zeros(0, U)
+    acc = np.full(len(h) - m + 1, m, U)
+    for p in range(m):
+        acc = acc * _STEP + h[p : len(h) - m + 1 + p]
+    return mix(acc)
 
 
-def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = 5, seed: int = 0) -> Iterator[np.ndarray]:
     """For each text its sorted distinct hashed ``k``-word shingles.
 
     A text of fewer words has one, its whole sequence; one without words none.
     """
-    step = U(0xA24BAED4963EE407 | 1)
     for w in words(texts):
-        h = w.hashes
-        rolled = {}
-        for m in range(1, k + 1):
-            if len(h) >= m:
-                acc = np.full(len(h) - m + 1, m, U)
-                for p in range(m):
-                    acc = acc * step + h[p : len(h) - m + 1 + p]
-                rolled[m] = acc
-        mixed = mix(rolled[k]) if k in rolled else np.zeros(0, U)
-        for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True):
-            if b - a >= k:
-                s = np.sort(mixed[a : b - k + 1])
-                if len(s) > 1:
-                    s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-                yield s
-            elif b > a:
-                yield mix(rolled[b - a][a : a + 1])
-            else:
-                yield np.zeros(0, U)
+        yield from sets_of(w, w.hashes if not seed else w.span_hash(w.starts, w.ends, seed), k)
+
+
+def sets_of(w: Words, h: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The same for the texts of a chunk, from hashes ``h`` of its words."""
+    each = rolled(h, k)
+    for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True):
+        if b - a >= k:
+            s = np.sort(each[a : b - k + 1])
+            if len(s) > 1:
+                s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+            yield s
+        else:
+            yield rolled(h[a:b], b - a) if b > a else np.zeros(0, U)

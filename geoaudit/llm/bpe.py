@@ -24,7 +24,7 @@ import heapq
 import json
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -33,20 +33,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from geoaudit.llm._words import chunks, flat, mix, powers
+from geoaudit.llm._frames import append, col
+from geoaudit.llm._words import LONG, chunks, eights, equal_spans, flat, span_hashes
 from geoaudit.session import table
 
 #: Pieces up to this many bytes are merged by scanning.
 SCAN_LIMIT = 96
-#: Distinct pieces a worker remembers before it starts anew.
-CACHE = 600_000
+#: Distinct pieces that a worker remembers before it starts anew, and bytes of them.
+CACHE = 400_000
+CACHE_BYTES = 1 << 25
 #: Classes of characters: letter, number, plain space, other white space, and 0 for the rest.
 LETTER, NUMBER, BLANK, SPACE = 1, 2, 4, 5
 #: The Unicode White_Space characters but the plain space.
 SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Endings that the pattern splits off together with their apostrophe.
 ENDINGS = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
-_RAW = mix(np.arange(256).astype(np.uint64) + np.uint64(0xC0FFEE))
 
 
 @lru_cache(1)
@@ -131,6 +132,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces, and which one each piece is.
+
+    Pieces are grouped by a hash, and every piece is then compared, byte by byte,
+    with the first of its group; one that differs after all is told by itself.
+    """
+    x = eights(data)
+    hashes = span_hashes(data, x, starts, ends)
+    _, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    first = example[inverse]
+    same = (size == size[first]) & equal_spans(data, x, starts, starts[first], np.minimum(size, size[first]))
+    raw = data.tobytes()
+    found = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+    for i in np.flatnonzero(size > LONG).tolist():
+        same[i] &= raw[starts[i] : ends[i]] == found[inverse[i]]
+    if not same.all():
+        number = {p: k for k, p in enumerate(found)}
+        for i in np.flatnonzero(~same).tolist():
+            inverse[i] = number.setdefault(raw[starts[i] : ends[i]], len(number))
+        found = list(number)
+    return found, inverse
+
+
 class Vocabulary:
     """Token ids, merge ranks and special tokens of a byte-level BPE file."""
 
@@ -160,8 +185,9 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the cache: slots by piece hash; ids of all slots, and where each slot's are."""
-        self.slots: dict[int, int] = {}
+        """Empty the cache: slots by piece; ids of all slots, and where each slot's are."""
+        self.slots: dict[bytes, int] = {}
+        self.held = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
@@ -240,7 +266,7 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
         return [p for p in part if p >= 0]
 
-    def learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Put the ids of pieces into the cache, short ones by groups of like length."""
         found: list = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
@@ -263,7 +289,8 @@ class Vocabulary:
         self.at[first:last] = self.used + np.cumsum(size) - size
         self.count[first:last] = size
         self.used = used
-        self.slots.update(zip(hashes, range(first, last), strict=True))
+        self.slots.update(zip(pieces, range(first, last), strict=True))
+        self.held += sum(map(len, pieces))
 
     def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, and how many each has."""
@@ -271,21 +298,14 @@ class Vocabulary:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        forward, back = powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_RAW[data] * forward[: len(data)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-        unique, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        slots = [self.slots.get(k) for k in keys]
-        if new := [i for i, x in enumerate(slots) if x is None]:
-            if len(self.slots) + len(new) > CACHE:
+        pieces, inverse = distinct_pieces(data, starts, ends)
+        slots = [self.slots.get(p) for p in pieces]
+        if new := [p for p, x in zip(pieces, slots, strict=True) if x is None]:
+            if len(self.slots) + len(new) > CACHE or self.held > CACHE_BYTES:
                 self.forget()
-                new = range(len(keys))
-            raw = data.tobytes()
-            spans = zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)
-            self.learn([keys[i] for i in new], [raw[x:y] for x, y in spans])
-            slots = [self.slots[k] for k in keys]
+                new = pieces
+            self.learn(new)
+            slots = [self.slots[p] for p in pieces]
         slot = np.array(slots)[inverse]
         count = self.count[slot]
         stop = np.append(0, np.cumsum(count))
@@ -372,22 +392,10 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
-def _mapped(df: DataFrame, spec: str, taken: str, added: list[T.StructField], f: Callable[[Vocabulary, pa.Array], list[pa.Array]]) -> DataFrame:
+def _mapped(df: DataFrame, spec: str, taken: str, added: list[tuple[str, T.DataType]], f: Callable[[Vocabulary, pa.Array], list[pa.Array]]) -> DataFrame:
     """Append columns made from column ``taken`` batch by batch."""
-    names = [a.name for a in added]
-    kept = [c for c in df.columns if c not in names]
     spec_of = df.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file, some MB whatever the input
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(spec_of.value)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + f(v, part.column(taken)), names=kept + names)
-
-    if taken not in kept:
-        raise ValueError(f"column {taken!r} cannot be both input and output")
-    return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *added]))
+    return append(df, taken, T.StructType([T.StructField(n, t) for n, t in added]), lambda column: f(vocabulary(spec_of.value), column), 256)
 
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -399,7 +407,7 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
     def f(v: Vocabulary, column: pa.Array) -> list[pa.Array]:
         return [_lists(*v.encode_column(column))]
 
-    return _mapped(df, spec, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], f)
+    return _mapped(df, spec, text, [(ids, T.ArrayType(T.IntegerType()))], f)
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -410,7 +418,7 @@ def decode(df: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") ->
         flat_ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
         return [pa.array([x.decode() for x in v.decode_column(flat_ids, counts)], pa.string())]
 
-    return _mapped(df, spec, ids, [T.StructField(text, T.StringType())], f)
+    return _mapped(df, spec, ids, [(text, T.StringType())], f)
 
 
 def digests(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
@@ -425,8 +433,8 @@ def digests(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
         sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         return [pa.array(counts, pa.int64()), sha(v.decimals(ids, counts)), sha(v.decode_column(ids, counts))]
 
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(df, spec, text, added, f).drop(text)
+    made = _mapped(df, spec, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], f)
+    return made.select(*(col(c) for c in made.columns if c != text))
 
 
 def public_spec(name: str = "byte_bpe_50k.json") -> str:

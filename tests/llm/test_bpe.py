@@ -50,6 +50,37 @@ def test_forgetting_changes_nothing(pair, monkeypatch):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that collide under every polynomial modulo 2**64, for k of 10 and more."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", [6, 10, 11, 12])
+def test_words_that_collide_under_polynomials(pair, k):
+    a, b = thue_morse(k)
+    own = bpe.Vocabulary(bpe.public_spec())
+    for text in (a, b, f"{a} {b} {a}"):
+        assert own.encode(text) == pair[1].encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_are_told_apart_when_hashes_collide(pair, monkeypatch):
+    own, library = bpe.Vocabulary(bpe.public_spec()), pair[1]
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, x, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    random.seed(6)
+    for _ in range(5):
+        text = " ".join("".join(random.choice("etaoins") for _ in range(random.choice([1, 3, 9, 20, 300]))) for _ in range(60))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("Hello", "x", 1)], "`a.b` string, `c.d` string, N_TOKENS int")
+    got = bpe.digests(df, bpe.public_spec(), "a.b")
+    assert got.columns == ["c.d", "n_tokens", "ids_sha256", "decoded_sha256"] and got.first()["n_tokens"] == 1
+
+
 def test_frames(spark, pair):
     rows = [(1, "Hello world", "x"), (2, None, None), (3, "", "y"), (1, "Hello world", "x"), (None, "éa<|endoftext|>b", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
