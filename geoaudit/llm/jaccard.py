@@ -1,12 +1,15 @@
 """Similarity join of texts on distinct word shingles, with signature trees.
 
 A text's set holds the hashes of its distinct five-word shingles.  Two texts
-link when ``100 * |intersection| >= 80 * |union|`` (the parameters say which);
-the result is exact.
-
-1. One pass over the texts makes, per text, the set's size, a fingerprint, a few
-   minimum hashes and a signature (a bitmap with one bit set per shingle), and a
-   fixed-size sketch of how often shingles occur.  Equal sets become one class.
+link when ``100 * |intersection| >= 80 * |union|`` (the parameters say which).
+Sets are taken under two independent 64-bit hashes of the words: equal sets need
+equal fingerprints under both, and a link must hold under both, so that one hash
+that two words share makes no link.
+
+1. One pass over the texts makes, per text, the set's size, a fingerprint under
+   each hash, a few minimum hashes and a signature (a bitmap with one bit set per
+   shingle), and a fixed-size sketch of how often shingles occur.  Equal sets
+   become one class.
 2. Texts that share a minimum hash meet in blocks of bounded size, together with
    the block's leader.  A signature tree over the block is traversed against
    itself; what its bounds leave is verified on the whole sets, and pairs that
@@ -16,8 +19,9 @@ the result is exact.
    shingles last, its first ``n - ceil(0.8 n) + k`` shingles, of which linked sets
    share at least the lesser k (k is one and a twentieth of the set's size).  Shingles whose classes all lie in one component so
    far say nothing new and drop out.  The classes of each other shingle, if they
-   are more than a few, are put into trees (in blocks, all pairs of blocks, when
-   they are many) and traversed two at a time; the pairs of few are counted over
+   are more than a few, are put into trees (in blocks of like sizes when they are
+   many; pairs of blocks whose sizes rule out a link are never made) and traversed
+   two at a time; the pairs of few are counted over
    all shingles and need k.  What remains is tested with wider bitmaps and then
    verified on the whole sets.
 4. All links found, and each class's members, go through connected components.
@@ -35,6 +39,7 @@ for one node; every input row comes back.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoaudit.llm._words import mix, shingle_sets
+from geoaudit.llm._words import mix, sets_of, shingle_sets, words
 from geoaudit.llm.components import components
 from geoaudit.session import dematerialise, materialise, table
 
@@ -58,6 +63,8 @@ FAN = 8
 #: Counters of the sketch of shingle frequencies, and how many travel together.
 SKETCH = 1 << 24
 SKETCH_PART = 1 << 18
+#: Seed of the second hash of words.
+SECOND = 1
 _SEEDS = mix(np.arange(1, KEYS + 1).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _U = np.uint64
 
@@ -168,7 +175,18 @@ _ARROW = {"id": pa.int64(), "n": pa.int64(), "fp_a": pa.int64(), "fp_b": pa.int6
 
 
 def _long(x: np.ndarray | int) -> int:
-    return int(np.int64(np.uint64(x)))
+    return int(np.asarray(x).astype(np.uint64).view(np.int64).reshape(()))
+
+
+def fingerprint(s: np.ndarray) -> int:
+    """An order-free digest of a set."""
+    return _long(np.bitwise_xor.reduce(mix(s), keepdims=True) + s.sum(dtype=np.uint64, keepdims=True))
+
+
+def both_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its set under either hash of the words."""
+    for w in words(texts):
+        yield from zip(sets_of(w, w.hashes, k), sets_of(w, w.span_hash(w.starts, w.ends, SECOND), k), strict=True)
 
 
 def features(df: DataFrame, k: int) -> DataFrame:
@@ -180,14 +198,14 @@ def features(df: DataFrame, k: int) -> DataFrame:
             ids = b.column("id")
             out: dict[str, list] = {c: [] for c in ("n", "fp_a", "fp_b", "keys", "bits", "wide")}
             pending, waiting = [], 0
-            for s in shingle_sets(b.column("text"), k):
+            for s, t in both_sets(b.column("text"), k):
                 out["n"].append(len(s))
                 if not len(s):
                     for c in ("fp_a", "fp_b", "keys", "bits", "wide"):
                         out[c].append(None)
                     continue
-                out["fp_a"].append(_long(np.bitwise_xor.reduce(mix(s))))
-                out["fp_b"].append(_long(s.sum(dtype=np.uint64)))
+                out["fp_a"].append(fingerprint(s))
+                out["fp_b"].append(fingerprint(t))
                 out["keys"].append([_long(mix(s ^ seed).min()) for seed in _SEEDS])
                 out["bits"].append(_bitmap(s))
                 out["wide"].append(_bitmap(s, MOST_BITS) if 4 * len(s) > BITS else None)
@@ -281,14 +299,15 @@ def near_in_blocks(members: DataFrame, k: int, percent: int) -> DataFrame:
             ids, at = np.unique(ids, return_index=True)
             if len(ids) < 2:
                 continue
-            sets = list(shingle_sets(g.column("text").take(pa.array(at)), k))
+            texts = g.column("text").take(pa.array(at)).combine_chunks()
+            sets = list(shingle_sets(texts, k))
             sizes = np.array([len(s) for s in sets])
             tree = Tree(sizes, np.frombuffer(b"".join(map(_bitmap, sets)), np.uint64).reshape(len(sets), -1))
             root = np.arange(len(ids))
             a, b = [], []
             for i, j in traverse(tree, tree, percent):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    if root[x] != root[y] and links(sets[x], sets[y], percent):
+                    if root[x] != root[y] and links(sets[x], sets[y], percent) and links(*shingle_sets(texts.take(pa.array([x, y])), k, SECOND), percent):
                         a.append(int(ids[x]))
                         b.append(int(ids[y]))
                         root[root == root[y]] = root[x]
@@ -316,7 +335,7 @@ def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFr
                 n = len(s)
                 if not n:
                     continue
-                fp = _long(np.bitwise_xor.reduce(mix(s)))
+                fp = fingerprint(s)
                 if fp in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -369,7 +388,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
         for g in _runs(batches, ["token", "i", "j"]):
             g = g.combine_chunks()
             ids, comp = g.column("id").to_numpy(), g.column("comp").to_numpy()
-            block, sizes = g.column("block").to_numpy(), g.column("n").to_numpy()
+            block, sizes = np.asarray(g.column("block").to_pylist()), g.column("n").to_numpy()
             bits = bitmaps(g.column("bits"))
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
@@ -442,10 +461,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 g = b.slice(s, 256)
-                ok = [links(x, y, percent) for x, y in zip(shingle_sets(g.column("text_a"), k), shingle_sets(g.column("text_b"), k), strict=True)]
-                g = g.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                for seed in (0, SECOND):
+                    ok = [links(x, y, percent) for x, y in zip(shingle_sets(g.column("text_a"), k, seed), shingle_sets(g.column("text_b"), k, seed), strict=True)]
+                    g = g.filter(pa.array(ok, pa.bool_()))
                 if g.num_rows:
-                    yield g
+                    yield g.select(["a", "b"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -489,10 +509,22 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     mixed = tokens.join(open_tokens, "token")
     few = small_pairs(mixed.where(F.col("m") <= SMALL), percent)
     mixed = mixed.where(F.col("m") > SMALL).join(reps.select(F.col("rep").alias("id"), "bits"), "id")
-    nb = F.ceil(F.col("m") / (2 * BLOCK)).cast("int")
-    mixed = mixed.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("id", "token"), F.col("nb")).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    mixed = mixed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "comp", "bits")
+    # blocks of like sizes: linked sets are of one kind of size or of neighbouring kinds
+    kind = F.floor(F.log("n") / math.log(max(100 / percent, 1.01) * (1 + 1e-9))).cast("int")
+    mixed = mixed.withColumn("kind", kind).drop("m")
+    cuts = mixed.groupBy("token", "kind").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("nb"))
+    above = cuts.select("token", (F.col("kind") - 1).alias("kind"), F.col("nb").alias("up"))
+    below = cuts.select("token", (F.col("kind") + 1).alias("kind"), F.col("nb").alias("down"))
+    around = cuts.join(above, ["token", "kind"], "left").join(below, ["token", "kind"], "left").fillna(0)
+    mixed = mixed.join(around, ["token", "kind"]).withColumn("block", F.pmod(F.xxhash64("id", "token"), F.col("nb")).cast("int"))
+    seat = lambda k, b: F.struct(k.alias("k"), b.alias("b"))
+    seats_of = lambda step, n: F.transform(F.sequence(F.lit(0), n - 1), lambda b: seat(F.col("kind") + step, b))
+    none = F.array().cast("array<struct<k:int,b:int>>")
+    beside = [F.when(F.col(c) > 0, seats_of(step, F.col(c))).otherwise(none) for c, step in (("up", 1), ("down", -1))]
+    others = F.concat(seats_of(0, F.col("nb")), *beside)
+    mixed = mixed.withColumn("own", seat(F.col("kind"), F.col("block"))).withColumn("other", F.explode(others))
+    mixed = mixed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp", "bits")
+    mixed = mixed.select("token", *(F.concat_ws("/", c + ".k", c + ".b").alias(n) for c, n in (("i", "i"), ("j", "j"), ("own", "block"))), "id", "n", "comp", "bits")
     trees = mixed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     near_enough = few.union(candidates(trees, percent)).distinct()
     pairs = materialise(promising(near_enough, reps, percent), "pairs")

@@ -74,6 +74,49 @@ def test_join_near_is_exact(spark, monkeypatch):
         assert n == sorted((i or -1, len(shingles(t))) for i, t in rows)
 
 
+def test_words_that_collide_under_polynomials(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, f"w x {a} y z"), (2, f"w x {b} y z"), (3, a), (4, b), (5, f"w  x {a} y z")]
+    got = {r.doc_id: r.component_id for r in jaccard.join_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_one_hash_that_collides_makes_no_link(spark, monkeypatch):
+    """With a first hash that sees only a word's length, the second one still decides."""
+    from geoaudit.llm import _words
+
+    plain = _words.span_hashes
+    monkeypatch.setattr(_words, "span_hashes", lambda data, x, starts, ends, seed=0: plain(data, x, starts, ends, seed) if seed else _words.mix((ends - starts).astype(np.uint64)))
+    random.seed(3)
+    sets = [" ".join("".join(random.choice("abc") for _ in range(n)) for n in range(1, 30)) for _ in range(4)]
+    table = pa.array(sets)
+    first = list(shingle_sets(table))
+    assert all((x == first[0]).all() for x in first)
+    pairs = list(jaccard.both_sets(table, 5))
+    assert len({jaccard.fingerprint(s) for s, _ in pairs}) == 1 and len({jaccard.fingerprint(t) for _, t in pairs}) == 4
+
+
+def test_hot_passages_of_many_sizes(spark, monkeypatch):
+    """A passage in most of the texts, and copies among them: blocks of like sizes lose no link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "KEYS", 0)
+    monkeypatch.setattr(jaccard, "_SEEDS", jaccard._SEEDS[:0])
+    random.seed(11)
+    words = ["w%d" % i for i in range(300)]
+    passage = random.choices(words, k=40)
+    rows = []
+    for i in range(120):
+        base = passage + random.choices(words, k=random.choice([0, 2, 4, 8, 10, 12, 30]))
+        rows.append((len(rows), " ".join(base)))
+        if i % 3 == 0:
+            base[random.randrange(len(base))] = "other"
+            rows.append((len(rows), " ".join(base)))
+    got = {r.doc_id: r.component_id for r in jaccard.join_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_join_near_of_nothing(spark):
     assert jaccard.join_near(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
