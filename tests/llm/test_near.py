@@ -146,6 +146,7 @@ def test_components(spark):
 
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", 5)
+    monkeypatch.setattr(neardup, "GROUP", 2)
     draw = np.random.default_rng(3)
     rows = []
     for g in range(30):
@@ -164,3 +165,55 @@ def test_vectors(spark, monkeypatch):
         if i != rows[4][0] and want[i] != want[rows[4][0]]:
             assert got[i].n_links == sum(i in x for x in links)
     assert neardup.near_duplicates(df.where("vec_id < 0")).count() == 0
+
+
+def hard_vectors(n, planted, dim=64, common=0.95, cosine=0.983, seed=0):
+    """Vectors of one label with a mean cosine of ``common``, and planted pairs."""
+    draw = np.random.default_rng(seed)
+    mean = np.zeros(dim)
+    mean[0] = np.sqrt(common)
+    x = mean + draw.standard_normal((n, dim)) * np.sqrt((1 - common) / dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[:planted]
+    g = draw.standard_normal(y.shape)
+    g -= (g * y).sum(1, keepdims=True) * y
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    return np.concatenate([x[planted:], y, cosine * y + np.sqrt(1 - cosine**2) * g]).astype(np.float32)
+
+
+def recall(spark, x, label=None):
+    """Share of directed links found, against brute force in blocks."""
+    table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.zeros(len(x), np.int32) if label is None else label)})
+    got = neardup.near_duplicates(spark.createDataFrame(table).repartition(8)).toPandas()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = sum(int(((u[i : i + 2048] @ u.T) >= 0.98).sum()) for i in range(0, len(u), 2048)) - len(u)
+    found = int(got["n_links"].sum())
+    assert found <= true
+    return found / true
+
+
+def test_recall_of_vectors_with_a_common_part(spark):
+    assert recall(spark, hard_vectors(5000, 2000)) >= 0.97
+    assert recall(spark, hard_vectors(5000, 2000, common=0.0)) >= 0.99
+
+
+def test_plan_grows_with_rows_and_difficulty():
+    assert neardup.plan(500, 0.0, 0.98, 1 << 17) == (2, 1)
+    cost = [g * (neardup.SHUFFLE + k) for g, k in (neardup.plan(n, c, 0.98, 1 << 17) for n, c in ((500, 0), (100_000, 0), (10**7, 0), (10**7, 0.9)))]
+    assert cost == sorted(cost)
+
+
+def test_crowd_of_near_copies_is_settled_by_cells(spark, monkeypatch):
+    """All pairs of a tight crowd link; none of its vectors need be compared."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    draw = np.random.default_rng(5)
+    x = (np.eye(32)[0] + draw.standard_normal((300, 32)) * 0.004).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = neardup.near_duplicates(df).collect()
+    assert {r.n_links for r in got} == {299} and {r.component_id for r in got} == {0}
+    plain, kept = neardup.materialise, []
+    monkeypatch.setattr(neardup, "materialise", lambda f, name: kept.append(plain(f, name)) or kept[-1])
+    members = df.selectExpr("0L AS component", "vec_id AS rep", "embedding AS v", "1L AS members")
+    assert neardup.count_links(members, 0.98).where("n = 299").count() == 300
+    assert kept[1].where("links < 0").count() == 0
