@@ -2,20 +2,23 @@
 
 Each language has a distribution over hashed n-grams (three bytes of the text
 with A-Z lower-cased and everything but letters a blank).  A text is a mixture:
-every word was drawn from one of its languages.  Expectation-maximisation over
-the words' likelihoods estimates the proportions; it is run for the best one,
-two, ... ``MOST`` languages of the full mixture, and the set with the best
-penalised likelihood (half the logarithm of the number of words per further
-language) is chosen.  The prediction is the largest share of the chosen set, the
-score that share.
+every word was drawn from one of its languages.  The set of languages starts with
+the likeliest one and grows by the language along which the likelihood rises most
+steeply; expectation-maximisation over the words' likelihoods estimates the
+proportions of each set.  It grows as long as the penalised likelihood (half the
+logarithm of the number of words per further language) improves, with no bound on
+its size; where the slope itself bounds the gain below the penalty, the larger set
+is not tried.  The prediction is the largest share of the chosen set, the score
+that share.
 
 The distributions are counted over all labelled texts, where they lie; only one
 fixed-size array per language comes together.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is every text if nothing was learned; rows with a null language teach
-nothing; repeated rows are predicted one by one; an empty table gives an empty
-result.  Columns named like the outputs are replaced.
+nothing; repeated rows are predicted one by one; a very long text is handled by
+itself, whole; an empty table gives an empty result.  Columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoaudit.llm._frames import append, col
 from geoaudit.llm._words import chunks, flat
 from geoaudit.session import table
 
 GRAMS = 1 << 15
 SMOOTHING = 0.5
-#: Languages of a set at most, and rounds of expectation-maximisation.
-MOST = 3
+#: Rounds of expectation-maximisation.
 ROUNDS = 8
 
 #: Bytes of letters: A-Z as a-z, and all bytes of non-ASCII characters; others are blanks.
@@ -92,7 +95,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
         yield from _arrays(held)
 
     shape = "lang string, counts binary"
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    known = docs.select(col(lang).cast("string").alias("lang"), col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     parts = known.mapInArrow(count, shape).repartition("lang").mapInArrow(add, shape)
     found = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in parts.toLocalIterator()}  # one row per language
     names = sorted(found)
@@ -137,47 +140,69 @@ def infer(model: Languages, data: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     likelihood = np.exp(np.maximum(ll, -60)).astype(np.float64)
     texts, cuts, words = np.unique(row[first], return_index=True, return_counts=True)
     n, k = len(texts), len(model.names)
-    share, _ = mixtures(likelihood, cuts, words, np.ones((n, k)))
-    order = np.argsort(-share, 1, kind="stable")
-    best, chosen = np.full(n, -np.inf), np.zeros((n, k))
-    for size in range(1, min(MOST, k) + 1):
-        allowed = np.zeros((n, k))
-        np.put_along_axis(allowed, order[:, :size], 1.0, 1)
-        own, value = mixtures(likelihood, cuts, words, allowed, ROUNDS if size > 1 else 0)
-        value -= (size - 1) * np.log(words + 1.0) / 2
-        better = value > best
-        best[better], chosen[better] = value[better], own[better]
+    alone = np.add.reduceat(np.log(np.maximum(likelihood, 1e-30)), cuts, 0)
+    best, chosen = alone.max(1), np.zeros((n, k))
+    chosen[np.arange(n), alone.argmax(1)] = 1.0
+    live = np.arange(n)
+    for size in range(2, k + 1):
+        mine = np.zeros(n, bool)
+        mine[live] = True
+        some, own_words = likelihood[np.repeat(mine, words)], words[live]
+        starts = np.cumsum(own_words) - own_words
+        total = np.maximum((some * np.repeat(chosen[live], own_words, 0)).sum(1), 1e-30)
+        slope = np.add.reduceat(some / total[:, None], starts, 0) / own_words[:, None]
+        slope[chosen[live] > 0] = 0.0
+        penalty = np.log(own_words + 1.0) / 2
+        # no mixture of further languages gains more than this
+        hope = own_words * np.log(np.maximum(slope.max(1), 1e-30)) > penalty
+        if not hope.any():
+            break
+        words_of = np.repeat(hope, own_words)
+        live, own_words, some = live[hope], own_words[hope], some[words_of]
+        allowed = (chosen[live] > 0).astype(float)
+        allowed[np.arange(len(live)), slope[hope].argmax(1)] = 1.0
+        own, value = mixtures(some, np.cumsum(own_words) - own_words, own_words, allowed)
+        value -= (size - 1) * penalty[hope]
+        better = value > best[live]
+        live = live[better]
+        best[live], chosen[live] = value[better], own[better]
+        if not len(live):
+            break
     return texts, chosen, chosen.argmax(1)
 
 
 def predict(df: DataFrame, model: Languages, text: str = "text") -> DataFrame:
     """Append ``lang_pred``, ``score`` and ``lang_set`` (the chosen languages, largest share first)."""
     added = T.StructType.fromDDL("lang_pred string, score double, lang_set array<string>")
-    kept = [c for c in df.columns if c not in added.names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # GRAMS numbers for each language
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            data, offsets = flat(b.column(text))
-            name, score, langs = ["und"] * b.num_rows, np.zeros(b.num_rows), [[]] * b.num_rows
-            for i, j in chunks(offsets) if m.names else ():
-                part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                rows, share, best = infer(m, part, bounds)
-                ascii_letters = np.add.reduceat((LETTERS[part] != 32) & (part < 128), np.minimum(bounds[:-1], len(part) - 1)) if len(part) else np.zeros(j - i)
-                for r, s, k in zip(rows.tolist(), share, best.tolist(), strict=True):
-                    if not ascii_letters[r] and not any(c.isalpha() for c in part[bounds[r] : bounds[r + 1]].tobytes().decode("utf-8", "replace")):
-                        continue
-                    name[i + r], score[i + r] = m.names[k], min(1.0, float(s[k]))
-                    langs[i + r] = [m.names[x] for x in np.argsort(-s, kind="stable").tolist() if s[x] > 0]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score), pa.array(langs, pa.list_(pa.string()))], names=[*kept, *added.names])
-
-    return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *added]))
+    def name(column: pa.Array) -> list[pa.Array]:
+        m, n = shared.value, len(column)
+        data, offsets = flat(column)
+        which, score, sizes, sets = np.full(n, len(m.names)), np.zeros(n), np.zeros(n, np.int64), [np.zeros(0, np.int64)]
+        for i, j in chunks(offsets) if m.names else ():
+            part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            rows, share, best = infer(m, part, bounds)
+            plain = np.append(0, np.cumsum((LETTERS[part] != 32) & (part < 128)))[bounds]
+            spelt = plain[rows + 1] > plain[rows]
+            for r in np.flatnonzero(~spelt).tolist():  # texts without A to Z: is any character a letter?
+                spelt[r] = any(c.isalpha() for c in part[bounds[rows[r]] : bounds[rows[r] + 1]].tobytes().decode("utf-8", "replace"))
+            rows, share, best = rows[spelt], share[spelt], best[spelt]
+            which[i + rows], score[i + rows] = best, np.minimum(1.0, share[np.arange(len(rows)), best])
+            order = np.argsort(-share, 1, kind="stable")
+            held = np.take_along_axis(share, order, 1) > 0
+            sizes[i + rows] = held.sum(1)
+            sets.append(order[held])
+        names = pa.array([*m.names, "und"], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), names.take(pa.array(np.concatenate(sets))))
+        return [names.take(pa.array(which)), pa.array(score), lists]
+
+    return append(df, text, added, name)
 
 
 def held_out(id: str = "doc_id") -> Column:
     """Whether a row is never learned from: crc32 of the id as text, modulo 4, is 2."""
-    return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return F.crc32(F.coalesce(col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
