@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoaudit.llm._frames import col
 from geoaudit.session import table
 
 #: Rows that a virtual partition, or a cell of a shard, has on average.
@@ -59,49 +60,51 @@ def shard(df: DataFrame, shards: int, seed: int = 42, key: str | None = None) ->
     random order (ties are broken by all columns); without it all columns do.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    base = df.select(*(F.col(f"`{c}`") for c in kept))
-    identity = [F.col(f"`{key}`")] if key else [F.col(f"`{c}`") for c in kept]
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    # the row travels as one value, so that no name of its columns can clash with those here
+    base = df.select(F.struct(*map(col, kept)).alias("row"))
+    field = lambda c: F.col("row." + "`" + c.replace("`", "``") + "`")
+    every = [field(c) for c in kept]
+    identity = [field(key)] if key else every
     # one pass over the keys alone: how many rows, then how many in each virtual partition
     n = base.count()
     if not n:
-        return base.withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
+        return df.select(*map(col, kept), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
     parts = int(min(max(1, -(-n // ROWS_A_CELL)), MOST_PARTITIONS))
     cells = int(max(1, -(-n // (ROWS_A_CELL * shards))))
     virtual = F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(parts)).cast("int")
-    counted = base.select(virtual.alias("__p")).groupBy("__p").count().collect()  # one row per virtual partition
+    counted = base.select(virtual.alias("p")).groupBy("p").count().collect()  # one row per virtual partition
     rows = np.zeros(parts, np.int64)
     for r in counted:
-        rows[r["__p"]] = r["count"]
+        rows[r["p"]] = r["count"]
     drawn = matrix(rows, shard_sizes(n, shards), seed)
     edges = np.cumsum(drawn, axis=1)
     # the last rank of each shard within a partition, as one array per partition
-    plan = spark.createDataFrame([(p, e) for p, e in enumerate(edges.tolist())], "__q int, __edges array<bigint>")
+    plan = spark.createDataFrame([(p, e) for p, e in enumerate(edges.tolist())], "q int, edges array<bigint>")
     first = F.xxhash64(*identity, F.lit(seed + 1))
-    ties = [F.xxhash64(*(F.col(f"`{c}`") for c in kept))]
-    local = Window.partitionBy("__p").orderBy(first, *ties)
-    ranked = base.withColumn("__p", virtual).withColumn("__r", F.row_number().over(local))
+    local = Window.partitionBy("p").orderBy(first, F.xxhash64(*every))
+    ranked = base.withColumn("p", virtual).withColumn("r", F.row_number().over(local))
     # shards whose last rank lies below this row's
-    number = F.size(F.filter("__edges", lambda e: e < F.col("__r"))).cast("int")
-    sent = ranked.join(F.broadcast(plan) if parts * shards <= 1 << 17 else plan, F.col("__p") == F.col("__q")).withColumn("shard", number)
-    second = F.xxhash64(F.col("__p"), F.col("__r"), F.lit(seed + 2))
-    sent = sent.withColumn("__c", F.pmod(second, F.lit(cells)).cast("int")).withColumn("__o", F.xxhash64(second, F.lit(seed + 3))).drop("__edges", "__q")
-    within = Window.partitionBy("shard", "__c").orderBy("__o", "__p", "__r")
+    number = F.size(F.filter("edges", lambda e: e < F.col("r"))).cast("int")
+    sent = ranked.join(F.broadcast(plan) if parts * shards <= 1 << 17 else plan, F.col("p") == F.col("q")).withColumn("shard", number)
+    second = F.xxhash64(F.col("p"), F.col("r"), F.lit(seed + 2))
+    sent = sent.withColumn("c", F.pmod(second, F.lit(cells)).cast("int")).withColumn("o", F.xxhash64(second, F.lit(seed + 3))).drop("edges", "q")
+    within = Window.partitionBy("shard", "c").orderBy("o", "p", "r")
     # where each cell begins in its shard: from (partition, rank) alone, without the rows
     sizes = _cell_sizes(plan, cells, seed)
-    offsets = sizes.withColumn("__first", F.sum("__n").over(Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("__s", "__k", F.coalesce("__first", F.lit(0)).alias("__first"))
-    placed = sent.withColumn("__i", F.row_number().over(within)).join(F.broadcast(offsets) if shards * cells <= 1 << 17 else offsets, (F.col("shard") == F.col("__s")) & (F.col("__c") == F.col("__k")))
-    return placed.select(*(F.col(f"`{c}`") for c in kept), "shard", (F.col("__first") + F.col("__i") - 1).cast("long").alias("slot"))
+    offsets = sizes.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = offsets.select("s", "k", F.coalesce("first", F.lit(0)).alias("first"))
+    placed = sent.withColumn("i", F.row_number().over(within)).join(F.broadcast(offsets) if shards * cells <= 1 << 17 else offsets, (F.col("shard") == F.col("s")) & (F.col("c") == F.col("k")))
+    return placed.select(*(field(c).alias(c) for c in kept), "shard", (F.col("first") + F.col("i") - 1).cast("long").alias("slot"))
 
 
 def _cell_sizes(plan: DataFrame, cells: int, seed: int) -> DataFrame:
     """Rows in each cell of each shard: the cell of a row depends on its partition and rank only."""
-    ranks = plan.withColumn("__r", F.explode(F.sequence(F.lit(1), F.greatest(F.element_at("__edges", -1), F.lit(1)).cast("int"))))
-    ranks = ranks.where(F.col("__r") <= F.element_at("__edges", -1))
-    cell = F.pmod(F.xxhash64(F.col("__q"), F.col("__r"), F.lit(seed + 2)), F.lit(cells)).cast("int")
-    number = F.size(F.filter("__edges", lambda e: e < F.col("__r"))).cast("int")
-    return ranks.groupBy(number.alias("__s"), cell.alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = plan.withColumn("r", F.explode(F.sequence(F.lit(1), F.greatest(F.element_at("edges", -1), F.lit(1)).cast("int"))))
+    ranks = ranks.where(F.col("r") <= F.element_at("edges", -1))
+    cell = F.pmod(F.xxhash64(F.col("q"), F.col("r"), F.lit(seed + 2)), F.lit(cells)).cast("int")
+    number = F.size(F.filter("edges", lambda e: e < F.col("r"))).cast("int")
+    return ranks.groupBy(number.alias("s"), cell.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
