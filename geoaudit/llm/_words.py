@@ -139,22 +139,33 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(texts: pa.Array, alphabet: np.ndarray = NOT_SPACE) -> Iterator[Words]:
-    """Words of each text, a chunk at a time; ``alphabet`` marks the bytes of words."""
+def words(texts: pa.Array, alphabet: np.ndarray = NOT_SPACE, apart: bool = False) -> Iterator[Words]:
+    """Words of each text, a chunk at a time; ``alphabet`` marks the bytes of words.
+
+    With ``apart`` every character of a script that is written without spaces
+    (kana, Han, Thai, Lao) is a word of its own.
+    """
     data, offsets = flat(texts)
     for i, j in chunks(offsets):
         part = data[offsets[i] : offsets[j]]
         bounds = offsets[i : j + 1] - offsets[i]
-        yield split(part, bounds, i, j, alphabet)
+        yield split(part, bounds, i, j, alphabet, apart)
 
 
-def split(part: np.ndarray, bounds: np.ndarray, i: int, j: int, alphabet: np.ndarray) -> Words:
+def split(part: np.ndarray, bounds: np.ndarray, i: int, j: int, alphabet: np.ndarray, apart: bool = False) -> Words:
     n = len(part)
     inside = alphabet[part]
     full = bounds[:-1] < bounds[1:]
     edge = np.zeros(n + 1, bool)
     edge[bounds[:-1][full]] = True
     edge[bounds[1:][full]] = True
+    if apart:
+        # such characters are three bytes long, and these bytes only begin characters
+        lead = np.flatnonzero((part >= 0xE3) & (part <= 0xE9))
+        thai = np.flatnonzero(part[:-1] == 0xE0)
+        lead = np.concatenate([lead, thai[(part[thai + 1] >= 0xB8) & (part[thai + 1] <= 0xBB)]])
+        edge[lead] = True
+        edge[np.minimum(lead + 3, n)] = True
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:n]))

@@ -1,23 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A spaced seed is a fixed mask over some consecutive words that ignores certain
-positions; words are runs of letters and digits, A-Z lower-cased.  All masks of
-``MASKS`` are applied at every word of every benchmark item and of every whole
-document, and the hashes joined.  A window of ``WINDOW`` words of which at most
-a fifth were substituted keeps at least one mask's positions intact, wherever
-the substitutions are (the tests try all ways), so no such overlap is lost.
+positions; words are runs of letters and digits, A-Z lower-cased, and single
+characters of scripts without spaces.  All masks of ``MASKS`` are applied at every
+word of every benchmark item and of every whole document, and the hashes joined.
+A window of ``WINDOW`` words of which at most a fifth were substituted keeps at
+least one mask's positions intact, wherever the substitutions are (the tests try
+all ways), so no such overlap is lost.  An item of fewer than ``SHORTEST`` words
+has one seed, its whole sequence, and overlaps where all of it occurs.
 
 Documents are hashed in one pass; a bitmap of fixed size, made of the
 benchmark's hashes, lets only hashes through that could join.  Hits that lie
-close together form a region, which keeps its words and a margin around them;
-(region, item, diagonal) triples that join are verified word by word.
+close together form a region, which keeps its distinct hashes, its words and a
+margin around them.  A region and an item that share a hash are brought together
+once, whatever they share; the diagonals of their common seeds are then found and
+verified word by word.
 
 An overlap is reported when, along one diagonal, a window of ``WINDOW`` words (the
 whole item if that is shorter) agrees in 80 % of its words or more.
 
-Defined results: null or empty texts, and items with fewer words than ``SHORTEST``,
-have no overlaps; rows with a null id are not reported; repeated rows give the
-same overlap once; empty tables give an empty result.  Other columns are unused.
+Defined results: null or empty texts and items have no overlaps; rows with a null
+id are not reported; repeated rows give the same overlap once; ties between equal
+overlaps go to the first place in the document; a very long text is hashed by
+itself, whole; empty tables give an empty result.  Other columns are unused.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ MASKS = ["111111", "1110111", "11011011", "11101011", "110100111", "110011101"]
 #: Words of a window, and the share of them that must agree, in percent.
 WINDOW = 13
 PERCENT = 80
-#: Items with fewer words are no evidence.
+#: Items with fewer words overlap as whole sequences only.
 SHORTEST = 8
 #: Words kept on either side of a region of hits.
 MARGIN = 64
@@ -49,12 +54,12 @@ _STEP = np.uint64(0xA24BAED4963EE407 | 1)
 
 def seeds(h: np.ndarray, masks: list[str] = MASKS) -> Iterator[tuple[int, np.ndarray]]:
     """For each mask its span and its hash at every word (regardless of where texts end)."""
-    for number, mask in enumerate(masks):
+    for mask in masks:
         n = len(h) - len(mask) + 1
         if n <= 0:
             yield len(mask), np.zeros(0, np.uint64)
             continue
-        acc = np.full(n, number + 1, np.uint64)
+        acc = np.full(n, int("1" + mask, 2), np.uint64)
         for at, used in enumerate(mask):
             if used == "1":
                 acc *= _STEP
@@ -62,31 +67,35 @@ def seeds(h: np.ndarray, masks: list[str] = MASKS) -> Iterator[tuple[int, np.nda
         yield len(mask), mix(acc)
 
 
+def masks_for(words_of_item: int) -> list[str]:
+    """The masks of an item: the spaced ones, or for a short item one that takes all of its words."""
+    return MASKS if words_of_item >= SHORTEST else ["1" * words_of_item]
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def item_hashes(items: DataFrame) -> DataFrame:
-    """``(item_id, n, hash, at, tokens)``: all seeds of each item and its words."""
+    """``(item_id, n, hash, tokens)``: distinct seeds of each item, and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("item_id").to_pylist()
-            out: dict[str, list] = {"item_id": [], "hash": [], "at": [], "tokens": []}
-            for w in words(b.column("text"), ALNUM):
+            out: dict[str, list] = {"item_id": [], "n": [], "hash": [], "tokens": []}
+            for w in words(b.column("text"), ALNUM, apart=True):
                 h = w.hashes
                 for row in range(w.last - w.first):
                     own = h[w.at[row] : w.at[row + 1]]
-                    if len(own) < SHORTEST:
+                    if not len(own):
                         continue
-                    found = [(x, p) for _, hashes in seeds(own) for p, x in enumerate(hashes.view(np.int64).tolist())]
                     out["item_id"].append(ids[w.first + row])
-                    out["hash"].append([x for x, _ in found])
-                    out["at"].append([p for _, p in found])
+                    out["n"].append(len(own))
+                    out["hash"].append(np.unique(np.concatenate([x for _, x in seeds(own, masks_for(len(own)))])).view(np.int64))
                     out["tokens"].append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("item_id", pa.int64()), ("hash", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("tokens", pa.binary()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("item_id", pa.int64()), ("n", pa.int64()), ("hash", pa.list_(pa.int64())), ("tokens", pa.binary()))], names=list(out))
 
-    return items.where("item_id IS NOT NULL").mapInArrow(run, "item_id long, hash array<long>, at array<int>, tokens binary")
+    return items.where("item_id IS NOT NULL").mapInArrow(run, "item_id long, n long, hash array<long>, tokens binary")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -104,12 +113,12 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return total
 
 
-REGION = "region long, doc_id long, first int, tokens binary, hash array<long>, at array<int>"
-_REGION = {"region": pa.int64(), "doc_id": pa.int64(), "first": pa.int32(), "tokens": pa.binary(), "hash": pa.list_(pa.int64()), "at": pa.list_(pa.int32())}
+REGION = "region long, doc_id long, first int, tokens binary, hash array<long>"
+_REGION = {"region": pa.int64(), "doc_id": pa.int64(), "first": pa.int32(), "tokens": pa.binary(), "hash": pa.list_(pa.int64())}
 
 
-def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Regions of documents whose seeds pass the bitmap, with their words and seeds."""
+def regions(docs: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame:
+    """Regions of documents whose seeds pass the bitmap, with their words and distinct seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes whatever the benchmark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +129,11 @@ def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id")
             out: dict[str, list] = {c: [] for c in _REGION}
-            for w in words(b.column("text"), ALNUM):
+            for w in words(b.column("text"), ALNUM, apart=True):
                 h = w.hashes
                 ends = w.at[1:]
                 places, hashes = [], []
-                for span, x in seeds(h):
+                for span, x in seeds(h, masks):
                     at = np.flatnonzero(held[_slot(x)])
                     at = at[at + span <= ends[np.searchsorted(ends, at, "right")]] if len(at) else at
                     places.append(at)
@@ -144,34 +153,52 @@ def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     out["doc_id"].append(ids[w.first + r].as_py())
                     out["first"].append(lo - int(w.at[r]))
                     out["tokens"].append(h[lo:hi].tobytes())
-                    out["hash"].append(seed[i:j].view(np.int64).tolist())
-                    out["at"].append((place[i:j] - int(w.at[r])).tolist())
+                    out["hash"].append(np.unique(seed[i:j]).view(np.int64))
             if out["region"]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in _REGION.items()], names=list(_REGION))
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, REGION)
 
 
-def overlap(doc: np.ndarray, first: int, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """``(start, end, agreeing)`` in document words of the overlap along a diagonal, if there is one.
+def diagonals(doc: np.ndarray, first: int, item: np.ndarray) -> np.ndarray:
+    """Diagonals on which document words, numbered from ``first``, and an item share a seed.
 
-    ``doc`` are the document's words from number ``first`` on; item word i meets
-    document word ``diagonal + i``.
+    On diagonal d item word i meets document word d + i.
     """
-    lo, hi = max(0, first - diagonal), min(len(item), first + len(doc) - diagonal)
-    size = min(WINDOW, len(item))
-    if hi - lo < size:
-        return None
-    same = doc[diagonal + lo - first : diagonal + hi - first] == item[lo:hi]
-    sums = np.append(0, np.cumsum(same))
-    good = np.flatnonzero(100 * (sums[size:] - sums[:-size]) >= PERCENT * size)
-    if not len(good):
-        return None
-    inside = np.zeros(len(same), bool)
-    for g in good.tolist():
-        inside[g : g + size] = True
-    at = np.flatnonzero(inside & same)
-    return diagonal + lo + int(at[0]), diagonal + lo + int(at[-1]) + 1, int(len(at))
+    masks = masks_for(len(item))
+    on = np.zeros(len(doc) + len(item), bool)
+    for (_, x), (_, y) in zip(seeds(doc, masks), seeds(item, masks), strict=True):
+        order = np.argsort(x, kind="stable")
+        lo, hi = np.searchsorted(x[order], y, "left"), np.searchsorted(x[order], y, "right")
+        for p in np.flatnonzero(hi > lo).tolist():
+            on[order[lo[p] : hi[p]] - p + len(item)] = True
+    return np.flatnonzero(on) + first - len(item)
+
+
+def best_overlap(doc: np.ndarray, first: int, item: np.ndarray) -> tuple[int, int, int] | None:
+    """``(agreeing, start, end)`` in document words: of all diagonals the overlap that agrees in most words, then the first."""
+    m, best = len(item), None
+    size, percent = min(WINDOW, m), PERCENT if m >= SHORTEST else 100
+    lines = diagonals(doc, first, item)
+    for some in np.array_split(lines, max(1, len(lines) * m >> 20)):
+        at = some[:, None] - first + np.arange(m)
+        inner = (at >= 0) & (at < len(doc))
+        same = inner & (doc[np.clip(at, 0, len(doc) - 1)] == item)
+        sums = np.zeros((len(some), m + 1), np.int32)
+        np.cumsum(same, 1, out=sums[:, 1:])
+        good = (100 * (sums[:, size:] - sums[:, :-size]) >= percent * size) & inner[:, : m - size + 1] & inner[:, size - 1 :]
+        edges = np.zeros((len(some), m + 1), np.int32)
+        edges[:, : m - size + 1] += good
+        edges[:, size:] -= good
+        agree = same & (np.cumsum(edges, 1)[:, :-1] > 0)
+        count = agree.sum(1)
+        top = np.flatnonzero((count == count.max(initial=1)) & (count > 0))
+        if len(top):
+            start = some + agree.argmax(1)
+            k = top[start[top].argmin()]
+            got = int(count[k]), int(start[k]), int(some[k] + m - agree[k, ::-1].argmax())
+            best = got if best is None else max(best, got, key=lambda g: (g[0], -g[1]))
+    return best
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -180,24 +207,25 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``.
     """
     known = materialise(item_hashes(items.select("item_id", "text")), "items")
-    exploded = known.select("item_id", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("item_id", F.col("x.hash").alias("hash"), F.col("x.at").alias("item_at"))
-    found = materialise(regions(docs.select("doc_id", "text"), bitmap(exploded.select("hash"))), "regions")
-    hits = found.select("region", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("region", F.col("x.hash").alias("hash"), F.col("x.at").alias("at"))
-    lines = hits.join(exploded, "hash").select("region", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    tried = lines.join(found.select("region", "doc_id", "first", F.col("tokens").alias("doc")), "region").join(known.select("item_id", F.col("tokens").alias("item")), "item_id")
+    short = [r[0] for r in known.where(F.col("n") < SHORTEST).select("n").distinct().collect()]  # a few small numbers
+    exploded = known.select("item_id", F.explode("hash").alias("hash"))
+    masks = MASKS + [m for n in sorted(short) for m in masks_for(n) if m not in MASKS]
+    found = materialise(regions(docs.select("doc_id", "text"), bitmap(exploded.select("hash")), masks), "regions")
+    met = found.select("region", F.explode("hash").alias("hash")).join(exploded, "hash").select("region", "item_id").distinct()
+    tried = met.join(found.select("region", "doc_id", "first", F.col("tokens").alias("doc")), "region").join(known.select("item_id", F.col("tokens").alias("item")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, i, first, line, doc, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "first", "diagonal", "doc", "item")), strict=True):
+            for d, i, first, doc, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "first", "doc", "item")), strict=True):
                 item = np.frombuffer(item, np.uint64)
-                if got := overlap(np.frombuffer(doc, np.uint64), first, item, line):
-                    out.append((d, i, got[2], len(item), got[0], got[1]))
+                if got := best_overlap(np.frombuffer(doc, np.uint64), first, item):
+                    out.append((d, i, got[0], len(item), got[1], got[2]))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "agreeing", "item_words", "start_word", "end_word"])
 
     shape = "doc_id long, item_id long, agreeing long, item_words long, start_word long, end_word long"
-    each = tried.select("doc_id", "item_id", "first", "diagonal", "doc", "item").mapInArrow(run, shape)
+    each = tried.select("doc_id", "item_id", "first", "doc", "item").mapInArrow(run, shape)
     best = each.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("agreeing", (-F.col("start_word")).alias("s"), "end_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.agreeing").alias("agreeing"), "item_words", (-F.col("b.s")).alias("start_word"), F.col("b.end_word").alias("end_word"))
 
