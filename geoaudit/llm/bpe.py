@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from geoaudit.llm._frames import append, col
-from geoaudit.llm._words import LONG, chunks, eights, equal_spans, flat, span_hashes
+from geoaudit.llm._words import LONG, chunks, eights, equal_spans, flat, ragged, span_hashes
 from geoaudit.session import table
 
 #: Pieces up to this many bytes are merged by scanning.
@@ -108,13 +108,6 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return lead[start]
 
 
-def ragged(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """values[at[0]:at[0]+size[0]], values[at[1]:at[1]+size[1]], ... end to end."""
-    stop = np.cumsum(size)
-    total = int(stop[-1]) if len(stop) else 0
-    return values[np.repeat(at - (stop - size), size) + np.arange(total)]
-
-
 def _packed(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in items])
     return np.frombuffer(b"".join(items), np.uint8), np.cumsum(size) - size, size

@@ -6,16 +6,19 @@ its terms once.  The machine's score is a bias, a weight per term, and for each
 pair of terms the product of their factors; so an insult next to the mention of
 a group can weigh more than both apart, which a linear model cannot say.
 
-It is fitted on a sample of at most ``SAMPLE`` labelled texts (those with the
-least hash of their id, a documented bound); terms that say nothing about the
-label in the sample (a z-score below ``LEAST_Z``) are left out before fitting.
-Every whole text is scored where it lies, in batches.
+It is fitted over all hashed terms of a sample of at most ``SAMPLE`` labelled texts
+and ``SAMPLE_TERMS`` terms (texts in order of a hash of their id, documented
+bounds), by adaptive gradients with proximal steps: weights are penalised by their
+size, the more the less a term alone says about the label, and a term's factors as
+a group.  So a term without any say of its own still gets factors if pairs with it
+tell the labels apart.  Every whole text is scored where it lies, in batches.
 
 Defined results: a null or empty text, and one without known terms, gets the
 bias alone; rows without a label, and labels of absent rows, are not learned
 from; without labelled rows, or with one label only, every score is 0.0 or the
-share of label 1.  Repeated rows are scored one by one; an empty table gives an
-empty result.  Columns named like the outputs are replaced.
+share of label 1.  Repeated rows are scored one by one; a very long text is scored
+by itself, whole; an empty table gives an empty result.  Columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -30,18 +33,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoaudit.llm._words import ALNUM, Words, words
-from geoaudit.session import table
+from geoaudit.llm._frames import append, col
+from geoaudit.llm._words import ALNUM, Words, ragged, words
+from geoaudit.session import dematerialise, materialise, table
 
 BUCKETS = 1 << 18
-#: Labelled texts that the machine is fitted on, at most.
+#: Labelled texts that the machine is fitted on, and terms of them, at most.
 SAMPLE = 20_000
+SAMPLE_TERMS = 8_000_000
 #: Bytes of the word beginnings that are terms as well.
 BEGINNINGS = (4, 5, 6)
 FACTORS = 8
-LEAST_Z = 4.0
-MOST_TERMS = 8192
-EPOCHS = 40
+#: Texts in a step; steps, and rounds over the sample, at least.
+BATCH = 128
+STEPS = 900
+ROUNDS = 5
+#: Penalties of weights (of terms whose z-score is PLAIN_Z or more) and of factors; rates of both.
+WEIGHT_PENALTY, FACTOR_PENALTY = 5e-4, 8e-3
+PLAIN_Z = 4.0
+WEIGHT_RATE, FACTOR_RATE = 0.2, 0.1
 
 
 def terms(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -79,13 +89,14 @@ class Machine:
     index: np.ndarray
 
     def raw(self, n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Scores before the logistic function of n texts with terms (rows, cols)."""
-        linear = np.bincount(rows, self.weights[cols], n)
-        pairs = np.zeros(n)
-        for f in range(self.factors.shape[1]):
-            v = self.factors[cols, f]
-            pairs += np.bincount(rows, v, n) ** 2 - np.bincount(rows, v * v, n)
-        return self.bias + linear + pairs / 2
+        """Scores before the logistic function of n texts with terms (rows, cols), in order of rows."""
+        out = np.full(n, self.bias)
+        if len(rows):
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            held = self.factors[cols]
+            pairs = (np.add.reduceat(held, first, 0) ** 2).sum(1) - np.add.reduceat((held**2).sum(1), first)
+            out[rows[first]] += np.add.reduceat(self.weights[cols], first) + pairs / 2
+        return out
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -93,7 +104,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def sample_terms(labelled: DataFrame) -> DataFrame:
-    """``(y, buckets)`` of labelled texts: the buckets of each text's terms, each once."""
+    """``(place, y, size, buckets)`` of labelled texts: the buckets of each text's terms, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.arange(BUCKETS)
@@ -102,89 +113,105 @@ def sample_terms(labelled: DataFrame) -> DataFrame:
             for w in words(b.column("text"), ALNUM):
                 rows, cols = known_terms(w, every)
                 lists += np.split(cols.astype(np.int32), np.searchsorted(rows, np.arange(1, w.last - w.first)))
-            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("y").cast(pa.int32()), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["place", "y", "size", "buckets"])
 
-    return labelled.select("text", "y").mapInArrow(run, "y int, buckets array<int>")
+    return labelled.select("place", "text", "y").mapInArrow(run, "place long, y int, size long, buckets array<int>")
+
+
+def shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
 def fit(sample: pa.Table, seed: int = 7) -> Machine:
-    """Fit on a bounded sample of ``(y, buckets)`` by mini-batch adaptive gradients."""
-    y = sample.column("y").to_numpy().astype(np.float64)
+    """Fit on a bounded sample of ``(y, buckets)``."""
+    y = sample.column("y").to_numpy().astype(np.float32)
     nothing = Machine(-40.0 if not len(y) or not y.any() else 40.0, np.zeros(1), np.zeros((1, FACTORS)), np.full(BUCKETS, -1, np.int32))
     if not len(y) or y.min() == y.max():
         return nothing
     # the sample stays in Arrow's own arrays; nothing is made for a single term
     buckets = sample.column("buckets").combine_chunks()
-    size = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
-    flat = buckets.flatten().to_numpy()
-    ones, total, share = np.bincount(flat[np.repeat(y > 0, size)], minlength=BUCKETS), np.bincount(flat, minlength=BUCKETS), y.mean()
-    z = (ones - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (total >= 3))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_TERMS]])
-    index = np.full(BUCKETS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    term = index[flat]
-    known = term >= 0
-    stop = np.append(0, np.cumsum(known))[np.cumsum(size)[:-1]]
-    lists = np.split(term[known], stop)
-    m = max(1, len(chosen))
+    size = pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
+    seen, flat = np.unique(buckets.flatten().to_numpy(), return_inverse=True)
+    flat = flat.astype(np.int32)
+    at, m, share = np.cumsum(size) - size, max(1, len(seen)), float(y.mean())
+    total = np.bincount(flat, minlength=m)
+    z = np.abs(np.bincount(flat[np.repeat(y > 0, size)], minlength=m) - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
+    # a term that says little by itself gets a weight only against a high penalty
+    penalty = (WEIGHT_PENALTY * np.maximum(1, (PLAIN_Z / np.maximum(z, 1e-3)) ** 4)).astype(np.float32)
+    # texts of many terms take smaller steps: they move the score by all of them
+    scale = 1 / np.sqrt(max(1.0, size.mean()))
     draw = np.random.Generator(np.random.Philox(seed))
-    w, v, bias = np.zeros(m), draw.normal(0, 0.02, (m, FACTORS)), float(np.log(share / (1 - share)))
-    gw, gv, gb = np.full(m, 1e-8), np.full((m, FACTORS), 1e-8), 1e-8
-    for _ in range(EPOCHS):
+    w, v, bias = np.zeros(m, np.float32), draw.normal(0, 0.2 * scale, (m, FACTORS)).astype(np.float32), float(np.log(share / (1 - share)))
+    gw, gv, gb = np.full(m, 1e-4, np.float32), np.full(m, 1e-4, np.float32), 1e-8
+    place = np.zeros(m, np.int32)
+    for _ in range(max(ROUNDS, -(-STEPS * BATCH // len(y)))):
         order = draw.permutation(len(y))
-        for s in range(0, len(y), 256):
-            some = order[s : s + 256]
-            rows = np.repeat(np.arange(len(some)), [len(lists[i]) for i in some])
-            cols = np.concatenate([lists[i] for i in some]).astype(np.int64)
-            held = v[cols]
-            sums = np.stack([np.bincount(rows, held[:, f], len(some)) for f in range(FACTORS)], 1)
-            raw = bias + np.bincount(rows, w[cols], len(some)) + ((sums**2).sum(1) - np.bincount(rows, (held**2).sum(1), len(some))) / 2
-            slope = (logistic(raw) - y[some]) / len(some)
-            used, inverse = np.unique(cols, return_inverse=True)
-            dw = np.bincount(inverse, slope[rows], len(used)) + 1e-6 * w[used]
-            each = slope[rows, None] * (sums[rows] - held)
-            dv = np.stack([np.bincount(inverse, each[:, f], len(used)) for f in range(FACTORS)], 1) + 1e-5 * v[used]
+        for s in range(0, len(y), BATCH):
+            some = order[s : s + BATCH]
+            some = some[size[some] > 0]
+            if not len(some):
+                continue
+            n, cols = size[some], ragged(flat, at[some], size[some])
+            first, held = np.cumsum(n) - n, v[cols]
+            sums = np.add.reduceat(held, first, 0)
+            raw = bias + np.add.reduceat(w[cols], first) + ((sums**2).sum(1) - np.add.reduceat((held**2).sum(1), first)) / 2
+            slope = ((logistic(raw) - y[some]) / len(some)).astype(np.float32)
+            used = np.unique(cols)
+            place[used] = np.arange(len(used))
+            inverse, steep = place[cols], np.repeat(slope, n)
+            dw = np.bincount(inverse, steep, len(used)).astype(np.float32)
+            each = steep[:, None] * (np.repeat(sums, n, 0) - held)
+            dv = np.stack([np.bincount(inverse, each[:, f], len(used)) for f in range(FACTORS)], 1).astype(np.float32)
             gw[used] += dw**2
-            gv[used] += dv**2
-            w[used] -= 0.1 * dw / np.sqrt(gw[used])
-            v[used] -= 0.02 * dv / np.sqrt(gv[used])
-            db = slope.sum()
+            gv[used] += (dv**2).sum(1)
+            rate = WEIGHT_RATE / np.sqrt(gw[used])
+            w[used] = shrunk(w[used] - rate * dw, rate * penalty[used])
+            rate = FACTOR_RATE * scale / np.sqrt(gv[used])
+            moved = v[used] - rate[:, None] * dv
+            length = np.sqrt((moved**2).sum(1))
+            v[used] = moved * np.maximum(0, 1 - rate * FACTOR_PENALTY / np.maximum(length, 1e-12))[:, None]
+            db = float(slope.sum())
             gb += db**2
             bias -= 0.05 * db / np.sqrt(gb)
-    return Machine(bias, w, v, index)
+    live = np.flatnonzero((w != 0) | (v != 0).any(1))
+    index = np.full(BUCKETS, -1, np.int32)
+    index[seen[live]] = np.arange(len(live))
+    return Machine(bias, np.append(w[live], 0).astype(np.float64), np.concatenate([v[live], np.zeros((1, FACTORS))]), index)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Fit on the ``sample`` labelled texts with the least hash of their id."""
-    few = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("__k"), (F.col(label) == 1).cast("int").alias("y"))
-    few = few.orderBy(F.xxhash64("__k"), "__k", "y").limit(sample)
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most_terms: int = SAMPLE_TERMS) -> Machine:
+    """Fit on the ``sample`` labelled texts with the least hash of their id, as far as their terms are ``most_terms`` at most."""
+    few = labels.select(col(id).alias("k"), (col(label) == 1).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
+    few = few.withColumn("place", F.xxhash64("k")).orderBy("place", "k", "y").limit(sample)
     # bounded by the parameter: ids and labels of the sample
-    labelled = docs.select(F.col(id).alias("__i"), F.col(text).alias("text")).join(F.broadcast(few), F.col("__i") == F.col("__k"))
-    return fit(sample_terms(labelled).toArrow())
+    labelled = docs.select(col(id).alias("i"), col(text).alias("text")).join(F.broadcast(few), F.col("i") == F.col("k"))
+    made = materialise(sample_terms(labelled), "terms")
+    # the places and sizes of at most ``sample`` texts (repeated ids aside) tell how far the terms reach
+    sizes = made.groupBy("place").agg(F.sum("size").alias("n")).orderBy("place").toArrow()
+    reach = np.cumsum(sizes.column("n").to_numpy()) if sizes.num_rows else np.zeros(0)
+    last = sizes.column("place")[int(max(0, np.searchsorted(reach, most_terms, "right") - 1))].as_py() if sizes.num_rows else 0
+    machine = fit(made.where(F.col("place") <= last).orderBy("place", "y", "size").toArrow())
+    dematerialise(made)
+    return machine
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row."""
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    shared = df.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers and MOST_TERMS factors at most
-    shape = T.StructType([*(df.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    shared = df.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers and as many factors at most
+    added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(column: pa.Array) -> list[pa.Array]:
         m = shared.value
-        for b in batches:
-            raw = [np.zeros(0)]
-            for w in words(b.column(text), ALNUM):
-                raw.append(m.raw(w.last - w.first, *known_terms(w, m.index)))
-            p = logistic(np.concatenate(raw))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[f.name for f in shape])
+        raw = [m.raw(w.last - w.first, *known_terms(w, m.index)) for w in words(column, ALNUM)]
+        p = logistic(np.concatenate([np.zeros(0), *raw]))
+        return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
 
-    return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, shape)
+    return append(df, text, added, rate)
 
 
 def held_out(id: str = "doc_id") -> Column:
     """Whether a row is never learned from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(col(id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,30 @@ def test_machine_learns_pairs_that_no_linear_model_can(spark):
     assert toxicity.score(docs.where("doc_id < 0"), machine).count() == 0
 
 
+def test_machine_learns_pairs_without_any_say_of_their_own(spark):
+    """The label is that both terms are there or neither: no term alone tells anything."""
+    random.seed(21)
+    plain, rows = ["p%d" % i for i in range(60)], []
+    for d in range(1200):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        text = random.choices(plain, k=12) + ["alpha"] * a + ["beta"] * b
+        random.shuffle(text)
+        rows.append((d, " ".join(text), int(a == b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").selectExpr("*", "1 AS `a.b`", "2 AS Predicted")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    machine = toxicity.learn(docs, labels.where(~toxicity.held_out()))
+    got = toxicity.score(docs, machine).withColumn("out", toxicity.held_out()).where("out").collect()
+    assert np.mean([r.predicted == rows[r.doc_id][2] for r in got]) > 0.95
+    assert got[0].asDict().keys() == {"doc_id", "text", "a.b", "score", "predicted", "out"}
+
+
+def test_sample_is_bounded_by_terms(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"w{d}x{i}" for i in range(50))) for d in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, toxic int")
+    few = toxicity.learn(docs, labels, most_terms=600)
+    assert 0 < (few.index >= 0).sum() <= 600 < (toxicity.learn(docs, labels).index >= 0).sum()
+
+
 def test_machine_score_is_the_formula():
     m = toxicity.Machine(0.3, np.array([1.0, -2, 0.5]), np.random.default_rng(0).standard_normal((3, 4)), np.zeros(1))
     raw = m.raw(2, np.array([0, 0, 0]), np.array([0, 1, 2]))
