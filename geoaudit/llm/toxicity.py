@@ -46,10 +46,10 @@ BEGINNINGS = (4, 5, 6)
 FACTORS = 8
 #: Texts in a step; steps, and rounds over the sample, at least.
 BATCH = 128
-STEPS = 900
+STEPS = 600
 ROUNDS = 5
 #: Penalties of weights (of terms whose z-score is PLAIN_Z or more) and of factors; rates of both.
-WEIGHT_PENALTY, FACTOR_PENALTY = 5e-4, 8e-3
+WEIGHT_PENALTY, FACTOR_PENALTY = 1e-4, 8e-3
 PLAIN_Z = 4.0
 WEIGHT_RATE, FACTOR_RATE = 0.2, 0.1
 
@@ -122,6 +122,24 @@ def shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
+def step(flat: np.ndarray, at: np.ndarray, size: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The texts ``some`` by text and by term.
+
+    Returns the texts, their distinct terms, the number among these of each term of
+    each text with each text's first place, and the texts' numbers by term with
+    each term's first place.
+    """
+    n = size[some]
+    cols = ragged(flat, at[some], n)
+    row = np.repeat(np.arange(len(some), dtype=np.uint8), n)
+    order = np.argsort(cols, kind="stable")
+    by = cols[order]
+    runs = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    term = np.empty(len(cols), np.int32)
+    term[order] = np.repeat(np.arange(len(runs), dtype=np.int32), np.diff(np.append(runs, len(by))))
+    return some, by[runs], term, np.cumsum(n) - n, row[order], runs
+
+
 def fit(sample: pa.Table, seed: int = 7) -> Machine:
     """Fit on a bounded sample of ``(y, buckets)``."""
     y = sample.column("y").to_numpy().astype(np.float32)
@@ -133,7 +151,7 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     size = pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
     seen, flat = np.unique(buckets.flatten().to_numpy(), return_inverse=True)
     flat = flat.astype(np.int32)
-    at, m, share = np.cumsum(size) - size, max(1, len(seen)), float(y.mean())
+    m, share = max(1, len(seen)), float(y.mean())
     total = np.bincount(flat, minlength=m)
     z = np.abs(np.bincount(flat[np.repeat(y > 0, size)], minlength=m) - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     # a term that says little by itself gets a weight only against a high penalty
@@ -143,31 +161,24 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     draw = np.random.Generator(np.random.Philox(seed))
     w, v, bias = np.zeros(m, np.float32), draw.normal(0, 0.2 * scale, (m, FACTORS)).astype(np.float32), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(m, 1e-4, np.float32), np.full(m, 1e-4, np.float32), 1e-8
-    place = np.zeros(m, np.int32)
-    for _ in range(max(ROUNDS, -(-STEPS * BATCH // len(y)))):
-        order = draw.permutation(len(y))
-        for s in range(0, len(y), BATCH):
-            some = order[s : s + BATCH]
-            some = some[size[some] > 0]
-            if not len(some):
-                continue
-            n, cols = size[some], ragged(flat, at[some], size[some])
-            first, held = np.cumsum(n) - n, v[cols]
-            sums = np.add.reduceat(held, first, 0)
-            raw = bias + np.add.reduceat(w[cols], first) + ((sums**2).sum(1) - np.add.reduceat((held**2).sum(1), first)) / 2
-            slope = ((logistic(raw) - y[some]) / len(some)).astype(np.float32)
-            used = np.unique(cols)
-            place[used] = np.arange(len(used))
-            inverse, steep = place[cols], np.repeat(slope, n)
-            dw = np.bincount(inverse, steep, len(used)).astype(np.float32)
-            each = steep[:, None] * (np.repeat(sums, n, 0) - held)
-            dv = np.stack([np.bincount(inverse, each[:, f], len(used)) for f in range(FACTORS)], 1).astype(np.float32)
+    order = draw.permutation(np.flatnonzero(size > 0))
+    steps = [step(flat, np.cumsum(size) - size, size, order[s : s + BATCH]) for s in range(0, len(order), BATCH)]
+    for _ in range(max(ROUNDS, -(-STEPS // max(1, len(steps))))):
+        for k in draw.permutation(len(steps)).tolist():
+            some, used, term, first, row, runs = steps[k]
+            wu, vu = w[used], v[used]
+            sums = np.add.reduceat(vu[term], first, 0)
+            pairs = (sums**2).sum(1) - np.add.reduceat((vu**2).sum(1)[term], first)
+            slope = ((logistic(bias + np.add.reduceat(wu[term], first) + pairs / 2) - y[some]) / len(some)).astype(np.float32)
+            # by term: the slopes of its texts, and those times the texts' sums of factors
+            back = np.add.reduceat(np.concatenate([slope[:, None], slope[:, None] * sums], 1)[row], runs, 0)
+            dw, dv = back[:, 0], back[:, 1:] - vu * back[:, :1]
             gw[used] += dw**2
             gv[used] += (dv**2).sum(1)
             rate = WEIGHT_RATE / np.sqrt(gw[used])
-            w[used] = shrunk(w[used] - rate * dw, rate * penalty[used])
+            w[used] = shrunk(wu - rate * dw, rate * penalty[used])
             rate = FACTOR_RATE * scale / np.sqrt(gv[used])
-            moved = v[used] - rate[:, None] * dv
+            moved = vu - rate[:, None] * dv
             length = np.sqrt((moved**2).sum(1))
             v[used] = moved * np.maximum(0, 1 - rate * FACTOR_PENALTY / np.maximum(length, 1e-12))[:, None]
             db = float(slope.sum())
