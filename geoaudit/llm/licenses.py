@@ -7,8 +7,12 @@ the cosine of sparse TF-IDF vectors of words; document frequencies are counted o
 all texts, exactly for the templates' words and by a sketch of fixed size for all
 others (the lesser of two hashed counts, so never too low).
 
-A whole text that is close to a template (``WHOLE``) has its licence, even if a
-sentence of it that several licences share is closer to another one's.
+Templates are the wordings below and the whole licence texts in ``licence_texts``.
+A whole text that is a template's but for names (``ENTIRE``) has its licence, even if a
+sentence of it that several licences share is closer to another one's.  Else the
+first line or paragraph that is close to one (``WHOLE``) decides (a licence file names its own
+licence before those of what it bundles), else the closest one.  All licences that
+any line, paragraph or the whole reaches are listed as well.
 
 A file whose own best cosine reaches ``LEAST`` has that licence.  A file without
 one inherits from the nearest ancestor directory that has a licence file: every
@@ -17,12 +21,16 @@ wins (of several licence files in one directory the one with the least path).
 
 Defined results: null or empty texts have no own licence; a null path has no
 directory and inherits nothing; ties between templates go to the first licence in
-order; repeated rows are scanned one by one; an empty table gives an empty result.
+order; repeated rows are scanned one by one; a very long text is scanned by itself,
+whole; an empty table gives an empty result.  Other columns pass through, whatever
+their names; those named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +38,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoaudit.llm._frames import append, col
 from geoaudit.llm._words import ALNUM, U, Words, mix, words
 from geoaudit.session import materialise, table
 
 #: Least cosine of a licence.
 LEAST = 0.6
-#: Cosine from which a whole text decides.
+#: Cosine from which a whole text is a licence's text, and from which the first line or paragraph decides.
+ENTIRE = 0.95
 WHOLE = 0.8
 #: Counts in each half of the sketch.
 SKETCH = 1 << 19
@@ -43,6 +53,8 @@ SKETCH = 1 << 19
 _NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program"
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = 'MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC = 'ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 #: Licences and the wordings by which files name them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -73,12 +85,22 @@ TEMPLATES = [
     ("GPL-2.0-or-later", _GNU.format("GNU General Public License", 2) + " " + _NO_WARRANTY.format("GNU General Public License")),
     ("GPL-3.0", _GNU.format("GNU General Public License", 3) + " " + _NO_WARRANTY.format("GNU General Public License")),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("PSF-2.0", 'PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2 1. This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation.'),
+    ("MIT", _MIT),
+    ("ISC", _ISC),
 ]
 
 
+@lru_cache(1)
+def templates() -> list[tuple[str, str]]:
+    """Licences and wordings: TEMPLATES and the whole texts of the folder ``licence_texts``."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return TEMPLATES + [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files]
+
+
 def vocabulary() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Sorted hashes of the templates' words, and each template as (word numbers, counts)."""
-    hashes = [np.concatenate([w.hashes for w in words(pa.array([t]), ALNUM)]) for _, t in TEMPLATES]
+    hashes = [np.concatenate([w.hashes for w in words(pa.array([t]), ALNUM)]) for _, t in templates()]
     known = np.unique(np.concatenate(hashes))
     return known, [np.unique(np.searchsorted(known, h), return_counts=True) for h in hashes]
 
@@ -115,7 +137,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray, n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # of the sketch's fixed size at most
+    rows = docs.select(col(text)).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # of the sketch's fixed size at most
     total = np.zeros(size, np.int64)
     total[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return int(total[-1]), total[: len(known)], total[len(known) : -1]
@@ -126,10 +148,11 @@ class Scanner:
 
     def __init__(self, n: int, frequency: np.ndarray, sketch: np.ndarray | None = None):
         self.known, counts = vocabulary()
+        self.names = [name for name, _ in templates()]
         self.idf = np.log((1.0 + n) / (1.0 + frequency)) + 1
         self.n, self.sketch = n, sketch
         self.other = float(np.log(1.0 + n) + 1)  # words that no text has
-        self.templates = np.zeros((len(self.known), len(TEMPLATES)))
+        self.templates = np.zeros((len(self.known), len(self.names)))
         for k, (word, count) in enumerate(counts):
             weight = (1 + np.log(count)) * self.idf[word]
             self.templates[word, k] = weight / np.sqrt((weight**2).sum())
@@ -155,17 +178,20 @@ class Scanner:
         weight *= 1 + np.log(times)
         norm = np.sqrt(np.bincount(s, weight**2, n))
         hit = number >= 0
-        out = np.zeros((n, len(TEMPLATES)))
-        for k in range(len(TEMPLATES)):
+        out = np.zeros((n, len(self.names)))
+        for k in range(len(self.names)):
             out[:, k] = np.bincount(s[hit], weight[hit] * self.templates[number[hit], k], n)
         return out / np.maximum(norm, 1e-12)[:, None]
 
-    def best(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text of a chunk its best cosine, the template's number, and the grain (0 line, 1 paragraph, 2 whole)."""
+    def best(self, w: Words, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text of a chunk its deciding cosine, the template's number, and the grain (0 line, 1 paragraph, 2 whole).
+
+        And the ``(text, template)`` pairs of all segments' best templates that reach ``least``.
+        """
         n = w.last - w.first
         top, which, grain = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if not len(w.starts):
-            return top, which, grain
+            return top, which, grain, np.zeros((0, 2), np.int64)
         rows = w.rows
         line = np.append(0, np.cumsum(w.data == 10))[w.starts]
         # a paragraph ends at a line break that only blanks separate from the next one
@@ -173,37 +199,41 @@ class Scanner:
         solid = np.append(0, np.cumsum((w.data != 10) & (w.data != 13) & (w.data != 32) & (w.data != 9)))
         ends = breaks[1:][solid[breaks[1:]] == solid[breaks[:-1]]]
         paragraph = np.searchsorted(ends, w.starts)
+        found = []  # (row, first word, -cosine, grain, template) of each segment
         for g, part in enumerate((line, paragraph, np.zeros(len(rows), np.int64))):
             key = rows * (int(part.max()) + 1) + part
-            kinds, segment = np.unique(key, return_inverse=True)
+            kinds, start, segment = np.unique(key, return_index=True, return_inverse=True)
             cos = self.cosines(w, segment, len(kinds))
-            value, k = cos.max(1), cos.argmax(1)
-            row = kinds // (int(part.max()) + 1)
-            order = np.lexsort((-value, row))
-            first = order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))]
-            r, v = row[first], value[first]
-            better = (v > top[r] + 1e-9) | ((g == 2) & (v >= WHOLE) & (k[first] != which[r]))
-            top[r[better]], which[r[better]], grain[r[better]] = v[better], k[first][better], g
-        return top, which, grain
+            found.append(np.stack([kinds // (int(part.max()) + 1), start, -cos.max(1), np.full(len(kinds), g), cos.argmax(1)], 1))
+        each = np.concatenate(found)
+        row, strong = each[:, 0], -each[:, 2] >= WHOLE
+        # the whole if it is close; else the first close segment (the closest of those); else the closest (the finer of equal ones)
+        rank = np.where((each[:, 3] == 2) & (-each[:, 2] >= ENTIRE), 0, np.where(strong & (each[:, 3] < 2), 1, 2))
+        order = np.lexsort((each[:, 3], np.round(each[:, 2], 9), np.where(rank == 1, each[:, 1], 0), rank, row))
+        first = order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))]
+        r = row[first].astype(np.int64)
+        top[r], grain[r], which[r] = -each[first, 2], each[first, 3], each[first, 4]
+        return top, which, grain, each[-each[:, 2] >= least][:, [0, 4]].astype(np.int64)
 
 
 def scan(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
-    """Append ``own_license``, ``similarity`` (of the best template) and ``grain`` to every row."""
+    """Append ``own_license``, ``similarity`` (of the deciding template), ``grain`` and ``all_licenses`` to every row."""
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(*document_frequencies(docs, text)))  # of the templates' and the sketch's size
-    kept = [c for c in docs.columns if c not in ("own_license", "similarity", "grain")]
+    added = T.StructType.fromDDL("own_license string, similarity double, grain string, all_licenses array<string>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(column: pa.Array) -> list[pa.Array]:
         s = scanner.value
-        for b in batches:
-            found = [s.best(w) for w in words(b.column(text), ALNUM)]
-            value, which, grain = (np.concatenate([np.zeros(0), *(f[k] for f in found)]) for k in range(3))
-            names = [TEMPLATES[int(k)][0] if v >= least else None for v, k in zip(value, which, strict=True)]
-            grains = [("line", "paragraph", "whole")[int(g)] if v > 0 else None for v, g in zip(value, grain, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(names, pa.string()), pa.array(value, pa.float64()), pa.array(grains, pa.string())], names=[*kept, "own_license", "similarity", "grain"])
+        found = [(w.first, *s.best(w, least)) for w in words(column, ALNUM)]
+        value, which, grain = (np.concatenate([np.zeros(0), *(f[k] for f in found)]) for k in (1, 2, 3))
+        names = [s.names[int(k)] if v >= least else None for v, k in zip(value, which, strict=True)]
+        grains = [("line", "paragraph", "whole")[int(g)] if v > 0 else None for v, g in zip(value, grain, strict=True)]
+        every: list[set] = [set() for _ in range(len(column))]
+        for first, *_, pairs in found:
+            for r, k in np.unique(pairs, axis=0).tolist():
+                every[first + r].add(s.names[k])
+        return [pa.array(names, pa.string()), pa.array(value, pa.float64()), pa.array(grains, pa.string()), pa.array([sorted(e) for e in every], pa.list_(pa.string()))]
 
-    shape = [docs.schema[c] for c in kept]
-    added = [T.StructField("own_license", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("grain", T.StringType())]
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType([*shape, *added]))
+    return append(docs, text, added, look)
 
 
 def directory(path: Column) -> Column:
@@ -217,19 +247,21 @@ def inherit(files: DataFrame, is_license_file: Column, path: str = "path") -> Da
     ``is_license_file`` says which files speak for their directory; a file's own
     licence comes first, and ``inherited_from`` is null then.
     """
-    marked = files.withColumn("__speaks", F.coalesce(is_license_file & F.col("own_license").isNotNull() & F.col(path).isNotNull(), F.lit(False)))
-    spoken = marked.where("__speaks").groupBy(directory(F.col(path)).alias("__dir")).agg(F.min(F.struct(F.col(path).alias("p"), F.col("own_license").alias("l"))).alias("__x")).select("__dir", F.col("__x.l").alias("__license"))
+    kept = [c for c in files.columns if c.lower() not in ("license", "inherited_from")]
+    # the row travels as one value, so that no name of its columns can clash with those here
+    rows = files.select(F.struct(*map(col, kept)).alias("row"), col(path).alias("path"), col("own_license").alias("own"), F.coalesce(is_license_file, F.lit(False)).alias("speaks"))
+    rows = rows.withColumn("dir", directory(F.col("path")))
+    spoken = rows.where("speaks AND own IS NOT NULL AND path IS NOT NULL").groupBy("dir").agg(F.min(F.struct("path", "own")).alias("x")).select("dir", F.col("x.own").alias("license"))
     # ancestors of the distinct directories, not of the files
-    parts = F.split("__of", "/")
-    depth = F.when(F.col("__of") == "", 0).otherwise(F.size(parts))
+    parts = F.split("of", "/")
+    depth = F.when(F.col("of") == "", 0).otherwise(F.size(parts))
     above = F.transform(F.sequence(F.lit(0), depth), lambda i: F.array_join(F.slice(parts, 1, F.size(parts) - i), "/"))
-    above = F.when(F.col("__of") == "", F.array(F.lit(""))).otherwise(above)
-    dirs = files.where(F.col(path).isNotNull()).select(directory(F.col(path)).alias("__of")).distinct().select("__of", F.posexplode(above).alias("__up", "__dir"))
-    nearest = dirs.join(spoken, "__dir").groupBy("__of").agg(F.min(F.struct("__up", "__dir", "__license")).alias("__n"))
-    out = files.withColumn("__of", directory(F.col(path))).join(nearest, "__of", "left")
-    own = F.col("own_license").isNotNull()
-    kept = [c for c in files.columns if c not in ("license", "inherited_from")]
-    return out.select(*kept, F.coalesce("own_license", F.col("__n")["__license"]).alias("license"), F.when(~own, F.col("__n")["__dir"]).alias("inherited_from"))
+    above = F.when(F.col("of") == "", F.array(F.lit(""))).otherwise(above)
+    dirs = rows.where("path IS NOT NULL").select(F.col("dir").alias("of")).distinct().select("of", F.posexplode(above).alias("up", "dir"))
+    nearest = dirs.join(spoken, "dir").groupBy("of").agg(F.min(F.struct("up", "dir", "license")).alias("near"))
+    out = rows.join(nearest, F.col("dir") == F.col("of"), "left")
+    field = lambda c: F.col("row.`" + c.replace("`", "``") + "`").alias(c)
+    return out.select(*map(field, kept), F.coalesce("own", "near.license").alias("license"), F.when(F.col("own").isNull(), F.col("near.dir")).alias("inherited_from"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +273,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = materialise(scan(docs).drop("text"), "licences")  # read three times below, scanned once
-    place = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 64).cast("string")]
-    up = F.when(F.col("own_license").isNull(), 0).otherwise(F.col("doc_id") % 3).cast("int")
-    path = F.concat_ws("/", F.array_join(F.slice(F.array(*place), F.lit(1), 3 - up), "/"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    place = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce((F.col("doc_id") % 64).cast("string"), F.lit("none"))]
+    up = F.when(F.col("own_license").isNull(), 0).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)) % 3).cast("int")
+    path = F.concat_ws("/", F.array_join(F.slice(F.array(*place), F.lit(1), 3 - up), "/"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     done = inherit(found.withColumn("path", path), F.col("own_license").isNotNull())
-    return done.select("doc_id", "path", "own_license", F.round("similarity", 9).alias("similarity"), "grain", "license", "inherited_from")
+    return done.select("doc_id", "path", "own_license", F.round("similarity", 9).alias("similarity"), "grain", "license", "inherited_from", "all_licenses")

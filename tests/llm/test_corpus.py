@@ -6,6 +6,8 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -220,19 +222,63 @@ def test_licences(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+PACKAGES = Path("/opt/py313/lib/python3.13/site-packages")
+
+
+@pytest.mark.skipif(not PACKAGES.exists(), reason="needs the licence files of installed packages")
+def test_licence_files_of_installed_packages(spark):
+    files = {"requests-*/licenses/LICENSE": "Apache-2.0", "packaging-*/licenses/LICENSE.APACHE": "Apache-2.0", "packaging-*/licenses/LICENSE.BSD": "BSD-2-Clause", "numpy-*/LICENSE.txt": "BSD-3-Clause", "pyarrow-*/licenses/LICENSE.txt": "Apache-2.0", "typing_extensions-*/licenses/LICENSE": "PSF-2.0", "pytest-*/licenses/LICENSE": "MIT", "pandas-*/LICENSE": "BSD-3-Clause"}
+    rows = [(pattern, f.read_text(encoding="utf-8", errors="replace")) for pattern in files for f in list(PACKAGES.glob(pattern))[:1]]
+    rows += [(f"whole {name}", text) for name, text in licenses.templates() if len(text) > 2000]
+    filler = [(f"plain {i}", " ".join(random.choices(["copyright", "the", "of", "and", "software", "text", "words", "other", "things"], k=50))) for i in range(60)]
+    df = spark.createDataFrame(rows + filler, "path string, text string").selectExpr("*", "'x' AS dir", "1 AS `up.of`", "2 AS row")
+    got = {r.path: r for r in licenses.scan(df).collect()}
+    assert {p: got[p].own_license for p, _ in rows if p in files} == {p: files[p] for p, _ in rows if p in files}
+    assert all(got[p].own_license == p.removeprefix("whole ") for p, _ in rows if p.startswith("whole"))
+    assert {"BSD-3-Clause", "GPL-3.0"} <= set(got["numpy-*/LICENSE.txt"].all_licenses)
+    assert all(got[p].own_license is None for p, _ in filler)
+    kept = licenses.inherit(licenses.scan(df), F.lit(False))
+    assert kept.columns == [*df.columns, "own_license", "similarity", "grain", "all_licenses", "license", "inherited_from"]
+    assert {r.dir for r in kept.collect()} == {"x"}
+
+
+def test_licences_are_plain_cosines(spark):
+    """Cosines of lines, paragraphs and wholes by dictionaries, with document frequencies counted by loops."""
+    random.seed(31)
+    pool = "released under the mit license this program is free software of and any".split() + ["odd%d" % i for i in range(8)]
+    texts = ["\n".join(" ".join(random.choices(pool, k=random.randint(0, 7))) + random.choice(["", "\n"]) for _ in range(random.randint(0, 6))) for _ in range(60)] + ["Released under the MIT License.", None]
+    find = lambda x: re.findall(r"[0-9a-z]+", (x or "").lower())
+    df = Counter(w for t in texts for w in set(find(t)))
+    weigh = lambda ws: {w: (1 + np.log(c)) * (np.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in Counter(ws).items()}
+    norm = lambda d: np.sqrt(sum(v * v for v in d.values())) or 1.0
+    known = [weigh(find(t)) for _, t in licenses.templates()]
+
+    def near(segment):
+        d = weigh(find(segment))
+        return max(sum(d[w] * t.get(w, 0) for w in d) / norm(d) / norm(t) for t in known)
+
+    got = {r.i: r.similarity for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, text in enumerate(texts):
+        whole, parts = near(text), [near(x) for x in (text or "").split("\n") + re.split(r"\n[ \t]*\n", text or "")]
+        if max([whole, *parts]) < licenses.WHOLE:
+            assert got[i] == pytest.approx(max([whole, *parts]), abs=1e-9)
+        else:
+            assert got[i] >= licenses.WHOLE - 1e-9
+
+
 def test_licence_cosine_is_the_formula():
     n, f = 10, np.arange(len(licenses.vocabulary()[0])) % 7
     s = licenses.Scanner(n, f)
     text = "Released under under the MIT License by nobody"
     w = next(licenses.words(pa.array([text]), licenses.ALNUM))
-    value, which, _ = s.best(w)
+    value, which, _, _ = s.best(w)
     word = lambda x: next(licenses.words(pa.array([x]), licenses.ALNUM)).hashes[0]
     idf = lambda x: s.idf[licenses.numbered(np.array([word(x)]), s.known)[0]]
     doc = {x: idf(x) * (1 + np.log(c)) for x, c in (("released", 1), ("under", 2), ("the", 1), ("mit", 1), ("license", 1))}
     norm = np.sqrt(sum(v**2 for v in doc.values()) + s.other**2 * (1 if licenses.numbered(np.array([word("by")]), s.known)[0] < 0 else 0) + (0 if licenses.numbered(np.array([word("by")]), s.known)[0] < 0 else idf("by") ** 2) + s.other**2)
     t = {x: idf(x) for x in ("released", "under", "the", "mit", "license")}
     want = sum(doc[x] * t[x] for x in t) / norm / np.sqrt(sum(v**2 for v in t.values()))
-    assert licenses.TEMPLATES[which[0]][0] == "MIT" and value[0] == pytest.approx(want)
+    assert s.names[which[0]] == "MIT" and value[0] == pytest.approx(want)
 
 
 def test_matrix_sums_and_mean():
