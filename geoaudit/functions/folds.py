@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def block_id(row: Column, col: Column, width: int, side: int, row_offset: int = 0, col_offset: int = 0) -> Column:
@@ -15,43 +21,52 @@ def block_id(row: Column, col: Column, width: int, side: int, row_offset: int =
 def group_folds(groups: DataFrame, k: int, group: str = "grp", size: str = "n") -> DataFrame:
     """``(group, fold)``: groups by size, largest first, each into the lightest fold so far.
 
-    Ties: the greater group first, the least fold first.  Greedy by nature: the
-    groups' sizes (one row per spatial block) are folded in one expression.
+    Ties: the greater group first, the least fold first.  Greedy by nature: one
+    task reads the groups' sizes in order (one row per spatial block, not per
+    point) and holds nothing but the folds' loads.
     """
-    listed = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(size).cast("bigint").alias("n"), F.col(group).alias("g"))), asc=False).alias("gs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"), F.array().cast("array<int>").alias("folds"))
 
-    def step(state: Column, g: Column) -> Column:
-        at = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
-        return F.struct(F.transform(state["loads"], lambda x, i: F.when(i == at, x + g["n"]).otherwise(x)).alias("loads"), F.concat(state["folds"], F.array(at)).alias("folds"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, i) for i in range(k)]
+        for b in batches:
+            folds = []
+            for n in b.column("n").to_pylist():
+                load, i = loads[0]
+                heapq.heapreplace(loads, (load + n, i))
+                folds.append(i)
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(folds, pa.int64())], names=["g", "fold"])
 
-    done = listed.select("gs", F.aggregate("gs", start, step)["folds"].alias("fs"))
-    return done.select(F.explode(F.arrays_zip("gs", "fs")).alias("x")).select(F.col("x.gs.g").alias(group), F.col("x.fs").cast("bigint").alias("fold"))
+    x = groups.select(F.col(group).alias("g"), F.col(size).cast("bigint").alias("n"))
+    shape = T.StructType([x.schema["g"], T.StructField("fold", T.LongType())])
+    done = x.repartition(1).sortWithinPartitions(F.desc("n"), F.desc("g")).mapInArrow(run, shape)
+    return done.withColumnRenamed("g", group)
 
 
 def stratified_group_folds(groups: DataFrame, k: int, group: str = "grp", pos: str = "pos", neg: str = "neg") -> DataFrame:
     """``(group, fold)``: groups by the spread of their two class counts, each where the folds' class shares stay most even.
 
     The criterion is the mean over classes of the deviation of the folds' shares
-    of the class; ties go to the fold with fewer members, then to the least.
+    of the class (compared at 9 decimals); ties go to the fold with fewer members,
+    then to the least.  One task reads the groups' counts in order, as above.
     """
-    listed = groups.agg(F.sort_array(F.collect_list(F.struct((F.abs(F.col(pos) - F.col(neg)) / 2.0).alias("s"), F.col(group).alias("g"), F.col(pos).cast("double").alias("p"), F.col(neg).cast("double").alias("q"))), asc=False).alias("gs"), F.greatest(F.sum(pos), F.lit(1)).cast("double").alias("tp"), F.greatest(F.sum(neg), F.lit(1)).cast("double").alias("tq"))
-    zeros = F.array_repeat(F.lit(0.0), k)
-    start = F.struct(zeros.alias("p"), zeros.alias("q"), F.array().cast("array<int>").alias("folds"))
-
-    def spread(x: Column) -> Column:
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / k
-        return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / k)
-
-    def step(state: Column, g: Column) -> Column:
-        put = lambda x, v, i, total: F.transform(x, lambda y, j: F.when(j == i, y + v).otherwise(y) / total)
-        cost = lambda i: F.struct(F.round((spread(put(state["p"], g["p"], i, F.col("tp"))) + spread(put(state["q"], g["q"], i, F.col("tq")))) / 2, 9).alias("c"), F.element_at(state["p"], i + 1).__add__(F.element_at(state["q"], i + 1)).alias("m"), i.alias("i"))
-        best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), cost))["i"]
-        plus = lambda x, v: F.transform(x, lambda y, j: F.when(j == best, y + v).otherwise(y))
-        return F.struct(plus(state["p"], g["p"]).alias("p"), plus(state["q"], g["q"]).alias("q"), F.concat(state["folds"], F.array(best)).alias("folds"))
-
-    done = listed.select("gs", F.aggregate("gs", start, step)["folds"].alias("fs"))
-    return done.select(F.explode(F.arrays_zip("gs", "fs")).alias("x")).select(F.col("x.gs.g").alias(group), F.col("x.fs").cast("bigint").alias("fold"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, k))
+        for b in batches:
+            folds = []
+            for p, q, tp, tq in zip(*(b.column(c).to_pylist() for c in ("p", "q", "tp", "tq")), strict=True):
+                tried = held[:, None, :] + np.array([p, q])[:, None, None] * np.eye(k)
+                cost = (tried / np.array([tp, tq])[:, None, None]).std(2).mean(0).round(9)
+                i = min(range(k), key=lambda i: (cost[i], held[:, i].sum(), i))
+                held[:, i] += p, q
+                folds.append(i)
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(folds, pa.int64())], names=["g", "fold"])
+
+    total = groups.agg(F.greatest(F.sum(pos), F.lit(1)).cast("double").alias("tp"), F.greatest(F.sum(neg), F.lit(1)).cast("double").alias("tq"))
+    x = groups.select(F.col(group).alias("g"), F.col(pos).cast("double").alias("p"), F.col(neg).cast("double").alias("q")).crossJoin(F.broadcast(total))  # one row
+    shape = T.StructType([x.schema["g"], T.StructField("fold", T.LongType())])
+    done = x.repartition(1).sortWithinPartitions(F.desc(F.abs(F.col("p") - F.col("q"))), F.desc("g")).mapInArrow(run, shape)
+    return done.withColumnRenamed("g", group)
 
 
 def stratified_folds(df: DataFrame, k: int, label: str, key: str, seed: int = 42) -> DataFrame:

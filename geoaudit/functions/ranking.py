@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = RANGES, like: DataFrame | None = None, alike: list[str] = ()) -> DataFrame:
     """Append ``<value>_before`` (sum over lower ``order`` in the group) and ``<value>_all`` (the group's sum).
 
-    ``df`` has one row per group and value of ``order``.
+    ``df`` has one row per group and value of ``order``.  The ranges are those of
+    ``like`` by ``alike`` if that is given (resamples of it, say), else of ``df`` itself.
     """
     keys = by or ["__one"]
     df = df if by else df.withColumn("__one", F.lit(1))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    cut = list(alike) if like is not None else keys
+    cuts = (df if like is None else like).groupBy(*cut).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
     # one row per group
-    placed = df.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order)))).drop("__cuts")
+    placed = df.join(cuts, cut).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order)))).drop("__cuts")
     sums = placed.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     over = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
@@ -41,12 +43,27 @@ def levels(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return clean.groupBy(*by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
 
 
+def numbered(df: DataFrame, order: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """Append ``name``: the rows' number from 0 by ``order`` (a number), counted within ranges after the ranges before."""
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
+    x = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")  # one row
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    low = x.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__low"))
+    within = Window.partitionBy("__range").orderBy(order)
+    return x.join(low, "__range").withColumn(name, F.col("__low") + F.row_number().over(within) - 1).drop("__range", "__low")
+
+
 def rank_metrics(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Per group ``n_pos``, ``n_neg``, ``auc`` (ties count half) and ``ap`` (steps over distinct scores).
 
     A group with one class only has null metrics.
     """
-    x = running_totals(levels(df, score, label, by), by, "score", ["pos", "neg"])
+    return level_metrics(levels(df, score, label, by), by)
+
+
+def level_metrics(counted: DataFrame, by: list[str], like: DataFrame | None = None, alike: list[str] = ()) -> DataFrame:
+    """The same from positives and negatives by distinct ``score``; ``like`` and ``alike`` as in :func:`running_totals`."""
+    x = running_totals(counted, by, "score", ["pos", "neg"], like=like, alike=alike)
     p, n = F.col("pos_all"), F.col("neg_all")
     tp = p - F.col("pos_before")
     called = tp + n - F.col("neg_before")
@@ -89,6 +106,23 @@ def quintile_table(areas: DataFrame, events: DataFrame, score: str, cell_km2: fl
     )
 
 
-def midpoint(x: Column, low: Column, high: Column) -> Column:
-    """x limited to [low, high]."""
-    return F.least(F.greatest(x, low), high)
+def captures(areas: DataFrame, events: DataFrame, score: str, shares: list[float], by: list[str] = ()) -> DataFrame:
+    """``(*by, share, captured)``: share of events scored at or above the area's top ``share``.
+
+    The threshold is the area's sorted score at index ``floor((1 - share) (n - 1))``;
+    shares of 0 and 1 capture nothing and all.  Thresholds for all shares come from
+    one pass over the area's distinct scores.
+    """
+    spark, by = areas.sparkSession, list(by)
+    x = areas.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    x = running_totals(x, by, "v", ["n"])
+    asked = spark.createDataFrame([(float(s),) for s in shares], "share double")
+    at = F.floor((1 - F.col("share")) * (F.col("n_all") - 1))
+    hit = (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
+    edges = x.crossJoin(F.broadcast(asked)).where(hit).select(*by, "share", F.col("v").alias("edge"))  # the asked shares
+    listed = edges.groupBy(*by).agg(F.collect_list(F.struct("share", "edge")).alias("edges")) if by else edges.agg(F.collect_list(F.struct("share", "edge")).alias("edges"))
+    e = events.where(F.col(score).isNotNull())
+    met = (e.join(listed, by) if by else e.crossJoin(F.broadcast(listed))).select(*by, score, F.explode("edges").alias("x"))
+    share = F.col("x.share")
+    caught = F.when(share <= 0, F.lit(0.0)).when(share >= 1, F.lit(1.0)).otherwise((F.col(score) >= F.col("x.edge")).cast("double"))
+    return met.groupBy(*by, share.alias("share")).agg(F.avg(caught).alias("captured"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoaudit.operators import blocks
+from geoaudit.operators.components import components
+
+#: Counts in a run of the expected mutual information.
+RUN = 4096
 
 
 def signatures(df: DataFrame, cluster: str, values: list[str], k: int) -> DataFrame:
@@ -40,10 +45,12 @@ def row_normalised(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.withColumn("share", F.col("n") / (F.sum("n").over(Window.partitionBy("a")) + 1e-9))
 
 
-def _log_factorials(spark, n: int) -> list[float]:
-    import math
-
-    return [math.lgamma(i + 1) for i in range(n + 1)]
+def log_factorial(k: Column) -> Column:
+    """ln k! of a whole number: listed below 16, from there on by Stirling's series (error below 1e-11)."""
+    k = k.cast("double")
+    listed = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(16)))
+    series = (k + 0.5) * F.log(k) - k + 0.5 * math.log(2 * math.pi) + 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, 5))
+    return F.when(k < 16, F.get(listed, F.greatest(k, F.lit(0.0)).cast("int"))).otherwise(series)
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -66,26 +73,24 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 def expected_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``(emi, ami)``: expected and adjusted mutual information under fixed margins.
 
-    Sums over pairs of classes and possible counts; logarithms of factorials come
-    from a running sum, as a table of n rows.
+    Sums over pairs of classes and the counts where the hypergeometric law has its
+    mass (twelve deviations around its mean); the counts of a pair are made in runs,
+    so that no array is longer than the larger of a run and their number.
     """
-    spark = df.sparkSession
     t = contingency(df, a, b)
     n = t.agg(F.sum("n")).first()[0] or 0
-    logs = spark.range(n + 1).select(F.col("id").alias("k"), F.log(F.greatest(F.col("id"), F.lit(1)).cast("double")).alias("l"))
-    cell = F.floor(F.col("k") / 1024)
-    sums = logs.groupBy(cell.alias("__c")).agg(F.sum("l").alias("__l"))
-    sums = sums.select("__c", F.coalesce(F.sum("__l").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__low"))
-    lf = logs.withColumn("__c", cell).join(F.broadcast(sums), "__c").select("k", (F.col("__low") + F.sum("l").over(Window.partitionBy("__c").orderBy("k"))).alias("f"))
+    x, y, m = F.col("x"), F.col("y"), F.col("m")
     ma, mb = t.groupBy("a").agg(F.sum("n").alias("x")), t.groupBy("b").agg(F.sum("n").alias("y"))
-    pairs = ma.crossJoin(mb).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("x") + F.col("y") - n), F.least("x", "y"))))
-    terms = pairs
-    for name, at in (("fx", F.col("x")), ("fy", F.col("y")), ("fnx", n - F.col("x")), ("fny", n - F.col("y")), ("fm", F.col("m")), ("fxm", F.col("x") - F.col("m")), ("fym", F.col("y") - F.col("m")), ("fr", n - F.col("x") - F.col("y") + F.col("m"))):
-        terms = terms.withColumn("__k", at).join(lf.select(F.col("k").alias("__k"), F.col("f").alias(name)), "__k").drop("__k")
-    fn = lf.where(F.col("k") == n).select(F.col("f").alias("fn"))
-    terms = terms.crossJoin(F.broadcast(fn))
-    p = F.exp(F.expr("fx + fy + fnx + fny - fn - fm - fxm - fym - fr"))
-    emi = terms.agg(F.sum(F.col("m") / n * F.log(F.col("m").cast("double") * n / (F.col("x") * F.col("y"))) * p).alias("emi"))
+    mean = x * y / F.lit(float(n or 1))
+    wide = 12 * F.sqrt(mean * (1 - x / float(n or 1)) * (1 - y / float(n or 1))) + 12
+    low = F.greatest(F.lit(1).cast("bigint"), x + y - n, F.floor(mean - wide))
+    high = F.least(x, y, F.ceil(mean + wide))
+    pairs = ma.crossJoin(mb).withColumn("low", low).withColumn("high", high).where("low <= high")  # pairs of clusters, not of rows
+    runs = pairs.withColumn("first", F.explode(F.sequence("low", "high", F.lit(RUN).cast("bigint"))))
+    terms = runs.withColumn("m", F.explode(F.sequence("first", F.least(F.col("first") + RUN - 1, F.col("high")))))
+    lf, whole = log_factorial, F.lit(n)
+    p = F.exp(lf(x) + lf(y) + lf(whole - x) + lf(whole - y) - lf(whole) - lf(m) - lf(x - m) - lf(y - m) - lf(whole - x - y + m))
+    emi = terms.agg(F.sum(m / n * F.log(m.cast("double") * n / (x * y)) * p).alias("emi"))
     w = t.groupBy("a").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("ha"))
     v = t.groupBy("b").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("hb"))
     c = t.agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("hab"))
@@ -147,35 +152,47 @@ def silhouette(points: DataFrame, key: str, cluster: str, vector: str) -> DataFr
     return per.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
+def best_way(score: np.ndarray) -> list[int]:
+    """For each row the column of the one-to-one matching with the greatest total, the first in order of equal ones.
+
+    Dynamic programming over sets of used columns: k 2**k steps.
+    """
+    k = len(score)
+    best: dict[int, tuple[float, int]] = {(1 << k) - 1: (0.0, -1)}
+    for used in sorted(range((1 << k) - 1), key=int.bit_count, reverse=True):
+        i = used.bit_count()
+        free = [j for j in range(k) if not used >> j & 1]
+        totals = [score[i, j] + best[used | 1 << j][0] for j in free]
+        top = max(totals)
+        best[used] = next((t, j) for t, j in zip(totals, free, strict=True) if t >= top - 5e-10)
+    way, used = [], 0
+    while len(way) < k:
+        way.append(best[used][1])
+        used |= 1 << way[-1]
+    return way
+
+
 def matched(pairs: DataFrame, a: str, b: str, score: str, k: int, by: list[str]) -> DataFrame:
     """The one-to-one matching of k and k clusters with the greatest total score, per group.
 
-    ``pairs`` has k times k rows a group.  All k! assignments are an expression
-    over one array (k up to 7); ties go to the first in order.
+    ``pairs`` has k times k rows a group (k up to 16); ties go to the first in order.
     """
-    if k > 7:
-        raise ValueError("matching by enumeration takes up to 7 clusters")
-    listed = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("s")))).alias("x"))
-    ways = F.array(*(F.array(*(F.lit(i * k + p) for i, p in enumerate(w))) for w in itertools.permutations(range(k))))
-    total = F.transform(ways, lambda w, n: F.struct(F.round(F.aggregate(w, F.lit(0.0), lambda s, i: s + F.get(F.col("x"), i)["s"]), 9).alias("t"), (-n).alias("n"), w.alias("w")))
-    best = listed.withColumn("__w", F.array_max(total)["w"])
-    return best.select(*by, F.explode(F.transform("__w", lambda i: F.get(F.col("x"), i))).alias("m")).select(*by, F.col("m.a").alias(a), F.col("m.b").alias(b), F.col("m.s").alias(score))
-
-
-def linked_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``(node, component)`` of a small graph of clusters by repeated least labels."""
-    from geoaudit.session import materialise
-
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        new = materialise(labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", "m").alias("component")), "labels")
-        moved = new.join(labels.select("node", F.col("component").alias("was")), "node").where("component < was").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("no components yet")
+    if k > 16:
+        raise ValueError("matching takes up to 16 clusters")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([a, b])
+        way = best_way(g[score].to_numpy(float).reshape(k, k))
+        return g.iloc[[i * k + j for i, j in enumerate(way)]]
+
+    kept = pairs.select(*by, a, b, score)
+    return kept.groupBy(*by).applyInPandas(run, kept.schema)
+
+
+def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of every node: the least node reachable by ``edges``."""
+    found = components(edges).withColumnRenamed("node", "n")
+    return nodes.join(found, F.col("node") == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def nearest_label(points: DataFrame, known: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
@@ -213,6 +230,9 @@ def nearest_label(points: DataFrame, known: DataFrame, k: int, key: str, vector:
     return votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("lj")).alias("l"))).alias("m")).select(F.col("i").alias(key), (-F.col("m.l")).alias(label))
 
 
-def morphotype(mrvbf: Column, slope: Column, convergence: Column) -> Column:
-    """Name of a landform signature by fixed rules on its z-scores."""
-    return F.when(mrvbf > 0.5, "valley floor").when(slope > 0.4, F.when(convergence < 0, "gully slope").otherwise("steep slope")).otherwise("gentle slope")
+def morphotype(mrvbf: Column, mrrtf: Column, twi: Column, slope: Column) -> Column:
+    """Name of a landform signature by fixed rules on its mean z-scores."""
+    return (
+        F.when((mrvbf > 0.5) & (twi > 0.3), "valley_bottom").when(mrrtf > 0.5, "ridgetop_flat").when(slope > 0.4, "steep_slope")
+        .when(slope < -0.3, "lowland_flat").otherwise("mid_slope")
+    )

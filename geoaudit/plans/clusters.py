@@ -81,10 +81,10 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def morphotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of cluster signatures by rule, and their three strongest features."""
-    z = cluster.z_signatures(_labelled(spark, sf_dir), "ca", ["q", "d", "t"])
-    f = F.slice(F.transform(F.sort_array(F.array(*(F.struct(F.round(F.abs(c), 6).alias("s"), F.lit(c).alias("n")) for c in ("q", "d", "t"))), asc=False), lambda x: x["n"]), 1, 2)
-    return z.select("ca", cluster.morphotype(F.col("q"), F.col("d"), F.col("t")).alias("name"), F.array_join(f, ",").alias("strongest"))
+    """Names of cluster signatures by rule, and their three strongest features; four layers stand for the landform indices."""
+    z = cluster.z_signatures(_labelled(spark, sf_dir), "ca", ["q", "d", "t", "v"])
+    f = F.slice(F.transform(F.sort_array(F.array(*(F.struct(F.round(F.abs(c), 6).alias("s"), F.lit(c).alias("n")) for c in ("q", "d", "t", "v"))), asc=False), lambda x: x["n"]), 1, 3)
+    return z.select("ca", cluster.morphotype(F.col("q"), F.col("d"), F.col("t"), F.col("v")).alias("name"), F.array_join(f, ",").alias("strongest"))
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by type and year with their totals, and shares of components by region."""
+    """Counts by type and year with their totals."""
     x = views.inventory(spark, sf_dir)
     return x.rollup("type", "yr").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trigger_kind").alias("kinds"))
 
@@ -147,8 +147,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = materialise(views.cells(spark, sf_dir), "cells")
     x = grid.points_dataset(cells, ["v", "q", "d", "t"], HEIGHT, WIDTH, 2, 3, views.BLOCK)
     f = folds.group_folds(x.groupBy("block").agg(F.count(F.lit(1)).alias("n")), 3, "block")
-    # one row per block; written once, since every fit reads the points again
-    return materialise(x.join(F.broadcast(f), "block").withColumn("y", F.col("label").cast("double")), "points")
+    # written once, since every fit reads the points again
+    return materialise(x.join(f, "block").withColumn("y", F.col("label").cast("double")), "points")
 
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tuned_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested selection of the penalty of a logistic reader."""
-    inner = lambda t: t.join(F.broadcast(folds.group_folds(t.groupBy("block").agg(F.count(F.lit(1)).alias("n")), 2, "block")), "block")
+    inner = lambda t: t.join(folds.group_folds(t.groupBy("block").agg(F.count(F.lit(1)).alias("n")), 2, "block"), "block")
     return models.tuned(_points(spark, sf_dir), ["v", "q", "d"], "logistic", list(models.grid(reg=[0.001, 0.1], iterations=[8])), 2, inner)
 
 
@@ -241,7 +241,7 @@ ORACLE = {
         SELECT {_r(4, davies_bouldin='(SELECT avg(worst) FROM db)', calinski_harabasz='ch')} FROM ch""",
         "cells",
     ),
-    "silhouette": "WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 300), m AS (SELECT i.vec_id, i.label AS ci, j.label AS cj, avg(list_distance(i.v, j.v)) AS d FROM x i JOIN x j ON i.vec_id <> j.vec_id GROUP BY ALL), p AS (SELECT vec_id, max(d) FILTER (WHERE ci = cj) AS a, min(d) FILTER (WHERE ci <> cj) AS b FROM m GROUP BY vec_id) SELECT count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) + 0.0 AS silhouette FROM p",
+    "silhouette": "WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT i.vec_id, i.label AS ci, j.label AS cj, avg(list_distance(i.v, j.v)) AS d FROM x i JOIN x j ON i.vec_id <> j.vec_id GROUP BY ALL), p AS (SELECT vec_id, max(d) FILTER (WHERE ci = cj) AS a, min(d) FILTER (WHERE ci <> cj) AS b FROM m GROUP BY vec_id) SELECT count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) + 0.0 AS silhouette FROM p",
     "matched_clusters": with_views(
         _LAB + """, h AS (SELECT cb, r < 30 AS up, q, d, t FROM lab), w AS (SELECT up, avg(q) AS qm, stddev_pop(q) AS qs, avg(d) AS dm, stddev_pop(d) AS ds, avg(t) AS tm, stddev_pop(t) AS ts FROM h GROUP BY up),
         z AS (SELECT cb, h.up, [(avg(q) - max(qm)) / (max(qs) + 1e-9), (avg(d) - max(dm)) / (max(ds) + 1e-9), (avg(t) - max(tm)) / (max(ts) + 1e-9)] AS v FROM h JOIN w ON h.up = w.up GROUP BY cb, h.up),
@@ -251,7 +251,14 @@ ORACLE = {
         "cells",
     ),
     "correspondence_components": "WITH m AS (SELECT CAST(c_nationkey AS BIGINT) AS k, floor(avg(c_acctbal) / 150) AS bin FROM customer GROUP BY 1), l AS (SELECT k, min(k) OVER (PARTITION BY bin) AS c FROM m) SELECT CAST(n_nationkey AS BIGINT) AS node, coalesce(c, CAST(n_nationkey AS BIGINT)) AS component FROM nation LEFT JOIN l ON k = n_nationkey",
-    "nearest_label": "WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500), d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)), 12), b.vec_id) AS k FROM x a JOIN x b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0), n AS (SELECT vec_id, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS k FROM n) SELECT vec_id, CAST(label AS BIGINT) AS label FROM r WHERE k = 1",
+    "nearest_label": "WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)), 12), b.vec_id) AS k FROM x a JOIN x b ON a.vec_id <> b.vec_id), n AS (SELECT vec_id, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS k FROM n) SELECT vec_id, CAST(label AS BIGINT) AS label FROM r WHERE k = 1",
+    "morphotypes": with_views(
+        _LAB + """, w AS (SELECT avg(q) AS qm, stddev_pop(q) AS qs, avg(d) AS dm, stddev_pop(d) AS ds, avg(t) AS tm, stddev_pop(t) AS ts, avg(v) AS vm, stddev_pop(v) AS vs FROM lab),
+        z AS (SELECT ca, (avg(q) - max(qm)) / (max(qs) + 1e-9) AS q, (avg(d) - max(dm)) / (max(ds) + 1e-9) AS d, (avg(t) - max(tm)) / (max(ts) + 1e-9) AS t, (avg(v) - max(vm)) / (max(vs) + 1e-9) AS v FROM lab, w GROUP BY ca)
+        SELECT ca, CASE WHEN q > 0.5 AND t > 0.3 THEN 'valley_bottom' WHEN d > 0.5 THEN 'ridgetop_flat' WHEN v > 0.4 THEN 'steep_slope' WHEN v < -0.3 THEN 'lowland_flat' ELSE 'mid_slope' END AS name,
+          array_to_string(list_transform(list_reverse_sort([{'s': round(abs(q), 6), 'n': 'q'}, {'s': round(abs(d), 6), 'n': 'd'}, {'s': round(abs(t), 6), 'n': 't'}, {'s': round(abs(v), 6), 'n': 'v'}])[1:3], lambda x: x.n), ',') AS strongest FROM z""",
+        "cells",
+    ),
     "event_types": with_views("WITH g AS (SELECT type, count(*) AS n, min(id) AS f FROM inventory GROUP BY type) SELECT type, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM g", "inventory"),
     "year_profile": with_views("WITH g AS (SELECT type, list_sort(list(yr)) AS v, count(*) AS n, avg((yr < 1995)::INT) AS a, avg((yr < 1998)::INT) AS b FROM inventory GROUP BY type) SELECT type, n, v[1] AS least, v[n] AS most, v[CAST(floor(n / 2) AS INT) + 1] AS median, round(100 * a, 1) AS before_1995, round(100 * b, 1) AS before_1998 FROM g", "inventory"),
     "top_triggers": with_views("WITH g AS (SELECT type, trigger_kind, count(*) AS n FROM inventory GROUP BY ALL), r AS (SELECT *, 100 * n / sum(n) OVER (PARTITION BY type) AS p, row_number() OVER (PARTITION BY type ORDER BY n DESC, trigger_kind) AS rank FROM g) SELECT type, trigger_kind, n, round(p, 6) + 0.0 AS percent, rank FROM r WHERE rank <= 3", "inventory"),

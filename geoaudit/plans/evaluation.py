@@ -19,7 +19,7 @@ def _sizes(scored: DataFrame) -> DataFrame:
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = views.scored(spark, sf_dir)
-    return x.join(F.broadcast(folds.group_folds(_sizes(x), K)), "grp")  # one row per group
+    return x.join(folds.group_folds(_sizes(x), K), "grp")
 
 
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,10 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is one score better than another?  Areas per fold, their paired difference, and both intervals."""
-    x = _folded(spark, sf_dir)
-    a = ranking.rank_metrics(x, "s", "y", ["fold"]).select("fold", F.col("auc").alias("a"))
-    b = ranking.rank_metrics(x, "z", "y", ["fold"]).select("fold", F.col("auc").alias("b"))
-    d = a.join(b, "fold").select((F.col("b") - F.col("a")).alias("delta"))
+    x = _folded(spark, sf_dir).select("fold", "y", F.expr("stack(2, 's', s, 'z', z) AS (name, v)"))
+    m = ranking.rank_metrics(x, "v", "y", ["name", "fold"])  # both scores in one pass
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("auc")))
+    d = m.groupBy("fold").agg((of("z") - of("s")).alias("delta"))
     return rounded(inference.paired_intervals(d, "delta", []))
 
 
@@ -82,9 +82,8 @@ def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap of the pooled difference of areas, 100 draws."""
     x = views.scored(spark, sf_dir).select("doc_id", "y", "s", "z")
-    w = Window.orderBy("doc_id")  # the labelled rows, numbered from 0
-    x = x.withColumn("i", F.row_number().over(w).cast("bigint") - 1)
-    return rounded(inference.bootstrap_delta(x, "s", "z", "y", 100, 42, x.count()))
+    n = x.count()
+    return rounded(inference.bootstrap_delta(ranking.numbered(x, "doc_id", "i"), "s", "z", "y", 100, 42, n))
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,13 +192,26 @@ ORACLE = {
         + ") SELECT name, fold, CAST(p AS BIGINT) AS n_pos, CAST(n AS BIGINT) AS n_neg, round(auc, 6) + 0.0 AS auc, CASE WHEN nn > 0 THEN round(ap, 6) + 0.0 END AS ap FROM a JOIN b USING (name, fold)",
         "scored",
     ),
+    "stratified_group_folds": with_views(
+        """WITH RECURSIVE g AS (SELECT grp, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM scored GROUP BY grp), tot AS (SELECT greatest(sum(pos), 1) AS tp, greatest(sum(neg), 1) AS tq FROM g),
+        ordered AS (SELECT g.*, tot.*, row_number() OVER (ORDER BY abs(pos - neg) DESC, grp DESC) AS k FROM g, tot),
+        walk(k, grp, fold, p, q) AS (
+          SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(-1 AS BIGINT), CAST([0, 0, 0, 0, 0] AS DOUBLE[]), CAST([0, 0, 0, 0, 0] AS DOUBLE[])
+          UNION ALL
+          SELECT k, grp, CAST(best - 1 AS BIGINT), list_transform(p, lambda x, j: x + CASE WHEN j = best THEN pos ELSE 0 END), list_transform(q, lambda x, j: x + CASE WHEN j = best THEN neg ELSE 0 END)
+          FROM (SELECT o.k, o.grp, o.pos, o.neg, w.p, w.q, list_min(list_transform([1, 2, 3, 4, 5], lambda i: {'c': round((
+              list_aggregate(list_transform(w.p, lambda x, j: (x + CASE WHEN j = i THEN o.pos ELSE 0 END) / o.tp), 'stddev_pop') + list_aggregate(list_transform(w.q, lambda x, j: (x + CASE WHEN j = i THEN o.neg ELSE 0 END) / o.tq), 'stddev_pop')) / 2, 9),
+              'm': w.p[i] + w.q[i], 'i': i})).i AS best FROM walk w JOIN ordered o ON o.k = w.k + 1))
+        SELECT grp, fold FROM walk WHERE k > 0""",
+        "scored",
+    ),
     "fold_guard": with_views("SELECT grp, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM scored GROUP BY grp HAVING sum(y) = 0 OR sum(y) = count(*)", "scored"),
     "fold_default": with_views(
         _FOLDS.replace("SELECT grp, count(*) AS n FROM scored GROUP BY grp", "SELECT doc_id % 23 AS grp, count(*) AS n FROM scored WHERE doc_id % 23 < 15 GROUP BY 1").replace("CAST(NULL AS VARCHAR)", "CAST(NULL AS BIGINT)")
         + " SELECT CAST(coalesce(f.fold, doc_id % 23 % 5) AS BIGINT) AS fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM scored LEFT JOIN folds f ON f.grp = doc_id % 23 GROUP BY 1",
         "scored",
     ),
-    "stratified_folds": with_views("WITH h AS (SELECT y, doc_id, md5('42:' || doc_id) AS h FROM scored), x AS (SELECT y, CAST((row_number() OVER (PARTITION BY y, substr(h, 1, 2) ORDER BY h, doc_id) - 1) % 5 AS BIGINT) AS fold FROM h) SELECT fold, y, count(*) AS n FROM x GROUP BY ALL", "scored"),
+    "stratified_folds": with_views("WITH h AS (SELECT y, doc_id, md5('42:' || doc_id) AS h FROM scored), x AS (SELECT y, CAST((row_number() OVER (PARTITION BY y ORDER BY h, doc_id) - 1) % 5 AS BIGINT) AS fold FROM h) SELECT fold, y, count(*) AS n FROM x GROUP BY ALL", "scored"),
     "replicate_summary": with_views(
         f"""WITH m AS (SELECT draw, cls, avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0) AS delta FROM scored, (SELECT unnest(range(10)) AS draw) WHERE (doc_id + draw) % 3 = 0 GROUP BY ALL)
         SELECT cls, count(*) AS n, {_r(("avg(delta)", "mean"), ("stddev_samp(delta)", "sd"), ("min(delta)", "least"), ("max(delta)", "most"), digits=4)}, CAST(sum((delta < 0)::INT) AS BIGINT) AS same_sign, CAST(sum((delta < 0 AND abs(delta) > 100)::INT) AS BIGINT) AS sig_same_sign

@@ -190,7 +190,7 @@ QUERIES = {
 
 _FREE = f"SELECT r, c FROM cells x WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= {B} AND abs(x.c - y.c) <= {B})"
 _MEAN = "SELECT band, cell, round(avg(greatest(dn - 1000, 0)), 5) + 0.0 AS mean, count(dn) AS n FROM observations GROUP BY band, cell"
-_BINS = f"""WITH p AS (SELECT r * {WIDTH} + c AS id, r, c, q FROM cells WHERE (r * {WIDTH} + c) % 3 = 0),
+_BINS = f"""WITH p AS (SELECT r * {WIDTH} + c AS id, r, c, q FROM cells),
   x AS (SELECT sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) AS dist, a.q - b.q AS d FROM p a JOIN p b ON a.id < b.id AND abs(a.r - b.r) <= 7 AND abs(a.c - b.c) <= 7),
   y AS (SELECT *, CAST((dist >= 1)::INT + (dist >= 2)::INT + (dist >= 3.5)::INT + (dist >= 5)::INT + (dist >= 7)::INT AS BIGINT) AS bin FROM x WHERE dist <= 7),
   bins AS (SELECT bin, count(*) AS n, avg(dist) AS lag, avg(0.5 * d * d) AS gamma FROM y WHERE bin BETWEEN 1 AND 4 GROUP BY bin HAVING count(*) >= 30)"""
@@ -213,6 +213,15 @@ ORACLE = {
     "coordinates": with_views("SELECT r, c, printf('%.1f', 500000 + 30 * (c + 0.5)) AS x, printf('%.1f', 6000000 - 30 * (r + 0.5)) AS y, CAST(trunc(r - 1.0) AS BIGINT) AS trunc_r, CAST(trunc(c - 1.0) AS BIGINT) AS trunc_c, CAST(floor(r - 1.0) AS BIGINT) AS floor_r, CAST(floor(c - 1.0) AS BIGINT) AS floor_c FROM cells WHERE e > 0", "cells"),
     "constrained_sample": with_views("WITH f AS (SELECT quantile_cont(q, 0.1) AS lo FROM cells WHERE e > 0) SELECT r, c FROM (SELECT r, c, row_number() OVER (ORDER BY md5('7:' || r || ':' || c), r, c) AS k FROM cells, f WHERE e = 0 AND q >= lo) WHERE k <= 100", "cells"),
     "variogram_bins": with_views(_BINS + " SELECT bin, n, round(lag, 6) + 0.0 AS lag, round(gamma, 6) + 0.0 AS gamma FROM bins", "cells"),
+    "variogram_fit": with_views(
+        _BINS + """, g AS (SELECT reach, n AS w, gamma AS y, CASE WHEN lag >= reach THEN 1.0 ELSE 1.5 * lag / reach - 0.5 * (lag / reach) ** 3 END AS g FROM bins, (SELECT unnest([2.0, 3.0, 4.0, 5.0, 6.0]::DOUBLE[]) AS reach)),
+        s AS (SELECT reach, sum(w) AS sw, sum(w * g) AS sg, sum(w * g * g) AS sgg, sum(w * y) AS sy, sum(w * g * y) AS sgy, sum(w * y * y) AS syy FROM g GROUP BY reach),
+        u AS (SELECT *, CASE WHEN sw * sgg - sg * sg <> 0 THEN (sw * sgy - sg * sy) / (sw * sgg - sg * sg) END AS b FROM s), v AS (SELECT *, (sy - b * sg) / sw AS a FROM u),
+        m AS (SELECT *, CASE WHEN a < 0 THEN 0 WHEN b < 0 OR b IS NULL THEN sy / sw ELSE a END AS nugget, CASE WHEN a < 0 THEN greatest(sgy / sgg, 0) WHEN b < 0 OR b IS NULL THEN 0 ELSE b END AS sill FROM v),
+        e AS (SELECT *, syy - 2 * nugget * sy - 2 * sill * sgy + nugget * nugget * sw + 2 * nugget * sill * sg + sill * sill * sgg AS sse FROM m)
+        SELECT round(reach, 4) + 0.0 AS reach, round(nugget, 4) + 0.0 AS nugget, round(sill, 4) + 0.0 AS sill, round(sse, 4) + 0.0 AS sse, reach = 6.0 AS censored FROM e ORDER BY round(e.sse, 9), e.reach LIMIT 1""",
+        "cells",
+    ),
     "patches": with_views(
         f"""WITH p AS (SELECT r * {WIDTH} + c AS point_id, r, c FROM cells WHERE e > 0), o AS (SELECT i, j FROM (SELECT unnest(range(-2, 2)) AS i), (SELECT unnest(range(-2, 2)) AS j)),
         x AS (SELECT point_id, i, j, coalesce(q, 0) AS q FROM p CROSS JOIN o LEFT JOIN cells y ON y.r = p.r + i AND y.c = p.c + j)
@@ -221,7 +230,7 @@ ORACLE = {
     ),
     "scene_selection": with_views("SELECT tile, scene_id, rank, cloud, CASE WHEN try_cast(baseline AS DOUBLE) >= 4 THEN 1000.0 ELSE 0.0 END::DOUBLE AS offset FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY cloud, scene_id) AS rank FROM scenes WHERE cloud < 20 AND month(ts) = 1) WHERE rank <= 3", "scenes"),
     "mean_composite": with_views(_MEAN.replace("greatest(dn - 1000, 0)", "CASE WHEN dn IS NOT NULL THEN greatest(dn - 1000, 0) END"), "observations"),
-    "scene_batches": with_views("WITH x AS (SELECT scene_id, ntile(7) OVER (ORDER BY scene_id) - 1 AS batch FROM scenes WHERE tile = 3) SELECT batch, count(*) AS n, min(scene_id) AS first_scene, max(scene_id) AS last_scene FROM x GROUP BY batch", "scenes"),
+    "scene_batches": with_views("WITH x AS (SELECT tile, scene_id, ntile(7) OVER (PARTITION BY tile ORDER BY scene_id) - 1 AS batch FROM scenes) SELECT tile, batch, count(*) AS n, min(scene_id) AS first_scene, max(scene_id) AS last_scene FROM x GROUP BY tile, batch", "scenes"),
     "spectral_features": with_views(
         "SELECT r, c, round((v / 10000 - q / 10) / (v / 10000 + q / 10 + 1e-6), 8) + 0.0 AS nd, CASE WHEN q >= 25 THEN round(ln(q - 24), 8) + 0.0 END AS log_missing, round(ln(1 + greatest(q - 25, 0)), 8) + 0.0 AS log_clipped, CAST(trunc(least(greatest(v * 2 - 30000, 0), 65535)) AS INT) AS u16, CASE WHEN e > 0 THEN 0.0 ELSE round(v / 10 - 1000, 8) + 0.0 END AS band FROM cells",
         "cells",
@@ -229,7 +238,7 @@ ORACLE = {
     "standardised": with_views("WITH m AS (SELECT avg(q) AS qm, stddev_pop(q) AS qs, avg(d) AS dm, stddev_pop(d) AS ds FROM cells) SELECT r, c, round((q - qm) / (qs + 1e-9), 5) + 0.0 AS q, round((d - dm) / (ds + 1e-9), 5) + 0.0 AS d FROM cells, m", "cells"),
     "filled": with_views("WITH x AS (SELECT r, c, CASE WHEN r % 4 <> 0 THEN q END AS q, CASE WHEN c % 5 <> 0 THEN t * 100 END AS t FROM cells), m AS (SELECT quantile_cont(v, 0.5) AS m FROM (SELECT q AS v FROM x UNION ALL SELECT t FROM x)) SELECT r, c, round(coalesce(q, m), 6) + 0.0 AS q, round(coalesce(t, m), 6) + 0.0 AS t FROM x, m", "cells"),
     "buckets": with_views("WITH x AS (SELECT round(q) AS k FROM cells) SELECT CAST((k >= 10)::INT + (k >= 20)::INT + (k >= 25)::INT + (k >= 30)::INT AS BIGINT) AS left_closed, CAST((k > 10)::INT + (k > 20)::INT + (k > 25)::INT + (k > 30)::INT AS BIGINT) AS right_closed, count(*) AS n FROM x GROUP BY 1, 2", "cells"),
-    "one_hot": with_views("WITH x AS (SELECT CASE WHEN id % 50 = 0 THEN 'rare' ELSE type END AS kind, id FROM inventory WHERE id < 2000), s AS (SELECT DISTINCT kind AS v FROM x WHERE id % 50 <> 0), k AS (SELECT DISTINCT kind FROM x), code AS (SELECT kind, string_agg(CASE WHEN v = kind THEN '1' ELSE '0' END, '' ORDER BY v) AS code FROM k CROSS JOIN s GROUP BY kind) SELECT kind, count(*) AS n, max(code) AS code FROM x JOIN code USING (kind) GROUP BY kind", "inventory"),
+    "one_hot": with_views("WITH x AS (SELECT CASE WHEN id % 50 = 0 THEN 'rare' ELSE type END AS kind, id FROM inventory), s AS (SELECT DISTINCT kind AS v FROM x WHERE id % 50 <> 0), k AS (SELECT DISTINCT kind FROM x), code AS (SELECT kind, string_agg(CASE WHEN v = kind THEN '1' ELSE '0' END, '' ORDER BY v) AS code FROM k CROSS JOIN s GROUP BY kind) SELECT kind, count(*) AS n, max(code) AS code FROM x JOIN code USING (kind) GROUP BY kind", "inventory"),
     "fingerprint": with_views("WITH h AS (SELECT md5(r || '|' || c) AS h FROM cells WHERE e > 0) SELECT md5('cells:' || count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT) % 1000000007) AS BIGINT) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT) % 1000000007) AS BIGINT)) AS fingerprint FROM h", "cells"),
     "surface_difference": with_views("WITH x AS (SELECT q / 50 AS a, d * 10 - q / 50 AS diff FROM cells), t AS (SELECT quantile_cont(abs(diff), 0.99) AS top FROM x), y AS (SELECT a, least(greatest(diff, -top), top) AS diff FROM x, t) SELECT CASE WHEN a < 0.2 THEN 'low' WHEN a < 0.5 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, round(avg(diff), 6) + 0.0 AS mean_diff, round(100 * avg((diff > 0)::INT), 6) + 0.0 AS percent_higher FROM y GROUP BY 1", "cells"),
 }
