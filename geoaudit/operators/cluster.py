@@ -99,6 +99,22 @@ def expected_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select("emi", ((mi - F.col("emi")) / ((F.col("ha") + F.col("hb")) / 2 - F.col("emi"))).alias("ami"))
 
 
+def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str) -> DataFrame:
+    """``(i, j, ari)``: adjusted Rand index of every two runs over the rows that both label.
+
+    A row's labels come together once (one per run), and pairs of runs are counted
+    into tables of labels before anything else is exchanged.
+    """
+    listed = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), F.col(label).alias("label")))).alias("x"))
+    two = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: q["run"] > p["run"]), lambda q: F.struct(p["run"].alias("i"), q["run"].alias("j"), p["label"].alias("a"), q["label"].alias("b")))))
+    t = listed.select(F.explode(two).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda: F.sum(F.col("n") * (F.col("n") - 1) / 2.0)
+    side = lambda c: t.groupBy("i", "j", c).agg(F.sum("n").alias("n")).groupBy("i", "j").agg(pairs().alias(f"p{c}"))
+    x = t.groupBy("i", "j").agg(pairs().alias("pab"), F.sum("n").alias("n")).join(side("a"), ["i", "j"]).join(side("b"), ["i", "j"])
+    expected, most = F.col("pa") * F.col("pb") / (F.col("n") * (F.col("n") - 1) / 2.0), (F.col("pa") + F.col("pb")) / 2
+    return x.select("i", "j", F.when(most == expected, F.lit(1.0)).otherwise((F.col("pab") - expected) / (most - expected)).alias("ari"))
+
+
 def internal_quality(df: DataFrame, cluster: str, values: list[str]) -> DataFrame:
     """One row ``(davies_bouldin, calinski_harabasz)`` from the clusters' centroids."""
     cent = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.avg(v).alias(f"__{v}") for v in values))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,3 +150,80 @@ def pairs_within(points: DataFrame, radius: float, key: str, row: str = "r", col
     x = points.select(F.col(key).alias("a"), F.col(row).alias("__r1"), F.col(col).alias("__c1")).withColumn("__br", F.floor(F.col("__r1") / side)).withColumn("__bc", F.floor(F.col("__c1") / side))
     d = F.hypot((F.col("__r1") - F.col("__r2")).cast("double"), (F.col("__c1") - F.col("__c2")).cast("double"))
     return x.join(near, ["__br", "__bc"]).where(F.col("a") < F.col("b")).select("a", "b", d.alias("dist")).where(F.col("dist") <= radius)
+
+
+def hole_counts(places: DataFrame, holes: DataFrame, half: int, height: int, width: int) -> DataFrame:
+    """``(r, c, holes, area)``: holes in the clipped square window around each place, and the window's cells, by prefix sums."""
+    full = full_grid(places.sparkSession, height, width).join(holes.select("r", "c", F.lit(1.0).alias("hole")).distinct(), ["r", "c"], "left")
+    counted = window_sums(prefix_sums(full, "hole"), places.select("r", "c"), half, height, width)
+    span = lambda x, n: F.least(x + half, F.lit(n - 1)) - F.greatest(x - half, F.lit(0)) + 1
+    return counted.select("r", "c", F.round("window_sum").cast("bigint").alias("holes"), (span(F.col("r"), height) * span(F.col("c"), width)).alias("area"))
+
+
+def gap_mask(places: DataFrame, holes: DataFrame, half: int, most: float, height: int, width: int) -> DataFrame:
+    """``(r, c, gap)``: whether more than a share ``most`` of the clipped window around a place are holes."""
+    return hole_counts(places, holes, half, height, width).select("r", "c", (F.col("holes") / F.col("area") > most).alias("gap"))
+
+
+def inside(layer: Column, rule: str) -> Column:
+    """Whether a cell lies inside by its layer: ``nonzero`` or ``positive``; missing values are outside."""
+    return F.coalesce(layer != 0 if rule == "nonzero" else layer > 0, F.lit(False))
+
+
+def sample_complete(candidates: DataFrame, events: DataFrame, holes: DataFrame, half: int, share: float, n: int, seed: int, height: int, width: int) -> DataFrame:
+    """``n`` candidates, by a portable hash, whose windows are as complete as those of events.
+
+    A window's hollow share counts holes and what lies beyond the edge; candidates
+    may not exceed the events' quantile ``share`` of it.
+    """
+    whole = float((2 * half + 1) ** 2)
+    hollow = lambda df: hole_counts(df, holes, half, height, width).select("r", "c", ((F.col("holes") + whole - F.col("area")) / whole).alias("hollow"))
+    most = hollow(events).agg(F.percentile("hollow", F.lit(share)).alias("most"))
+    x = hollow(candidates).crossJoin(F.broadcast(most)).where("hollow <= most")  # one row
+    return x.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string"))), "r", "c").limit(n).select("r", "c")
+
+
+def draws(df: DataFrame, keys: list[str], n: int, numbers: list[int]) -> DataFrame:
+    """For each number a draw of ``n`` rows by a hash of its own; the least n are cut in each partition first."""
+    x = df.withColumn("draw", F.explode(F.array(*map(F.lit, numbers))))
+    h = F.md5(F.concat_ws(":", F.col("draw").cast("string"), *(F.col(k).cast("string") for k in keys)))
+    w = Window.partitionBy("draw").orderBy("__h", *keys)
+    return x.withColumn("__h", h).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__h", "__k")
+
+
+def lookup(asked: DataFrame, cells: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows of ``asked`` with the cells' ``values`` and ``valid``: whether there is such a cell."""
+    x = cells.select(*keys, *values, F.lit(True).alias("__there"))
+    return asked.join(x, keys, "left").withColumn("valid", F.coalesce("__there", F.lit(False))).drop("__there")
+
+
+def scatter(cells: DataFrame, value: str, height: int, width: int, missing: float) -> DataFrame:
+    """``value`` on every cell of the grid, ``missing`` where there is none."""
+    return full_grid(cells.sparkSession, height, width).join(cells.select("r", "c", value), ["r", "c"], "left").fillna(missing, [value])
+
+
+#: Semi-major axis and flattening of the WGS 84 ellipsoid; scale and offsets of the UTM zones.
+AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
+SCALE, EAST, SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def transverse_mercator(lat: Column, lon: Column, meridian: float, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing in metres of degrees on WGS 84, by the series in the third flattening (to its fourth power)."""
+    n = FLATTENING / (2 - FLATTENING)
+    a = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140,
+        49561 * n**4 / 161280,
+    ]
+    e = 2 * math.sqrt(n) / (1 + n)
+    phi, step = F.radians(lat), F.radians(lon - meridian)
+    atanh = lambda x: F.log((1 + x) / (1 - x)) / 2
+    t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(step)), atanh(F.sin(step) / F.sqrt(1 + t * t))
+    north, east = xi, eta
+    for k, c in enumerate(alpha, 1):
+        north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    return EAST + SCALE * a * east, F.lit(SOUTH if south else 0.0) + SCALE * a * north

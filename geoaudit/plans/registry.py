@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoaudit.plans import clusters, evaluation, grids
+from geoaudit.plans import clusters, evaluation, grids, reporting
 
-QUERIES = {**evaluation.QUERIES, **grids.QUERIES, **clusters.QUERIES}
-ORACLE = {**evaluation.ORACLE, **grids.ORACLE, **clusters.ORACLE}
+QUERIES = {**evaluation.QUERIES, **grids.QUERIES, **clusters.QUERIES, **reporting.QUERIES}
+ORACLE = {**evaluation.ORACLE, **grids.ORACLE, **clusters.ORACLE, **reporting.ORACLE}

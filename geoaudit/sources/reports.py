@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoaudit.functions.features import fingerprint
+
 REPORT = """basin string, model string, init_mode string, modalities array<string>, splitter string, n_pos int, n_neg int,
     fold_results array<struct<fold:int,roc_A:double,pr_A:double,roc_B:double,pr_B:double,delta_roc:double,delta_pr:double,roc:double,pr:double>>"""
 INVENTORY = "id string, type string, trigger string, year string, lat double, lon double"
@@ -49,3 +51,17 @@ def markdown(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Table lines: columns by name and their format."""
     cells = [F.coalesce(F.format_string(f, F.col(c)), F.lit("")) for c, f in columns.items()]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def export_folds(folds: DataFrame, path: str, key: str) -> None:
+    """Folds as Parquet, with the fingerprint of the points they belong to beside them."""
+    folds.write.parquet(f"{path}/folds")
+    fingerprint(folds, [key]).write.parquet(f"{path}/points")
+
+
+def import_folds(spark: SparkSession, path: str, points: DataFrame, key: str) -> DataFrame:
+    """Points with the folds written at ``path``; raises ValueError if they were written for other points."""
+    want, got = spark.read.parquet(f"{path}/points").first()[0], fingerprint(points, [key]).first()[0]
+    if want != got:
+        raise ValueError(f"folds of other points: {want} is not {got}")
+    return points.join(spark.read.parquet(f"{path}/folds").select(key, "fold"), key)

@@ -77,3 +77,26 @@ def with_views(sql: str, *names: str) -> str:
     recursive = "RECURSIVE " if "RECURSIVE" in sql else ""
     body = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
     return f"WITH {recursive}{body}{',' if sql.lstrip().upper().startswith('WITH') else ''} {sql.lstrip().removeprefix('WITH').lstrip().removeprefix('RECURSIVE') if sql.lstrip().upper().startswith('WITH') else sql}"
+
+
+#: Models of the proxy reports and their weights on two means.
+MODELS = [
+    ("A", 1.0, 1.0), ("AFULL", 1.2, 1.1), ("TM", 1.3, 0.9), ("PRITHVI", 0.9, 1.6), ("TM_RAND", 0.8, 1.0), ("PRITHVI_RAND", 0.7, 1.3),
+    ("L0", 0.5, 1.9), ("L1", 1.5, 0.2), ("L2", 1.1, 1.4), ("L3", 1.4, 0.8),
+]
+SQL["reports"] = """
+      SELECT basin, rung, model, fold, 0.6 + d * w1 + t * w2 AS roc, 0.3 + d * w2 + t * w1 AS pr FROM (
+        SELECT l_returnflag || l_linestatus AS basin, rung, CAST(CASE rung WHEN 'R1' THEN l_orderkey %% 5 WHEN 'R2' THEN l_partkey %% 5 ELSE l_orderkey %% 10 END AS BIGINT) AS fold, avg(l_discount) AS d, avg(l_tax) AS t
+        FROM lineitem, (SELECT unnest(['R1', 'R2', 'R3']) AS rung) GROUP BY ALL),
+        (VALUES %s) AS m(model, w1, w2)""" % ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in MODELS)
+
+
+def fold_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold reports ``(basin, rung, model, fold, roc, pr)``."""
+    rung = F.explode(F.array(*map(F.lit, ("R1", "R2", "R3")))).alias("rung")
+    x = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("basin"), "l_orderkey", "l_partkey", "l_discount", "l_tax", rung)
+    fold = F.when(F.col("rung") == "R1", F.col("l_orderkey") % 5).when(F.col("rung") == "R2", F.col("l_partkey") % 5).otherwise(F.col("l_orderkey") % 10)
+    x = x.groupBy("basin", "rung", fold.cast("bigint").alias("fold")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    models = spark.createDataFrame(MODELS, "model string, w1 double, w2 double")
+    x = x.crossJoin(F.broadcast(models))  # ten rows
+    return x.select("basin", "rung", "model", "fold", (0.6 + F.col("d") * F.col("w1") + F.col("t") * F.col("w2")).alias("roc"), (0.3 + F.col("d") * F.col("w2") + F.col("t") * F.col("w1")).alias("pr"))
