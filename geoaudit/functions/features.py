@@ -95,3 +95,15 @@ def fingerprint(df: DataFrame, columns: list[str], settings: str = "") -> DataFr
     h = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)))
     half = lambda k: F.sum(F.conv(F.substring(h, k, 12), 16, 10).cast("bigint") % 1_000_000_007).cast("string")
     return df.agg(F.md5(F.concat_ws(":", F.lit(settings), F.count(F.lit(1)).cast("string"), half(1), half(13))).alias("fingerprint"))
+
+
+def feature_sets(point: list[str], spectral: list[str], point_context: list[str], spectral_context: list[str]) -> dict[str, list[str]]:
+    """Columns by the name of the set: layers at the point, spectra, both, and either or both with their surroundings."""
+    return {
+        "A": point,
+        "SPEC": spectral,
+        "A_SPEC": point + spectral,
+        "ACTX": point + point_context,
+        "SCTX": spectral + spectral_context,
+        "AFULL": point + point_context + spectral + spectral_context,
+    }

@@ -94,3 +94,9 @@ def fold_or_default(points: DataFrame, folds: DataFrame, block: str, k: int = 5)
 def single_class_folds(df: DataFrame, label: str = "y", fold: str = "fold") -> DataFrame:
     """Folds that a rank metric cannot score: ``(fold, n, n_pos)`` with one class only."""
     return df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("bigint").alias("n_pos")).where("n_pos = 0 OR n_pos = n")
+
+
+def inner_split(df: DataFrame, key: str, share: float, seed: int = 42, name: str = "held") -> DataFrame:
+    """Append ``name``: whether a row is held out, by a portable hash of its key; about ``share`` of all rows are."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn(name, h < int(share * (1 << 32)))

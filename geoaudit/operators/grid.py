@@ -227,3 +227,25 @@ def transverse_mercator(lat: Column, lon: Column, meridian: float, south: bool =
         north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
     return EAST + SCALE * a * east, F.lit(SOUTH if south else 0.0) + SCALE * a * north
+
+
+def decimated(cells: DataFrame, step: int) -> DataFrame:
+    """Every ``step``-th row and column, numbered anew."""
+    return cells.where((F.col("r") % step == 0) & (F.col("c") % step == 0)).withColumn("r", F.floor(F.col("r") / step)).withColumn("c", F.floor(F.col("c") / step))
+
+
+def rescaled(transform: tuple[float, float, float, float], step: int) -> tuple[float, float, float, float]:
+    """``(pixel width, left, pixel height, top)`` of a grid of every ``step``-th pixel."""
+    width, left, height, top = transform
+    return width * step, left, height * step, top
+
+
+def in_box(x: Column, y: Column, left: float, bottom: float, right: float, top: float) -> Column:
+    """Whether a place lies in a closed box; missing places do not."""
+    return F.coalesce(x.between(left, right) & y.between(bottom, top), F.lit(False))
+
+
+def bounds(polygons: DataFrame, key: str, ring: str) -> DataFrame:
+    """``(key, left, bottom, right, top, corners)`` of polygons given as arrays of ``(x, y)``."""
+    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return polygons.select(key, F.array_min(x).alias("left"), F.array_min(y).alias("bottom"), F.array_max(x).alias("right"), F.array_max(y).alias("top"), F.size(ring).cast("bigint").alias("corners"))

@@ -149,3 +149,25 @@ def mixture_bic(df: DataFrame, vector: str, ks: list[int], seed: int = 42) -> Da
 def transfer(source: DataFrame, target: DataFrame, features: list[str], make: Callable[[], list[Estimator]]) -> DataFrame:
     """Scores of a region's rows by a model fitted on another's."""
     return scores(fit(source, features, make()), target)
+
+
+def stitched(points: DataFrame, cells: DataFrame, features: list[str], make: Callable[[], list[Estimator]], k: int) -> DataFrame:
+    """Scores of all cells, each from the model that has not seen its fold's points; both have ``fold``."""
+    parts = [scores(fit(points.where(F.col("fold") != i), features, make()), cells.where(F.col("fold") == i)) for i in range(k)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def bootstrap_labels(df: DataFrame, key: str, vector: str, k: int, runs: int, share: float, seed: int = 42) -> DataFrame:
+    """``(key, run, label)``: labels of all rows from k-means fitted on samples of ``share`` of them, one for each run."""
+    from pyspark.ml.functions import array_to_vector
+
+    x = materialise(df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")), "points")
+    out = None
+    for r in range(runs):
+        model = KMeans(k=k, seed=seed + r, maxIter=20).fit(x.where(F.pmod(F.xxhash64(key, F.lit(seed + r)), F.lit(1000)) < int(1000 * share)))
+        labels = model.transform(x).select(key, F.lit(r).alias("run"), F.col("prediction").alias("label"))
+        out = labels if out is None else out.union(labels)
+    return out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +52,29 @@ def fit(bins: DataFrame, reaches: list[float], kind: str = "spherical") -> DataF
 def local_share(sill: Column, nugget: Column, drift: Column) -> Column:
     """Share of the local structure in the total; resolved from 0.10 on."""
     return F.try_divide(sill, sill + nugget + drift)
+
+
+def fit_nested(bins: DataFrame, reaches: list[float], kind: str = "spherical") -> DataFrame:
+    """One row ``(short, long, nugget, sill_short, sill_long, sse)``: the best two nested structures over pairs of ranges.
+
+    For each pair of ranges the three coefficients are weighted least squares held
+    at 0 or above (the best of all choices of which are 0); the bins are few.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        w, h, y = np.sqrt(g["n"].to_numpy(float)), g["lag"].to_numpy(float), g["gamma"].to_numpy(float)
+        t = lambda a: h / a
+        shape = (lambda a: np.where(h >= a, 1.0, 1.5 * t(a) - 0.5 * t(a) ** 3)) if kind == "spherical" else (lambda a: 1 - np.exp(-3 * t(a)))
+        best = None
+        for short, long in itertools.combinations(sorted(reaches), 2):
+            x = np.stack([np.ones_like(h), shape(short), shape(long)], 1) * w[:, None]
+            for some in itertools.chain.from_iterable(itertools.combinations(range(3), n) for n in (3, 2, 1)):
+                c = np.zeros(3)
+                c[list(some)] = np.linalg.lstsq(x[:, some], y * w, rcond=None)[0]
+                sse = float(((x @ c - y * w) ** 2).sum())
+                if (c >= -1e-12).all() and (best is None or sse < best[-1] - 1e-12):
+                    best = (short, long, *np.maximum(c, 0), sse)
+        return pd.DataFrame([best], columns=["short", "long", "nugget", "sill_short", "sill_long", "sse"])
+
+    shape = "short double, long double, nugget double, sill_short double, sill_long double, sse double"
+    return bins.groupBy(F.lit(0).alias("all")).applyInPandas(run, shape)  # a row for each lag bin

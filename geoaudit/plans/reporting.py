@@ -192,7 +192,113 @@ def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("r", "c", F.round(e, 2).alias("easting"), F.round(n, 2).alias("northing"))
 
 
+def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, points and total of each set of features, with windows of three sizes around the points."""
+    from geoaudit.functions import features
+    from geoaudit.session import materialise
+
+    x = materialise(views.cells(spark, sf_dir), "cells")
+    p = x.where("e > 0").select((F.col("r") * WIDTH + F.col("c")).alias("point_id"), "r", "c", "q", "d", "v", "t")
+    wide, around = p, {"q": [], "v": []}
+    for half in (1, 2, 3):
+        stats = grid.window_stats(p.select("point_id", "r", "c"), x, half, ["q", "v"], "point_id").drop("n_cells")
+        for name in ("q", "v"):
+            for s in ("mean", "std"):
+                stats = stats.withColumnRenamed(f"{name}_{s}", f"{name}_{s}_{half}")
+                around[name].append(f"{name}_{s}_{half}")
+        wide = wide.join(stats, "point_id")
+    sets = features.feature_sets(["q", "d"], ["v", "t"], around["q"], around["v"])
+    total = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    each = wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("features"), F.lit(len(c)).cast("bigint").alias("width"), total(c).alias("total")) for n, c in sets.items()))).alias("x")).select("x.*")
+    return rounded(each.groupBy("features", "width").agg(F.count(F.lit(1)).alias("points"), F.sum("total").alias("total")), 3)
+
+
+def band_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of two bands' scaled 4 x 4 windows around events."""
+    from geoaudit.operators import encoder
+
+    x = views.cells(spark, sf_dir)
+    p = x.where("e > 0").select((F.col("r") * WIDTH + F.col("c")).alias("point_id"), "r", "c")
+    w = encoder.band_patches(p, x, ["q", "v"], 2, "point_id", 100.0)
+    return rounded(w.select("point_id", "band", F.size("patch").cast("bigint").alias("n"), F.aggregate("patch", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+def decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth row and column of the cells, by new row."""
+    x = grid.decimated(views.cells(spark, sf_dir), 4)
+    return rounded(x.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")))
+
+
+def polygon_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of polygons through the event cells of each block of rows, and how many of its corners a box holds."""
+    x = views.cells(spark, sf_dir).where("e > 0").select(F.floor(F.col("r") / 10).alias("k"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    b = grid.bounds(x.groupBy("k").agg(F.collect_list(F.struct("x", "y")).alias("ring")), "k", "ring")
+    box = x.groupBy("k").agg(F.count_if(grid.in_box(F.col("x"), F.col("y"), 10.0, 0.0, 40.0, 45.0)).alias("in_box"))
+    return b.join(box, "k")
+
+
+def composite_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composite written as 16-bit bands by tile in two appends, read back: totals of two bands."""
+    from geoaudit.operators import composite
+
+    m = composite.mean_composite(views.observations(spark, sf_dir)).withColumn("tile", F.col("cell") % 5)
+    path = new_folder(spark, "composite")
+    for part in (m.where("tile < 2"), m.where("tile >= 2")):
+        files.write_composite(part, path, list(range(1, 13)))
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("tile").cast("bigint").alias("tile")).agg(F.count(F.lit(1)).alias("n"), F.sum("b01").alias("b01"), F.sum("b07").alias("b07"), F.sum("b12").alias("b12"))
+
+
+def buffer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that stay as negatives for exclusion windows of several sizes."""
+    x = views.cells(spark, sf_dir)
+    out = None
+    for b in (0, 1, 2, 3):
+        n = grid.exclude_near(x.select("r", "c"), x.where("e > 0"), b).agg(F.lit(b).cast("bigint").alias("buffer"), F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+def inner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows held out for validation, about 15 in 100, by class."""
+    x = folds.inner_split(views.scored(spark, sf_dir), "doc_id", 0.15)
+    return x.groupBy("y", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nested_variogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nested structures fitted to the semivariances."""
+    from geoaudit.operators import variogram
+    from geoaudit.plans import grids
+
+    return rounded(variogram.fit_nested(grids.variogram_bins(spark, sf_dir), [2.0, 3.0, 4.0, 5.0, 6.0]), 4)
+
+
+def stitched_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all cells from forests that have not seen their blocks: cells and range by fold."""
+    from geoaudit.operators import models
+    from geoaudit.plans.clusters import _points
+
+    p = _points(spark, sf_dir)
+    cells = views.cells(spark, sf_dir)
+    cells = cells.withColumn("block", folds.block_id(F.col("r"), F.col("c"), WIDTH, views.BLOCK))
+    cells = folds.fold_or_default(cells, p.select("block", "fold").distinct(), "block", 3)
+    s = models.stitched(p, cells, ["v", "q", "d"], lambda: models.reader("forest", trees=10, depth=5), 3)
+    return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("bounded"))
+
+
+def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean agreement of k-means labels over pairs of four fits on samples of the vectors."""
+    from geoaudit.operators import models
+    from geoaudit.session import table
+
+    x = models.bootstrap_labels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 6, 4, 0.8)
+    a = cluster.pairwise_agreement(x, ["vec_id"], "run", "label")
+    return a.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("mean"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+
+
 QUERIES = {
+    "feature_sets": feature_sets, "band_windows": band_windows, "decimated_cells": decimated, "polygon_bounds": polygon_bounds, "composite_sink": composite_sink, "buffer_sweep": buffer_sweep, "inner_split": inner_split, "nested_variogram": nested_variogram,
+    "stitched_surface": stitched_surface, "cluster_stability": cluster_stability,
     "control_table": control_table, "fold_ladder": fold_ladder, "ladder_significance": ladder_significance, "pretraining_gap": pretraining_gap, "layer_sweep": layer_sweep, "best_pipeline": best_pipeline, "stored_reports": reproduction,
     "rate_curves": rate_curves, "top_captures": top_captures, "common_support": common_support, "duplicate_cells": duplicate_cells, "in_basin": in_basin, "share_matrix": share_matrix, "matched_summary": matched_summary, "best_numbers": best_numbers,
     "matched_negatives": matched_negatives, "offset_blocks": offset_blocks, "fresh_draws": fresh_draws, "label_stability": stability, "fold_exchange": fold_exchange, "feature_lookup": feature_lookup, "scattered_surface": scattered, "single_types": single_types, "projected_cells": projected,
@@ -300,3 +406,21 @@ _TM = """WITH k AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n), a
   SELECT r, c, round(500000 + 0.9996 * big * (eta + list_sum(list_transform(al, lambda x, i: x * cos(2 * i * xi) * sinh(2 * i * eta)))), 2) AS easting,
     round(10000000 + 0.9996 * big * (xi + list_sum(list_transform(al, lambda x, i: x * sin(2 * i * xi) * cosh(2 * i * eta)))), 2) AS northing FROM z"""
 ORACLE["projected_cells"] = with_views(_TM, "cells")
+
+_NEAR = "SELECT p.r * {w} + p.c AS id, avg(x.q) AS qm, stddev_pop(x.q) AS qs, avg(x.v) AS vm, stddev_pop(x.v) AS vs FROM cells p JOIN cells x ON abs(p.r - x.r) <= {h} AND abs(p.c - x.c) <= {h} WHERE p.e > 0 GROUP BY 1"
+ORACLE["feature_sets"] = with_views(
+    "WITH " + ", ".join(f"n{h} AS ({_NEAR.format(w=WIDTH, h=h)})" for h in (1, 2, 3))
+    + f""", x AS (SELECT q + d AS a, v + t AS s, n1.qm + n1.qs + n2.qm + n2.qs + n3.qm + n3.qs AS ac, n1.vm + n1.vs + n2.vm + n2.vs + n3.vm + n3.vs AS sc FROM cells JOIN n1 ON n1.id = r * {WIDTH} + c JOIN n2 USING (id) JOIN n3 USING (id)),
+    u AS (SELECT unnest([{{'f': 'A', 'w': 2, 't': a}}, {{'f': 'SPEC', 'w': 2, 't': s}}, {{'f': 'A_SPEC', 'w': 4, 't': a + s}}, {{'f': 'ACTX', 'w': 8, 't': a + ac}}, {{'f': 'SCTX', 'w': 8, 't': s + sc}}, {{'f': 'AFULL', 'w': 16, 't': a + ac + s + sc}}]) AS u FROM x)
+    SELECT u.f AS features, CAST(u.w AS BIGINT) AS width, count(*) AS points, round(sum(u.t), 3) + 0.0 AS total FROM u GROUP BY 1, 2""",
+    "cells",
+)
+ORACLE["band_windows"] = with_views(f"SELECT p.r * {WIDTH} + p.c AS point_id, b.band, CAST(16 AS BIGINT) AS n, round(sum(CASE b.band WHEN 'q' THEN x.q ELSE x.v END / 100), 6) + 0.0 AS total FROM cells p JOIN cells x ON x.r >= p.r - 2 AND x.r < p.r + 2 AND x.c >= p.c - 2 AND x.c < p.c + 2, (SELECT unnest(['q', 'v']) AS band) b WHERE p.e > 0 GROUP BY 1, 2", "cells")
+ORACLE["decimated_cells"] = with_views("SELECT CAST(r / 4 AS BIGINT) AS r, count(*) AS n, round(sum(q), 6) + 0.0 AS q FROM cells WHERE r % 4 = 0 AND c % 4 = 0 GROUP BY 1", "cells")
+ORACLE["polygon_bounds"] = with_views("SELECT CAST(floor(r / 10) AS BIGINT) AS k, min(c)::DOUBLE AS left, min(r)::DOUBLE AS bottom, max(c)::DOUBLE AS right, max(r)::DOUBLE AS top, count(*) AS corners, count(*) FILTER (WHERE c BETWEEN 10 AND 40 AND r BETWEEN 0 AND 45) AS in_box FROM cells WHERE e > 0 GROUP BY 1", "cells").replace(" AS left,", ' AS "left",').replace(" AS right,", ' AS "right",')
+ORACLE["composite_sink"] = with_views(
+    "WITH m AS (SELECT cell % 5 AS tile, cell, band, least(greatest(round(avg(dn)), 0), 65535) AS v FROM observations GROUP BY cell, band), c AS (SELECT tile, cell, coalesce(max(v) FILTER (WHERE band = 1), 0) AS b01, coalesce(max(v) FILTER (WHERE band = 7), 0) AS b07, coalesce(max(v) FILTER (WHERE band = 12), 0) AS b12 FROM m GROUP BY tile, cell) SELECT tile, count(*) AS n, CAST(sum(b01) AS BIGINT) AS b01, CAST(sum(b07) AS BIGINT) AS b07, CAST(sum(b12) AS BIGINT) AS b12 FROM c GROUP BY tile",
+    "observations",
+)
+ORACLE["buffer_sweep"] = with_views("SELECT CAST(b AS BIGINT) AS buffer, count(*) AS n FROM cells x, (SELECT unnest([0, 1, 2, 3]) AS b) WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= b AND abs(x.c - y.c) <= b) GROUP BY b", "cells")
+ORACLE["inner_split"] = with_views(f"SELECT y, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < {int(0.15 * (1 << 32))} AS held, count(*) AS n FROM scored GROUP BY 1, 2", "scored")

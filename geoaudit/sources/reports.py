@@ -25,9 +25,14 @@ def read_metric_maps(spark: SparkSession, path: str) -> DataFrame:
     return each.select("set", F.posexplode(F.arrays_zip("m.roc", "m.pr")).alias("fold", "v")).select("set", "fold", F.col("v.roc").alias("roc"), F.col("v.pr").alias("pr"))
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """An event inventory by header names; years such as ``2015.0`` are whole numbers, others null; a blank trigger is ``?``."""
+def read_inventory(spark: SparkSession, path: str, short_rows: str = "keep") -> DataFrame:
+    """An event inventory by header names; years such as ``2015.0`` are whole numbers, others null; a blank trigger is ``?``.
+
+    Rows with fewer fields than the header are kept with nulls, or left out with ``drop``.
+    """
     raw = spark.read.schema(INVENTORY).option("header", True).csv(path)
+    if short_rows == "drop":
+        raw = raw.where(F.col(INVENTORY.split(", ")[-1].split()[0]).isNotNull())  # a short row lacks the last field
     trigger = F.when(F.trim("trigger") == "", None).otherwise(F.trim("trigger"))
     return raw.select("id", "type", F.coalesce(trigger, F.lit("?")).alias("trigger_kind"), F.col("year").try_cast("double").cast("bigint").alias("yr"), "lat", "lon")
 
@@ -65,3 +70,9 @@ def import_folds(spark: SparkSession, path: str, points: DataFrame, key: str) ->
     if want != got:
         raise ValueError(f"folds of other points: {want} is not {got}")
     return points.join(spark.read.parquet(f"{path}/folds").select(key, "fold"), key)
+
+
+def write_composite(means: DataFrame, path: str, bands: list[int], tile: str = "tile", mode: str = "append") -> None:
+    """Cells as one row with a 16-bit column for each band, by tile; missing bands are 0; may be appended to."""
+    at = lambda b: F.coalesce(F.max(F.when(F.col("band") == b, F.least(F.greatest(F.round("mean"), F.lit(0.0)), F.lit(65535.0)))), F.lit(0.0)).cast("int").alias(f"b{b:02d}")
+    means.groupBy(tile, "cell").agg(*map(at, bands)).write.mode(mode).partitionBy(tile).parquet(path)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoaudit.functions import folds, inference, ranking
-from geoaudit.operators import cluster, grid, reporttables
+from geoaudit.operators import cluster, encoder, grid, reporttables, variogram
 from geoaudit.session import new_folder
 from geoaudit.sources import reports
 
@@ -144,3 +144,33 @@ def test_pairwise_agreement(spark):
     assert len(got) == 6 and got[2, 3] == pytest.approx(1)
     wide = x.groupBy("id").pivot("run").agg(F.first("label"))
     assert got[0, 2] == pytest.approx(cluster.agreement(wide, "0", "2").first().ari)
+
+
+def test_nested_fit_recovers_the_model(spark):
+    t = lambda h, a: 1.0 if h >= a else 1.5 * h / a - 0.5 * (h / a) ** 3
+    rows = [(k, 100, h, 0.2 + 1.5 * t(h, 3.0) + 2.0 * t(h, 9.0)) for k, h in enumerate(np.linspace(0.5, 12, 16).tolist())]
+    bins = spark.createDataFrame(rows, "bin long, n long, lag double, gamma double")
+    r = variogram.fit_nested(bins, [2.0, 3.0, 5.0, 7.0, 9.0]).first()
+    assert (r.short, r.long) == (3.0, 9.0) and [r.nugget, r.sill_short, r.sill_long] == pytest.approx([0.2, 1.5, 2.0], abs=1e-6)
+
+
+def test_short_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,type,trigger,year,lat,lon\n1,"flow, debris",rain,2010.0,1,2\n2,slide,rain\n3,slide,,2015,1,2\n')
+    assert {r.id for r in reports.read_inventory(spark, str(tmp_path / "a.csv")).collect()} == {"1", "2", "3"}
+    assert {r.id for r in reports.read_inventory(spark, str(tmp_path / "a.csv"), "drop").collect()} == {"1", "3"}
+
+
+def test_patches_of_bands_and_rescaling(spark):
+    cells = grid.full_grid(spark, 5, 5).withColumn("q", (F.col("r") * 5 + F.col("c")).cast("double")).withColumn("v", F.lit(1.0))
+    p = spark.createDataFrame([(7, 0, 0), (8, 2, 2)], "id long, r long, c long")
+    got = {(r.id, r.band): r.patch for r in encoder.band_patches(p, cells, ["q", "v"], 1, "id", 2.0).collect()}
+    assert got[8, "q"] == [3.0, 3.5, 5.5, 6.0] and got[7, "v"] == [0.0, 0.0, 0.0, 0.5]
+    one = {r.id: r.patch for r in encoder.window_patches(p, cells, "q", 1, "id").collect()}
+    assert [v / 2 for v in one[8]] == got[8, "q"]
+    assert grid.rescaled((30.0, 100.0, -30.0, 900.0), 8) == (240.0, 100.0, -240.0, 900.0)
+    assert grid.decimated(cells, 2).count() == 9
+
+
+def test_inner_split_share(spark):
+    x = folds.inner_split(spark.range(4000), "id", 0.15)
+    assert 0.12 < x.where("held").count() / 4000 < 0.18
