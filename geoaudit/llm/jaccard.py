@@ -16,7 +16,9 @@ that two words share makes no link.
    are connected already are passed over.  This settles dense groups cheaply; it
    need not be complete.
 3. To be complete, every class sends its prefix: in an order that puts frequent
-   shingles last, its first ``n - ceil(0.8 n) + k`` shingles, of which linked sets
+   shingles last (by the sketch first; if a shingle is still in more than ``HEAVY``
+   open prefixes, the shingles of the texts concerned are counted exactly, and once
+   more with all those of more than ``HEAVY`` texts last; any order is right), its first ``n - ceil(0.8 n) + k`` shingles, of which linked sets
    share at least the lesser k (k is one and a twentieth of the set's size).  Shingles whose classes all lie in one component so
    far say nothing new and drop out.  The classes of each other shingle, if they
    are more than a few, are put into trees (in blocks of like sizes when they are
@@ -60,6 +62,9 @@ BLOCK = 256
 #: Groups up to this size are paired directly: a tree of them would be its leaves.
 SMALL = 8
 FAN = 8
+#: Open prefixes that a shingle may be in before shingles are counted exactly; how many are then put last at most.
+HEAVY = 4 * BLOCK
+LISTED = 1 << 21
 #: Counters of the sketch of shingle frequencies, and how many travel together.
 SKETCH = 1 << 24
 SKETCH_PART = 1 << 18
@@ -322,13 +327,29 @@ def shared_least(n: int | np.ndarray) -> int | np.ndarray:
     return 1 + n // 20
 
 
-def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """``(token, fp)``: the prefix of each set, once per task for sets that are equal."""
-    shared = df.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes whatever the input
+def heavy_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted shingles that more than HEAVY of the texts have, LISTED of the most frequent ones at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                sets = list(shingle_sets(b.column("text").slice(i, 512), k))
+                token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+    most = counted.orderBy(F.desc("n"), "token").limit(LISTED).select("token").toArrow()
+    return np.sort(most.column("token").to_numpy().view(np.uint64)) if most.num_rows else np.zeros(0, np.uint64)
+
+
+def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray, last: np.ndarray) -> DataFrame:
+    """``(token, fp)``: the prefix of each set, once per task for sets that are equal; shingles in ``last`` come last."""
+    context = df.sparkSession.sparkContext
+    shared, listed = context.broadcast(classes), context.broadcast(last)  # SKETCH bytes, and LISTED numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        kinds = shared.value
+        kinds, last = shared.value, listed.value
         for b in batches:
             tokens, owners, sizes = [], [], []
             for s in shingle_sets(b.column("text"), k):
@@ -341,7 +362,10 @@ def prefixes(df: DataFrame, k: int, percent: int, classes: np.ndarray) -> DataFr
                 if len(seen) < 1_000_000:
                     seen.add(fp)
                 p = n - -(-percent * n // 100) + shared_least(n)
-                order = kinds[_slot(s)].astype(np.uint64) << _U(58) | mix(s) >> _U(6)
+                kind = kinds[_slot(s)].astype(np.uint64)
+                if len(last):
+                    kind[last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s] = 63
+                order = kind << _U(58) | mix(s) >> _U(6)
                 tokens.append(s[np.argpartition(order, p - 1)[:p]] if p < n else s)
                 owners.append(fp)
                 sizes.append(len(tokens[-1]))
@@ -503,9 +527,16 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     # step 3: prefixes whose classes are not all connected yet
     owners = reps.select(F.col("fp_a").alias("fp"), F.col("rep").alias("id"), "n")
     owners = owners.join(comps, F.col("id") == F.col("node"), "left").select("fp", "id", "n", F.coalesce("component", "id").alias("comp"))
-    tokens = shared_tokens(prefixes(docs.select("text"), k, percent, classes)).join(owners, "fp").select("token", "id", "n", "comp")
-    tokens = materialise(tokens, "tokens")
-    open_tokens = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
+    by_prefix = lambda last: materialise(shared_tokens(prefixes(docs.select("text"), k, percent, classes, last)).join(owners, "fp").select("token", "id", "n", "comp"), "tokens")
+    open_of = lambda t: t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("token", "m")
+    tokens = by_prefix(np.zeros(0, np.uint64))
+    heavy = open_of(tokens).where(F.col("m") > HEAVY)
+    if heavy.limit(1).count():
+        crowd = tokens.join(heavy, "token").select("id").distinct()
+        last = heavy_shingles(docs.join(crowd, "id", "left_semi"), k)
+        dematerialise(tokens)
+        tokens = by_prefix(last)
+    open_tokens = open_of(tokens)
     mixed = tokens.join(open_tokens, "token")
     few = small_pairs(mixed.where(F.col("m") <= SMALL), percent)
     mixed = mixed.where(F.col("m") > SMALL).join(reps.select(F.col("rep").alias("id"), "bits"), "id")

@@ -44,10 +44,11 @@ SAMPLE_TERMS = 8_000_000
 #: Bytes of the word beginnings that are terms as well.
 BEGINNINGS = (4, 5, 6)
 FACTORS = 8
-#: Texts in a step; steps, and rounds over the sample, at least.
+#: Texts in a step; rounds over the sample at least, and more of them up to so many steps or terms met.
 BATCH = 128
-STEPS = 600
 ROUNDS = 5
+STEPS = 600
+VISITS = 20_000_000
 #: Penalties of weights (of terms whose z-score is PLAIN_Z or more) and of factors; rates of both.
 WEIGHT_PENALTY, FACTOR_PENALTY = 1e-4, 8e-3
 PLAIN_Z = 4.0
@@ -163,7 +164,7 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     gw, gv, gb = np.full(m, 1e-4, np.float32), np.full(m, 1e-4, np.float32), 1e-8
     order = draw.permutation(np.flatnonzero(size > 0))
     steps = [step(flat, np.cumsum(size) - size, size, order[s : s + BATCH]) for s in range(0, len(order), BATCH)]
-    for _ in range(max(ROUNDS, -(-STEPS // max(1, len(steps))))):
+    for _ in range(max(ROUNDS, min(-(-STEPS // max(1, len(steps))), VISITS // max(1, len(flat))))):
         for k in draw.permutation(len(steps)).tolist():
             some, used, term, first, row, runs = steps[k]
             wu, vu = w[used], v[used]

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from geoaudit.llm import jaccard, neardup
 from geoaudit.llm._words import shingle_sets
@@ -98,8 +99,14 @@ def test_one_hash_that_collides_makes_no_link(spark, monkeypatch):
     assert len({jaccard.fingerprint(s) for s, _ in pairs}) == 1 and len({jaccard.fingerprint(t) for _, t in pairs}) == 4
 
 
-def test_hot_passages_of_many_sizes(spark, monkeypatch):
-    """A passage in most of the texts, and copies among them: blocks of like sizes lose no link."""
+@pytest.mark.parametrize("heavy", [4 * jaccard.BLOCK, 10])
+def test_hot_passages_of_many_sizes(spark, monkeypatch, heavy):
+    """A passage in most of the texts, and copies among them: neither blocks of like sizes nor another order lose a link."""
+    if heavy == 10:  # the sketch tells nothing: exact counts put the passage last
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard, "frequency_classes", lambda known: np.zeros(jaccard.SKETCH, np.uint8))
+        seen, plain = [], jaccard.heavy_shingles
+        monkeypatch.setattr(jaccard, "heavy_shingles", lambda t, k: seen.append(plain(t, k)) or seen[-1])
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "KEYS", 0)
     monkeypatch.setattr(jaccard, "_SEEDS", jaccard._SEEDS[:0])
@@ -115,6 +122,8 @@ def test_hot_passages_of_many_sizes(spark, monkeypatch):
             rows.append((len(rows), " ".join(base)))
     got = {r.doc_id: r.component_id for r in jaccard.join_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+    if heavy == 10:
+        assert len(seen) == 1 and set(next(shingle_sets(pa.array([" ".join(passage)]))).tolist()) <= set(seen[0].tolist())
 
 
 def test_join_near_of_nothing(spark):
