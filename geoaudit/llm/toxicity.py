@@ -40,7 +40,7 @@ from geoaudit.session import dematerialise, materialise, table
 BUCKETS = 1 << 18
 #: Labelled texts that the machine is fitted on, and terms of them, at most.
 SAMPLE = 20_000
-SAMPLE_TERMS = 8_000_000
+SAMPLE_TERMS = 6_000_000
 #: Bytes of the word beginnings that are terms as well.
 BEGINNINGS = (4, 5, 6)
 FACTORS = 8
@@ -147,14 +147,23 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     nothing = Machine(-40.0 if not len(y) or not y.any() else 40.0, np.zeros(1), np.zeros((1, FACTORS)), np.full(BUCKETS, -1, np.int32))
     if not len(y) or y.min() == y.max():
         return nothing
-    # the sample stays in Arrow's own arrays; nothing is made for a single term
+    # the sample stays in Arrow's own arrays; nothing as wide as a machine word is made for a term
     buckets = sample.column("buckets").combine_chunks()
     size = pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
-    seen, flat = np.unique(buckets.flatten().to_numpy(), return_inverse=True)
-    flat = flat.astype(np.int32)
+    flat, label = buckets.flatten().to_numpy(), np.repeat(y > 0, size)
+    total, ones = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for s in range(0, len(flat), 1 << 18):
+        part = flat[s : s + (1 << 18)]
+        total += np.bincount(part, minlength=BUCKETS)
+        ones += np.bincount(part[label[s : s + (1 << 18)]], minlength=BUCKETS)
+    seen = np.flatnonzero(total)
     m, share = max(1, len(seen)), float(y.mean())
-    total = np.bincount(flat, minlength=m)
-    z = np.abs(np.bincount(flat[np.repeat(y > 0, size)], minlength=m) - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
+    number = np.zeros(BUCKETS, np.int32)
+    number[seen] = np.arange(len(seen))
+    flat = number[flat]
+    total, ones = (x[seen] if len(seen) else np.zeros(1, np.int64) for x in (total, ones))
+    z = np.abs(ones - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
+    del sample, buckets, label
     # a term that says little by itself gets a weight only against a high penalty
     penalty = (WEIGHT_PENALTY * np.maximum(1, (PLAIN_Z / np.maximum(z, 1e-3)) ** 4)).astype(np.float32)
     # texts of many terms take smaller steps: they move the score by all of them
@@ -163,7 +172,8 @@ def fit(sample: pa.Table, seed: int = 7) -> Machine:
     w, v, bias = np.zeros(m, np.float32), draw.normal(0, 0.2 * scale, (m, FACTORS)).astype(np.float32), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(m, 1e-4, np.float32), np.full(m, 1e-4, np.float32), 1e-8
     order = draw.permutation(np.flatnonzero(size > 0))
-    steps = [step(flat, np.cumsum(size) - size, size, order[s : s + BATCH]) for s in range(0, len(order), BATCH)]
+    at = np.cumsum(size) - size
+    steps = [step(flat, at, size, order[s : s + BATCH]) for s in range(0, len(order), BATCH)]
     for _ in range(max(ROUNDS, min(-(-STEPS // max(1, len(steps))), VISITS // max(1, len(flat))))):
         for k in draw.permutation(len(steps)).tolist():
             some, used, term, first, row, runs = steps[k]
