@@ -14,7 +14,6 @@ stages 3 and 4, so it stays.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from geoaudit.llm import bpe, decontaminate, jaccard, language, toxicity
 from geoaudit.session import materialise, ship, table

@@ -7,7 +7,7 @@ ranges' totals.  So no group has to fit one task, and ties need no care.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of scores per group; each is a window of its own.

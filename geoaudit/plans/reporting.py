@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoaudit.functions import folds, inference, ranking
+from geoaudit.functions import folds, ranking
 from geoaudit.functions.inference import T975
 from geoaudit.operators import cluster, grid, reporttables
 from geoaudit.plans import evaluation
