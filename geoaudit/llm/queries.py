@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoaudit.llm import bpe, conversations, decontaminate, jaccard, language, licenses, neardup, negatives, sharding, toxicity, url_filters, warc
+from geoaudit.llm import bpe, conversations, decontaminate, jaccard, language, licenses, neardup, negatives, repeats, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1,
@@ -16,10 +16,11 @@ QUERIES = {
     "op9_licenses": licenses.op9,
     "op10_url_filters": url_filters.op10,
     "op11_hard_negatives": negatives.op11,
+    "op12_suffix_dedup": repeats.op12,
     "op13_conversation_repair": conversations.op13,
 }
 
-#: op6 and op7 learn, op13 needs a checksum that DuckDB lacks, and op1 to op5 and op9 have no SQL that stays cheap on whole tables; tests hold those against brute force.
+#: op6 and op7 learn, op13 needs a checksum that DuckDB lacks, and op1 to op5, op9 and op12 have no SQL that stays cheap on whole tables; tests hold those against brute force.
 ORACLE = {
     "op8_warc": warc.SQL,
     "op10_url_filters": url_filters.SQL,
