@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoaudit.operators import blocks
+from geoaudit.operators import blocks, pivots
 from geoaudit.operators.components import components
 
 #: Counts in a run of the expected mutual information.
@@ -214,34 +214,17 @@ def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def nearest_label(points: DataFrame, known: DataFrame, k: int, key: str, vector: str, label: str) -> DataFrame:
     """Label of each point by majority of its k nearest known vectors (ties: the least label).
 
-    Blocks of points meet blocks of known vectors and keep k candidates a point
-    (ties: the least id); a known vector with the point's own id is not asked.
-    Distances are compared at 12 decimals.
+    Neighbours come from cells bounded by pivots; a known vector with the point's own
+    id is not asked.  Distances are compared at 12 decimals, ties by id; ids are
+    integers.
     """
-
-    def run(g: pa.Table) -> pa.Table:
-        l, x, r, y = blocks.sides(g)
-        ids, others = (t.column("id").to_numpy() for t in (l, r))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for lo in range(0, len(x) if len(y) else 0, blocks.ROWS):
-            part = x[lo : lo + blocks.ROWS]
-            d, slack = blocks.squared(part, y)
-            d[ids[lo : lo + blocks.ROWS][:, None] == others[None, :]] = np.inf
-            top = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-            a, b = np.nonzero((d <= (top + 2 * slack + 2e-12)[:, None]) & np.isfinite(d))
-            e = np.round(blocks.exact(part, y, a, b), 12)
-            order = np.lexsort((others[b], e, a))
-            a, b, e = a[order], b[order], e[order]
-            first = np.searchsorted(a, a)
-            near = np.arange(len(a)) - first < k
-            found.append((a[near] + lo, b[near], e[near]))
-        a, b, e = (np.concatenate(f) for f in zip(*found, strict=True))
-        return pa.table({"i": l.column("id").take(pa.array(a)), "j": r.column("id").take(pa.array(b)), "lj": r.column("label").take(pa.array(b)), "d": e})
-
-    kept = known.select(F.col(key).alias("i"), F.col(key).alias("j"), F.col(label).alias("lj")).schema
-    asked = points.select(key, vector, F.lit(None).cast(known.schema[label].dataType).alias(label))
-    x = blocks.paired(asked, known.where(F.col(label).isNotNull()), key, vector, label).groupBy("i", "j", "dim").applyInArrow(run, T.StructType([*kept, T.StructField("d", T.DoubleType())]))
-    near = x.withColumn("__r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("__r") <= k)
+    labels = known.where(F.col(label).isNotNull()).select(F.col(key).alias("j"), F.col(label).alias("lj"))
+    if points is known:
+        both = points.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("asked"), F.col(label).isNotNull().alias("known"))
+    else:
+        side = lambda df, asked: df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(asked).alias("asked"), F.lit(not asked).alias("known"))
+        both = side(points, True).union(side(known.where(F.col(label).isNotNull()), False))
+    near = pivots.knn(pivots.build(both, asked="asked", known="known"), k).join(labels, "j")
     votes = near.groupBy("i", "lj").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("i").agg(F.max(F.struct("n", (-F.col("lj")).alias("l"))).alias("m")).select(F.col("i").alias(key), (-F.col("m.l")).alias(label))
 

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from geoaudit.operators import blocks, cluster
+from geoaudit.operators import blocks, cluster, pivots
 from geoaudit.plans import clusters
 
 
@@ -35,7 +35,8 @@ def test_silhouette_of_all_vectors(spark, vectors, monkeypatch):
 
 
 def test_nearest_label_of_all_vectors(spark, vectors, monkeypatch):
-    monkeypatch.setattr(blocks, "CELL", 150)
+    monkeypatch.setattr(pivots, "CELL", 40)
+    monkeypatch.setattr(pivots, "PACK", 150)
     path, _, lab, d = vectors
     want = {}
     for i in range(len(lab)):
