@@ -113,8 +113,8 @@ def build(points: DataFrame, key: str = "id", vector: str = "v", asked: str | No
     return Cells(materialise(ordered.mapInArrow(cut, _CELLS), "cells"), pivots)
 
 
-def needed(asking: DataFrame, cells: DataFrame) -> DataFrame:
-    """``(a, pa, b, pb)``: cells of different packs that their pivots do not prove to be farther apart than ``reach`` of the asking one.
+def needed(asking: DataFrame, cells: DataFrame, own: bool = False) -> DataFrame:
+    """``(a, pa, b, pb)``: cells that their pivots do not prove to be farther apart than ``reach`` of the asking one; of one pack only with ``own``.
 
     ``asking`` has ``cell, pack, dim, lo, hi, reach`` (a distance).
     """
@@ -132,16 +132,17 @@ def needed(asking: DataFrame, cells: DataFrame) -> DataFrame:
             # distances of large vectors are rounded
             slack = 1e-9 * (1 + (hi.max(1) if hi.shape[1] else np.zeros(len(hi))))
             near = far <= (reach + slack)[:, None]
-            near &= t.column("pack").to_numpy()[:, None] != o.column("pack").to_numpy()[None, :]
+            if not own:
+                near &= t.column("pack").to_numpy()[:, None] != o.column("pack").to_numpy()[None, :]
             a, b = np.nonzero(near)
             out = [t.column("cell").to_numpy()[a], t.column("pack").to_numpy()[a], o.column("cell").to_numpy()[b], o.column("pack").to_numpy()[b]]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "pa", "b", "pb"), out or [[]] * 4, strict=True)})
 
     n = max(1, -(-cells.count() // SHEET))
-    own = lambda: F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")
+    mine = lambda: F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")
     every = lambda: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asking.select("cell", "pack", "dim", "lo", "hi", "reach", own().alias("i"), every().alias("j"))
-    right = cells.select("cell", "pack", "dim", "lo", "hi").toDF("cell", "pack", "dim", "lo", "hi").select("*", every().alias("i"), own().alias("j"))
+    left = asking.select("cell", "pack", "dim", "lo", "hi", "reach", mine().alias("i"), every().alias("j"))
+    right = cells.select("cell", "pack", "dim", "lo", "hi").toDF("cell", "pack", "dim", "lo", "hi").select("*", every().alias("i"), mine().alias("j"))
     return left.groupBy("i", "j", "dim").cogroup(right.groupBy("i", "j", "dim")).applyInArrow(run, "a long, pa long, b long, pb long")
 
 

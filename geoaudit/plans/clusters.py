@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaudit.functions import features, folds, inference, ranking
-from geoaudit.operators import cluster, encoder, grid, inventory, models
+from geoaudit.operators import cluster, density, encoder, grid, inventory, models
 from geoaudit.plans import evaluation
 from geoaudit.plans._common import rounded
 from geoaudit.plans.evaluation import _folded
@@ -80,6 +80,12 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.nearest_label(x, x, 5, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("bigint"))
 
 
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of all vectors: at least 15 vectors each, core distances of the fifth neighbour."""
+    x = table(spark, sf_dir, "embeddings")
+    return density.cluster(x, 15, 5, "vec_id", "embedding").select(F.col("id").alias("vec_id"), "label")
+
+
 def morphotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of cluster signatures by rule, and their three strongest features; four layers stand for the landform indices."""
     z = cluster.z_signatures(_labelled(spark, sf_dir), "ca", ["q", "d", "t", "v"])
@@ -203,7 +209,7 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "cluster_signatures": signatures, "cluster_z_signatures": z_signatures, "contingency": contingency, "cluster_agreement": agreement, "adjusted_information": adjusted_information, "internal_quality": internal_quality, "silhouette": silhouette,
-    "matched_clusters": cosine_matrix, "correspondence_components": correspondence, "nearest_label": nearest, "morphotypes": morphotypes, "event_types": kinds, "year_profile": years, "top_triggers": top_triggers, "class_share": class_share,
+    "matched_clusters": cosine_matrix, "correspondence_components": correspondence, "nearest_label": nearest, "density_clusters": dense, "morphotypes": morphotypes, "event_types": kinds, "year_profile": years, "top_triggers": top_triggers, "class_share": class_share,
     "type_signature": type_signature, "region_summary": regions, "rollup_counts": rollup_shares, "report_round_trip": report_round_trip, "report_table": report_table, "forest_folds": forest, "boosting_residuals": boosting, "tuned_logistic": tuned_logistic,
     "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": mixtures, "encoded_points": encoded,
 }
