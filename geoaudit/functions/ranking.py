@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null key meets a null key."""
+    other = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*(f"__same_{k}" for k in keys))
+
+
 def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], ranges: int = RANGES, like: DataFrame | None = None, alike: list[str] = ()) -> DataFrame:
     """Append ``<value>_before`` (sum over lower ``order`` in the group) and ``<value>_all`` (the group's sum).
 
@@ -25,13 +32,13 @@ def running_totals(df: DataFrame, by: list[str], order: str, values: list[str],
     cut = list(alike) if like is not None else keys
     cuts = (df if like is None else like).groupBy(*cut).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000).alias("__cuts"))
     # one row per group
-    placed = df.join(cuts, cut).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order)))).drop("__cuts")
+    placed = joined(df, cuts, cut).withColumn("__range", F.size(F.filter("__cuts", lambda x: x < F.col(order)))).drop("__cuts")
     sums = placed.groupBy(*keys, "__range").agg(*(F.sum(v).alias(f"__{v}") for v in values))
     over = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
     sums = sums.select(*keys, "__range", *(F.coalesce(F.sum(f"__{v}").over(over), F.lit(0)).alias(f"__{v}_low") for v in values), *(F.sum(f"__{v}").over(every).alias(f"{v}_all") for v in values))
     within = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(sums, [*keys, "__range"])
+    out = joined(placed, sums, [*keys, "__range"])
     for v in values:
         out = out.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"__{v}_low"))
     return out.drop("__range", "__one", *(f"__{v}_low" for v in values))
@@ -93,16 +100,20 @@ def rate_curve_area(areas: DataFrame, events: DataFrame, score: str, by: list[st
 
 
 def quintile_table(areas: DataFrame, events: DataFrame, score: str, cell_km2: float) -> DataFrame:
-    """Per fifth of the area (1 lowest): shares of area and events, events per 100 km2, density ratio."""
+    """Per fifth of the area (1 lowest): shares of area and events, events per 100 km2, density ratio.
+
+    Always five rows; a fifth that ties leave without area has no density.
+    """
     edges = order_statistic(areas, score, [0.2, 0.4, 0.6, 0.8], [])  # one row
     cls = lambda: (F.lit(1) + sum(((F.col(score) > F.col(f"q{p}")).cast("int") for p in (20, 40, 60, 80)), F.lit(0))).alias("class")
     counted = lambda df, name: df.where(F.col(score).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(cls()).agg(F.count(F.lit(1)).alias(name))
-    out = counted(areas, "n_area").join(counted(events, "n_events"), "class", "left").fillna(0, ["n_events"])
+    fifths = areas.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("class"))
+    out = fifths.join(counted(areas, "n_area"), "class", "left").join(counted(events, "n_events"), "class", "left").fillna(0, ["n_area", "n_events"])
     over = Window.partitionBy()  # five rows
-    share = lambda c: F.col(c) / F.sum(c).over(over)
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(over))
     return out.select(
         F.col("class").cast("bigint").alias("class"), "n_area", "n_events", share("n_area").alias("area_share"), share("n_events").alias("event_share"),
-        (100 * F.col("n_events") / (F.col("n_area") * cell_km2)).alias("per_100_km2"), F.try_divide(share("n_events"), share("n_area")).alias("density_ratio"),
+        F.try_divide(100 * F.col("n_events"), F.col("n_area") * cell_km2).alias("per_100_km2"), F.try_divide(share("n_events"), share("n_area")).alias("density_ratio"),
     )
 
 
@@ -122,7 +133,7 @@ def captures(areas: DataFrame, events: DataFrame, score: str, shares: list[float
     edges = x.crossJoin(F.broadcast(asked)).where(hit).select(*by, "share", F.col("v").alias("edge"))  # the asked shares
     listed = edges.groupBy(*by).agg(F.collect_list(F.struct("share", "edge")).alias("edges")) if by else edges.agg(F.collect_list(F.struct("share", "edge")).alias("edges"))
     e = events.where(F.col(score).isNotNull())
-    met = (e.join(listed, by) if by else e.crossJoin(F.broadcast(listed))).select(*by, score, F.explode("edges").alias("x"))
+    met = (joined(e, listed, by) if by else e.crossJoin(F.broadcast(listed))).select(*by, score, F.explode("edges").alias("x"))
     share = F.col("x.share")
     caught = F.when(share <= 0, F.lit(0.0)).when(share >= 1, F.lit(1.0)).otherwise((F.col(score) >= F.col("x.edge")).cast("double"))
     return met.groupBy(*by, share.alias("share")).agg(F.avg(caught).alias("captured"))

@@ -77,6 +77,6 @@ def band_patches(points: DataFrame, cells: DataFrame, bands: list[str], half: in
     asked = points.select(key, "r", "c", F.explode(offsets).alias("dr")).select(key, "c", (F.col("r") + F.col("dr")).alias("__r"), "dr", F.explode(offsets).alias("dc"))
     asked = asked.select(key, "dr", "dc", "__r", (F.col("c") + F.col("dc")).alias("__c"))
     got = asked.join(long.select(F.col("r").alias("__r"), F.col("c").alias("__c"), "band", "v"), ["__r", "__c"])
-    each = got.groupBy(key, "band").agg(F.map_from_entries(F.collect_list(F.struct((F.col("dr") * 1000 + F.col("dc")).alias("k"), "v"))).alias("m"))  # (2 half)^2 entries
-    places = F.flatten(F.transform(offsets, lambda i: F.transform(offsets, lambda j: i * 1000 + j)))
+    each = got.groupBy(key, "band").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("dr", "dc").alias("k"), "v"))).alias("m"))  # (2 half)^2 entries
+    places = F.flatten(F.transform(offsets, lambda i: F.transform(offsets, lambda j: F.struct(i.alias("dr"), j.alias("dc")))))
     return each.select(key, "band", F.transform(places, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("patch"))

@@ -78,3 +78,62 @@ def fit_nested(bins: DataFrame, reaches: list[float], kind: str = "spherical") -
 
     shape = "short double, long double, nugget double, sill_short double, sill_long double, sse double"
     return bins.groupBy(F.lit(0).alias("all")).applyInPandas(run, shape)  # a row for each lag bin
+
+
+def semivariances(points: DataFrame, key: str, layers: list[str], edges: list[float], least: int = 30, row: str = "r", col: str = "c") -> DataFrame:
+    """``(layer, bin, n, lag, gamma)``: the semivariances of several standardised layers, from one join of pairs.
+
+    A layer is measured from its mean in population deviations; one without spread,
+    and places that a layer has no value for, have no pairs.
+    """
+    stats = points.select(*(f(c).alias(f"{n}_{c}") for c in layers for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))
+    z = points.crossJoin(F.broadcast(stats)).select(F.col(key).alias("__k"), F.array(*(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")) for c in layers)).alias("__z"))  # one row
+    pairs = pairs_within(points, edges[-1], key, row, col)
+    x = pairs.join(z.select(F.col("__k").alias("a"), F.col("__z").alias("za")), "a").join(z.select(F.col("__k").alias("b"), F.col("__z").alias("zb")), "b")
+    x = x.withColumn("bin", bucket_left(F.col("dist"), edges)).where((F.col("bin") > 0) & (F.col("bin") < len(edges)))
+    half = F.zip_with("za", "zb", lambda u, v: 0.5 * (u - v) * (u - v))
+    long = x.select(F.col("bin").cast("bigint").alias("bin"), "dist", F.posexplode(half).alias("at", "half")).where("half IS NOT NULL")
+    out = long.groupBy("at", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("lag"), F.avg("half").alias("gamma")).where(F.col("n") >= least)
+    return out.select(F.element_at(F.array(*map(F.lit, layers)), F.col("at") + 1).alias("layer"), "bin", "n", "lag", "gamma")
+
+
+#: Ways to hold some of nugget, sill and drift at 0: the determinant of the rest's normal equations (which must stand out from ``scale``) and their solution times it.
+_WAYS = [
+    ("w * (gg * hh - gh * gh) - g * (g * hh - gh * h) + h * (g * gh - gg * h)", "w * gg * hh", "y * (gg * hh - gh * gh) - g * (gy * hh - gh * hy) + h * (gy * gh - gg * hy)", "w * (gy * hh - gh * hy) - y * (g * hh - gh * h) + h * (g * hy - gy * h)", "w * (gg * hy - gy * gh) - g * (g * hy - gy * h) + y * (g * gh - gg * h)"),
+    ("w * gg - g * g", "w * gg", "y * gg - g * gy", "w * gy - g * y", "0D"),
+    ("w * hh - h * h", "w * hh", "y * hh - h * hy", "0D", "w * hy - h * y"),
+    ("gg * hh - gh * gh", "gg * hh", "0D", "gy * hh - gh * hy", "gg * hy - gh * gy"),
+    ("w", "0D", "y", "0D", "0D"),
+    ("gg", "0D", "0D", "gy", "0D"),
+    ("hh", "0D", "0D", "0D", "hy"),
+]
+
+
+def fit_drift(bins: DataFrame, reaches: list[float], longest: float, by: list[str]) -> DataFrame:
+    """``(*by, reach, nugget, sill, drift, sse, share, resolved)``: nugget, one spherical structure and a linear drift.
+
+    For each range of a grid the three coefficients are weighted least squares
+    (weights n) held at 0 or above: of all ways to hold some at 0 the feasible one
+    with the least error.  ``share`` is the local structure's part of the model at its
+    range, ``sill / (nugget + sill + drift * reach)``; it is ``resolved`` from 0.10 on,
+    if the range is below 0.9 of the longest lag.  A group without a solution (fewer
+    bins than needed, all zero) has no row.
+    """
+    asked = bins.sparkSession.createDataFrame([(float(a),) for a in reaches], "reach double")
+    x = bins.crossJoin(F.broadcast(asked)).select(*by, "reach", F.col("n").cast("double").alias("k"), F.col("lag").alias("l"), _shape("spherical", F.col("lag"), F.col("reach")).alias("s"), F.col("gamma").alias("v"))  # the asked ranges
+    part = {"w": "k", "g": "k * s", "h": "k * l", "gg": "k * s * s", "gh": "k * s * l", "hh": "k * l * l", "y": "k * v", "gy": "k * s * v", "hy": "k * l * v", "yy": "k * v * v"}
+    sums = x.groupBy(*by, "reach").agg(*(F.sum(F.expr(e)).alias(n) for n, e in part.items()))
+    ways = [f"CASE WHEN {det} > 1e-9 * {scale} THEN named_struct('way', {i}, 'nugget', ({n}) / ({det}), 'sill', ({s}) / ({det}), 'drift', ({b}) / ({det})) END" for i, (det, scale, n, s, b) in enumerate(_WAYS)]
+    each = sums.select(*by, "reach", "y", "gy", "hy", "yy", F.explode(F.array(*map(F.expr, ways))).alias("c")).where("c.nugget >= -1e-12 AND c.sill >= -1e-12 AND c.drift >= -1e-12")
+    sse = F.expr("yy - c.nugget * y - c.sill * gy - c.drift * hy")
+    fits = each.select(*by, "reach", "c.way", *(F.greatest(F.col(f"c.{p}"), F.lit(0.0)).alias(p) for p in ("nugget", "sill", "drift")), sse.alias("sse"))
+    best = fits.groupBy(*by).agg(F.min_by(F.struct("reach", "nugget", "sill", "drift", "sse"), F.struct(F.round("sse", 9), "reach", "way")).alias("b")).select(*by, "b.*")
+    share = F.try_divide(F.col("sill"), F.col("nugget") + F.col("sill") + F.col("drift") * F.col("reach"))
+    return best.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("resolved", (F.col("share") >= 0.10) & (F.col("reach") < 0.9 * longest))
+
+
+def local_ranges(fits: DataFrame) -> DataFrame:
+    """One row ``(layers, resolved, median, low, high)``: quartiles of the resolved layers' ranges."""
+    reach = F.when(F.col("resolved"), F.col("reach"))
+    at = lambda p: F.percentile(reach, F.lit(p))  # noqa: E731  a row for each layer
+    return fits.agg(F.count(F.lit(1)).alias("layers"), F.count_if("resolved").alias("resolved"), at(0.5).alias("median"), at(0.25).alias("low"), at(0.75).alias("high"))

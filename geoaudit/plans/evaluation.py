@@ -73,7 +73,8 @@ def fold_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Across ten draws of documents: mean, spread and sign of a class's difference of means."""
-    x = views.scored(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9)))).where((F.col("doc_id") + F.col("draw")) % 3 == 0)
+    x = views.scored(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    x = x.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("bigint") % 3 == 0)
     m = x.groupBy("draw", "cls").agg((F.avg(F.when(F.col("y") == 1, F.col("s"))) - F.avg(F.when(F.col("y") == 0, F.col("s")))).alias("delta"))
     m = m.where("delta IS NOT NULL").withColumn("ref", F.lit(-1.0)).withColumn("sig", F.abs("delta") > 100)
     return rounded(inference.replicate_summary(m, "delta", "ref", "sig", ["cls"]), 4)
@@ -172,7 +173,7 @@ _QUINT = """
 WITH edges AS (SELECT list_sort(list(s)) AS v, count(*) AS n FROM scored),
 e AS (SELECT v[CAST(floor(0.2 * (n - 1)) AS INT) + 1] AS a, v[CAST(floor(0.4 * (n - 1)) AS INT) + 1] AS b, v[CAST(floor(0.6 * (n - 1)) AS INT) + 1] AS c, v[CAST(floor(0.8 * (n - 1)) AS INT) + 1] AS d FROM edges),
 x AS (SELECT CAST(1 + (s > a)::INT + (s > b)::INT + (s > c)::INT + (s > d)::INT AS BIGINT) AS class, y FROM scored, e),
-g AS (SELECT class, count(*) AS n_area, count(*) FILTER (WHERE y = 0) AS n_events FROM x GROUP BY class),
+g AS (SELECT class, count(y) AS n_area, count(*) FILTER (WHERE y = 0) AS n_events FROM (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS class) LEFT JOIN x USING (class) GROUP BY class),
 t AS (SELECT *, n_area / sum(n_area) OVER () AS area_share, n_events / sum(n_events) OVER () AS event_share FROM g)"""
 
 ORACLE = {
@@ -213,7 +214,7 @@ ORACLE = {
     ),
     "stratified_folds": with_views("WITH h AS (SELECT y, doc_id, md5('42:' || doc_id) AS h FROM scored), x AS (SELECT y, CAST((row_number() OVER (PARTITION BY y ORDER BY h, doc_id) - 1) % 5 AS BIGINT) AS fold FROM h) SELECT fold, y, count(*) AS n FROM x GROUP BY ALL", "scored"),
     "replicate_summary": with_views(
-        f"""WITH m AS (SELECT draw, cls, avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0) AS delta FROM scored, (SELECT unnest(range(10)) AS draw) WHERE (doc_id + draw) % 3 = 0 GROUP BY ALL)
+        f"""WITH m AS (SELECT draw, cls, avg(s) FILTER (WHERE y = 1) - avg(s) FILTER (WHERE y = 0) AS delta FROM scored, (SELECT unnest(range(10)) AS draw) WHERE CAST('0x' || substr(md5(draw || ':' || doc_id), 1, 8) AS BIGINT) % 3 = 0 GROUP BY ALL)
         SELECT cls, count(*) AS n, {_r(("avg(delta)", "mean"), ("stddev_samp(delta)", "sd"), ("min(delta)", "least"), ("max(delta)", "most"), digits=4)}, CAST(sum((delta < 0)::INT) AS BIGINT) AS same_sign, CAST(sum((delta < 0 AND abs(delta) > 100)::INT) AS BIGINT) AS sig_same_sign
         FROM m WHERE delta IS NOT NULL GROUP BY cls""",
         "scored",
@@ -226,7 +227,7 @@ ORACLE = {
     ),
     "order_statistics": with_views("WITH g AS (SELECT cls, list_sort(list(s)) AS v, count(*) AS n FROM scored GROUP BY cls) SELECT cls, v[CAST(floor(0.1 * (n - 1)) AS INT) + 1] AS q10, v[CAST(floor(0.5 * (n - 1)) AS INT) + 1] AS q50, v[CAST(floor(0.8 * (n - 1)) AS INT) + 1] AS q80 FROM g", "scored"),
     "rate_curve_area": with_views("WITH a AS (SELECT cls, s FROM scored WHERE y = 0), e AS (SELECT cls, s FROM scored WHERE y = 1), c AS (SELECT e.cls, avg((a.s < e.s)::INT + 0.5 * (a.s = e.s)::INT) AS v FROM e JOIN a USING (cls) GROUP BY e.cls), g AS (SELECT cls, count(*) FILTER (WHERE y = 1) AS n_events, count(*) FILTER (WHERE y = 0) AS n_area FROM scored GROUP BY cls) SELECT cls, n_events, n_area, round(v, 6) + 0.0 AS rate_auc FROM g LEFT JOIN c USING (cls)", "scored"),
-    "quintile_table": with_views(_QUINT + f" SELECT class, n_area, n_events, {_r(('area_share', 'area_share'), ('event_share', 'event_share'), ('100 * n_events / (n_area * 0.25)', 'per_100_km2'), ('event_share / area_share', 'density_ratio'))} FROM t", "scored"),
-    "monotone_classes": with_views(_QUINT + ", u AS (SELECT event_share / area_share >= lag(event_share / area_share) OVER (ORDER BY class) AS up FROM t) SELECT coalesce(bool_and(up), true) AS rising, count(*) AS classes FROM u", "scored"),
+    "quintile_table": with_views(_QUINT + f" SELECT class, n_area, n_events, {_r(('area_share', 'area_share'), ('event_share', 'event_share'), ('100 * n_events / nullif(n_area * 0.25, 0)', 'per_100_km2'), ('event_share / nullif(area_share, 0)', 'density_ratio'))} FROM t", "scored"),
+    "monotone_classes": with_views(_QUINT + ", u AS (SELECT event_share / nullif(area_share, 0) >= lag(event_share / nullif(area_share, 0)) OVER (ORDER BY class) AS up FROM t) SELECT coalesce(bool_and(up), true) AS rising, count(*) AS classes FROM u", "scored"),
     "block_sweep": with_views("WITH x AS (SELECT r, c, CAST(side AS BIGINT) AS side, CAST(off AS BIGINT) AS off FROM cells, (SELECT unnest([5, 9, 20, 40]) AS side), (SELECT unnest([0, 3]) AS off) WHERE e > 0) SELECT side, off, count(DISTINCT floor((r + off) / side) * ceil((70 + off) / side) + floor((c + off) / side)) AS blocks, count(*) AS n FROM x GROUP BY side, off HAVING count(DISTINCT floor((r + off) / side) * ceil((70 + off) / side) + floor((c + off) / side)) >= 5", "cells"),
 }

@@ -163,9 +163,9 @@ def fold_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers looked up at every third place of the grid; places without a valid cell stay missing."""
+    """Layers looked up at every place of the grid and some beyond; places without a valid cell stay missing."""
     x = views.cells(spark, sf_dir)
-    asked = spark.range(HEIGHT * WIDTH + 500).where("id % 3 = 0").select("id", F.floor(F.col("id") / WIDTH).alias("r"), (F.col("id") % WIDTH).alias("c"))
+    asked = spark.range(HEIGHT * WIDTH + 500).select("id", F.floor(F.col("id") / WIDTH).alias("r"), (F.col("id") % WIDTH).alias("c"))
     got = grid.lookup(asked, x.where("q > 20"), ["r", "c"], ["q", "d"])
     return rounded(got.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"), F.avg("q").alias("q"), F.avg("d").alias("d")))
 
@@ -273,6 +273,30 @@ def nested_variogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(variogram.fit_nested(grids.variogram_bins(spark, sf_dir), [2.0, 3.0, 4.0, 5.0, 6.0]), 4)
 
 
+_LAGS = [0.5 + i for i in range(11)]
+_REACHES = [1.5 + 0.25 * i for i in range(37)]
+
+
+def _drift_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoaudit.operators import variogram
+
+    x = views.cells(spark, sf_dir).withColumn("id", F.col("r") * WIDTH + F.col("c"))
+    bins = variogram.semivariances(x, "id", ["v", "q", "d", "t"], _LAGS)
+    return variogram.fit_drift(bins, _REACHES, _LAGS[-1], ["layer"])
+
+
+def drift_variogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nugget, spherical structure and linear drift of every layer of the grid."""
+    return rounded(_drift_fits(spark, sf_dir), 5)
+
+
+def local_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and quartiles of the layers' local ranges."""
+    from geoaudit.operators import variogram
+
+    return rounded(variogram.local_ranges(_drift_fits(spark, sf_dir)), 5)
+
+
 def stitched_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all cells from forests that have not seen their blocks: cells and range by fold."""
     from geoaudit.operators import models
@@ -297,7 +321,7 @@ def cluster_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "feature_sets": feature_sets, "band_windows": band_windows, "decimated_cells": decimated, "polygon_bounds": polygon_bounds, "composite_sink": composite_sink, "buffer_sweep": buffer_sweep, "inner_split": inner_split, "nested_variogram": nested_variogram,
+    "feature_sets": feature_sets, "band_windows": band_windows, "decimated_cells": decimated, "polygon_bounds": polygon_bounds, "composite_sink": composite_sink, "buffer_sweep": buffer_sweep, "inner_split": inner_split, "nested_variogram": nested_variogram, "drift_variogram": drift_variogram, "local_ranges": local_ranges,
     "stitched_surface": stitched_surface, "cluster_stability": cluster_stability,
     "control_table": control_table, "fold_ladder": fold_ladder, "ladder_significance": ladder_significance, "pretraining_gap": pretraining_gap, "layer_sweep": layer_sweep, "best_pipeline": best_pipeline, "stored_reports": reproduction,
     "rate_curves": rate_curves, "top_captures": top_captures, "common_support": common_support, "duplicate_cells": duplicate_cells, "in_basin": in_basin, "share_matrix": share_matrix, "matched_summary": matched_summary, "best_numbers": best_numbers,
@@ -386,7 +410,7 @@ ORACLE = {
         SELECT i, j, {_r(6, ("(ab - pa.s * pb.s / (n * (n - 1) / 2)) / ((pa.s + pb.s) / 2 - pa.s * pb.s / (n * (n - 1) / 2))", "ari"))} FROM p JOIN pa USING (i, j) JOIN pb USING (i, j)""",
         "cells",
     ),
-    "feature_lookup": with_views(f"WITH a AS (SELECT id // {WIDTH} AS r, id % {WIDTH} AS c FROM (SELECT unnest(range({HEIGHT * WIDTH + 500})) AS id) WHERE id % 3 = 0) SELECT count(*) AS n, count(x.q) AS n_valid, {_r(6, ('avg(x.q)', 'q'), ('avg(x.d)', 'd'))} FROM a LEFT JOIN cells x ON x.r = a.r AND x.c = a.c AND x.q > 20", "cells"),
+    "feature_lookup": with_views(f"WITH a AS (SELECT id // {WIDTH} AS r, id % {WIDTH} AS c FROM (SELECT unnest(range({HEIGHT * WIDTH + 500})) AS id)) SELECT count(*) AS n, count(x.q) AS n_valid, {_r(6, ('avg(x.q)', 'q'), ('avg(x.d)', 'd'))} FROM a LEFT JOIN cells x ON x.r = a.r AND x.c = a.c AND x.q > 20", "cells"),
     "scattered_surface": with_views(f"WITH g AS (SELECT i AS r, j AS c FROM (SELECT unnest(range({HEIGHT})) AS i), (SELECT unnest(range({WIDTH})) AS j)) SELECT g.r, count(*) AS n, count(*) FILTER (WHERE x.d IS NULL) AS missing, round(sum(coalesce(x.d, -1)), 6) + 0.0 AS total FROM g LEFT JOIN cells x ON x.r = g.r AND x.c = g.c AND x.q > 25 GROUP BY g.r", "cells"),
     "single_types": with_views(
         f"""WITH x AS (SELECT *, doc_id % 3 AS fold FROM scored), t AS (SELECT fold, y, s, grp AS type FROM x WHERE y = 1 UNION ALL SELECT fold, y, s, type FROM x, (SELECT DISTINCT grp AS type FROM scored WHERE y = 1) WHERE y = 0),
@@ -419,8 +443,31 @@ ORACLE["band_windows"] = with_views(f"SELECT p.r * {WIDTH} + p.c AS point_id, b.
 ORACLE["decimated_cells"] = with_views("SELECT CAST(r / 4 AS BIGINT) AS r, count(*) AS n, round(sum(q), 6) + 0.0 AS q FROM cells WHERE r % 4 = 0 AND c % 4 = 0 GROUP BY 1", "cells")
 ORACLE["polygon_bounds"] = with_views("SELECT CAST(floor(r / 10) AS BIGINT) AS k, min(c)::DOUBLE AS left, min(r)::DOUBLE AS bottom, max(c)::DOUBLE AS right, max(r)::DOUBLE AS top, count(*) AS corners, count(*) FILTER (WHERE c BETWEEN 10 AND 40 AND r BETWEEN 0 AND 45) AS in_box FROM cells WHERE e > 0 GROUP BY 1", "cells").replace(" AS left,", ' AS "left",').replace(" AS right,", ' AS "right",')
 ORACLE["composite_sink"] = with_views(
-    "WITH m AS (SELECT cell % 5 AS tile, cell, band, least(greatest(round(avg(dn)), 0), 65535) AS v FROM observations GROUP BY cell, band), c AS (SELECT tile, cell, coalesce(max(v) FILTER (WHERE band = 1), 0) AS b01, coalesce(max(v) FILTER (WHERE band = 7), 0) AS b07, coalesce(max(v) FILTER (WHERE band = 12), 0) AS b12 FROM m GROUP BY tile, cell) SELECT tile, count(*) AS n, CAST(sum(b01) AS BIGINT) AS b01, CAST(sum(b07) AS BIGINT) AS b07, CAST(sum(b12) AS BIGINT) AS b12 FROM c GROUP BY tile",
+    "WITH m AS (SELECT cell % 5 AS tile, cell, band, trunc(least(greatest(avg(dn), 0), 65535)) AS v FROM observations GROUP BY cell, band), c AS (SELECT tile, cell, coalesce(max(v) FILTER (WHERE band = 1), 0) AS b01, coalesce(max(v) FILTER (WHERE band = 7), 0) AS b07, coalesce(max(v) FILTER (WHERE band = 12), 0) AS b12 FROM m GROUP BY tile, cell) SELECT tile, count(*) AS n, CAST(sum(b01) AS BIGINT) AS b01, CAST(sum(b07) AS BIGINT) AS b07, CAST(sum(b12) AS BIGINT) AS b12 FROM c GROUP BY tile",
     "observations",
 )
 ORACLE["buffer_sweep"] = with_views("SELECT CAST(b AS BIGINT) AS buffer, count(*) AS n FROM cells x, (SELECT unnest([0, 1, 2, 3]) AS b) WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= b AND abs(x.c - y.c) <= b) GROUP BY b", "cells")
 ORACLE["inner_split"] = with_views(f"SELECT y, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < {int(0.15 * (1 << 32))} AS held, count(*) AS n FROM scored GROUP BY 1, 2", "scored")
+
+_DRIFT = f"""
+WITH m AS (SELECT layer, avg(x) AS m, stddev_pop(x) AS s FROM cells UNPIVOT (x FOR layer IN (v, q, d, t)) GROUP BY layer),
+z AS (SELECT layer, r, c, (x - m) / s AS z FROM cells UNPIVOT (x FOR layer IN (v, q, d, t)) JOIN m USING (layer)),
+pairs AS (SELECT a.layer, sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) AS h, 0.5 * (a.z - b.z) ** 2 AS half FROM z a JOIN z b ON a.layer = b.layer AND abs(a.r - b.r) <= 10 AND abs(a.c - b.c) <= 10 AND a.r * {WIDTH} + a.c < b.r * {WIDTH} + b.c),
+bins AS (SELECT layer, count(*) AS n, avg(h) AS l, avg(half) AS v FROM pairs WHERE h < 10.5 AND h >= 0.5 GROUP BY layer, floor(h + 0.5) HAVING count(*) >= 30),
+x AS (SELECT layer, reach, n AS k, l, v, CASE WHEN l >= reach THEN 1 ELSE 1.5 * l / reach - 0.5 * (l / reach) ** 3 END AS s FROM bins, (SELECT 1.5 + 0.25 * unnest(range(37)) AS reach)),
+e AS (SELECT layer, reach, sum(k)::DOUBLE AS a11, sum(k * s) AS a12, sum(k * l) AS a13, sum(k * s * s) AS a22, sum(k * s * l) AS a23, sum(k * l * l) AS a33, sum(k * v) AS b1, sum(k * s * v) AS b2, sum(k * l * v) AS b3, sum(k * v * v) AS yy FROM x GROUP BY ALL),
+-- Gaussian elimination over the coefficients that are not held at 0; the others' rows are those of the identity
+f AS (SELECT layer, reach, yy, b1, b2, b3, i, 
+  CASE WHEN n THEN a11 ELSE 1 END AS m11, CASE WHEN n AND o THEN a12 ELSE 0 END AS m12, CASE WHEN n AND p THEN a13 ELSE 0 END AS m13, CASE WHEN o THEN a22 ELSE 1 END AS m22, CASE WHEN o AND p THEN a23 ELSE 0 END AS m23, CASE WHEN p THEN a33 ELSE 1 END AS m33,
+  CASE WHEN n THEN b1 ELSE 0 END AS c1, CASE WHEN o THEN b2 ELSE 0 END AS c2, CASE WHEN p THEN b3 ELSE 0 END AS c3
+  FROM e, (VALUES (0, true, true, true), (1, true, true, false), (2, true, false, true), (3, false, true, true), (4, true, false, false), (5, false, true, false), (6, false, false, true)) AS w(i, n, o, p)),
+g AS (SELECT *, m22 - m12 * m12 / m11 AS p22, m23 - m12 * m13 / m11 AS p23, m33 - m13 * m13 / m11 AS p33, c2 - m12 * c1 / m11 AS d2, c3 - m13 * c1 / m11 AS d3 FROM f),
+h AS (SELECT *, p33 - p23 * p23 / p22 AS r33, d3 - p23 * d2 / p22 AS t3 FROM g WHERE p22 > 1e-9 * m22),
+j AS (SELECT *, t3 / r33 AS drift FROM h WHERE r33 * p22 > 1e-9 * m22 * m33),
+q AS (SELECT *, (d2 - p23 * drift) / p22 AS sill FROM j),
+u AS (SELECT layer, reach, i, greatest((c1 - m12 * sill - m13 * drift) / m11, 0) AS nugget, greatest(sill, 0) AS sill, greatest(drift, 0) AS drift, yy - (c1 - m12 * sill - m13 * drift) / m11 * b1 - sill * b2 - drift * b3 AS sse
+  FROM q WHERE (c1 - m12 * sill - m13 * drift) / m11 >= -1e-12 AND sill >= -1e-12 AND drift >= -1e-12),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY layer ORDER BY round(sse, 9), reach, i) = 1),
+fits AS (SELECT layer, CAST(reach AS DOUBLE) AS reach, nugget, sill, drift, sse, coalesce(sill / nullif(nugget + sill + drift * reach, 0), 0) AS share, coalesce(sill / nullif(nugget + sill + drift * reach, 0), 0) >= 0.10 AND reach < 0.9 * 10.5 AS resolved FROM best)"""
+ORACLE["drift_variogram"] = with_views(_DRIFT + " SELECT layer, round(reach, 5) + 0.0 AS reach, round(nugget, 5) + 0.0 AS nugget, round(sill, 5) + 0.0 AS sill, round(drift, 5) + 0.0 AS drift, round(sse, 5) + 0.0 AS sse, round(share, 5) + 0.0 AS share, resolved FROM fits", "cells")
+ORACLE["local_ranges"] = with_views(_DRIFT + " SELECT count(*) AS layers, count(*) FILTER (WHERE resolved) AS resolved, round(quantile_cont(reach, 0.5) FILTER (WHERE resolved), 5) + 0.0 AS median, round(quantile_cont(reach, 0.25) FILTER (WHERE resolved), 5) + 0.0 AS low, round(quantile_cont(reach, 0.75) FILTER (WHERE resolved), 5) + 0.0 AS high FROM fits", "cells")

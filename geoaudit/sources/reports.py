@@ -28,11 +28,16 @@ def read_metric_maps(spark: SparkSession, path: str) -> DataFrame:
 def read_inventory(spark: SparkSession, path: str, short_rows: str = "keep") -> DataFrame:
     """An event inventory by header names; years such as ``2015.0`` are whole numbers, others null; a blank trigger is ``?``.
 
-    Rows with fewer fields than the header are kept with nulls, or left out with ``drop``.
+    Rows with fewer fields than the header are kept with nulls, or left out with
+    ``drop``; a row whose last field is there but blank is whole.
     """
-    raw = spark.read.schema(INVENTORY).option("header", True).csv(path)
+    names = [f.split()[0] for f in INVENTORY.split(", ")]
+    # all fields as text: what Spark then marks as corrupt has another number of fields
+    plain = ", ".join(f"{n} string" for n in [*names, "__odd"])
+    raw = spark.read.schema(plain).option("header", True).option("columnNameOfCorruptRecord", "__odd").csv(path)
     if short_rows == "drop":
-        raw = raw.where(F.col(INVENTORY.split(", ")[-1].split()[0]).isNotNull())  # a short row lacks the last field
+        raw = raw.where(F.col("__odd").isNull() | F.col(names[-1]).isNotNull())
+    raw = raw.withColumns({f.split()[0]: F.col(f.split()[0]).try_cast("double") for f in INVENTORY.split(", ") if f.endswith("double")})
     trigger = F.when(F.trim("trigger") == "", None).otherwise(F.trim("trigger"))
     return raw.select("id", "type", F.coalesce(trigger, F.lit("?")).alias("trigger_kind"), F.col("year").try_cast("double").cast("bigint").alias("yr"), "lat", "lon")
 
@@ -73,6 +78,6 @@ def import_folds(spark: SparkSession, path: str, points: DataFrame, key: str) ->
 
 
 def write_composite(means: DataFrame, path: str, bands: list[int], tile: str = "tile", mode: str = "append") -> None:
-    """Cells as one row with a 16-bit column for each band, by tile; missing bands are 0; may be appended to."""
-    at = lambda b: F.coalesce(F.max(F.when(F.col("band") == b, F.least(F.greatest(F.round("mean"), F.lit(0.0)), F.lit(65535.0)))), F.lit(0.0)).cast("int").alias(f"b{b:02d}")
+    """Cells as one row with a 16-bit column for each band, by tile; fractions are cut off, missing bands are 0; may be appended to."""
+    at = lambda b: F.coalesce(F.max(F.when(F.col("band") == b, F.least(F.greatest("mean", F.lit(0.0)), F.lit(65535.0)))), F.lit(0.0)).cast("int").alias(f"b{b:02d}")
     means.groupBy(tile, "cell").agg(*map(at, bands)).write.mode(mode).partitionBy(tile).parquet(path)
