@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaudit.functions import features, folds, inference, ranking
-from geoaudit.operators import cluster, density, encoder, grid, inventory, models
+from geoaudit.operators import cluster, density, encoder, grid, inventory, mixtures, models
+from geoaudit.operators import minibatch as minibatches
 from geoaudit.plans import evaluation
 from geoaudit.plans._common import rounded
 from geoaudit.plans.evaluation import _folded
@@ -191,12 +192,32 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.kmeans(x, "pc", 10, [1, 2]).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gaussian_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bayesian information criterion of mixtures on three components."""
     x = models.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 3)
     return models.mixture_bic(x, "pc", [2, 4])
 
 
+def mixture_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood and criterion of diagonal mixtures of the grid's layers, after three rounds."""
+    x = views.cells(spark, sf_dir).select((F.col("r") * WIDTH + F.col("c")).alias("id"), F.array(F.col("v") / 10_000, "q", F.col("d") * 100, F.col("t") * 100).alias("x"))
+    return rounded(mixtures.selection(x, "id", "x", [2, 3, 4], rounds=3, tolerance=0.0), 3)
+
+
+def minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of ten clusters of the vectors by mini batches, the best of five starts."""
+    fits, rows = minibatches.fit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, [minibatches.Run(42, starts=5)])
+    return minibatches.labelled(rows, fits).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bootstrap_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the labels of twenty fits, each on its own 80 in 100 of the vectors."""
+    runs = [minibatches.Run(42 + r, share=0.8) for r in range(20)]
+    fits, rows = minibatches.fit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 6, runs)
+    a = cluster.pairwise_agreement(minibatches.labelled(rows, fits), ["id"], "run", "label")
+    return a.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("mean"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of cells by the stand-in encoder, from the cache the second time."""
     x = views.cells(spark, sf_dir).where("e > 0").select((F.col("r") * WIDTH + F.col("c")).alias("point_id"), "q", "d")
@@ -211,7 +232,7 @@ QUERIES = {
     "cluster_signatures": signatures, "cluster_z_signatures": z_signatures, "contingency": contingency, "cluster_agreement": agreement, "adjusted_information": adjusted_information, "internal_quality": internal_quality, "silhouette": silhouette,
     "matched_clusters": cosine_matrix, "correspondence_components": correspondence, "nearest_label": nearest, "density_clusters": dense, "morphotypes": morphotypes, "event_types": kinds, "year_profile": years, "top_triggers": top_triggers, "class_share": class_share,
     "type_signature": type_signature, "region_summary": regions, "rollup_counts": rollup_shares, "report_round_trip": report_round_trip, "report_table": report_table, "forest_folds": forest, "boosting_residuals": boosting, "tuned_logistic": tuned_logistic,
-    "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": mixtures, "encoded_points": encoded,
+    "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": gaussian_mixtures, "mixture_selection": mixture_selection, "minibatch_clusters": minibatch, "bootstrap_agreement": bootstrap_agreement, "encoded_points": encoded,
 }
 
 _LAB = "WITH lab AS (SELECT *, CAST(least(floor((q - 15) / 6), 3) AS BIGINT) AS ca, CAST(least(floor(v / 30000), 2) AS BIGINT) AS cb FROM cells)"
@@ -275,3 +296,24 @@ ORACLE = {
     "report_table": with_views("WITH a AS (SELECT cls, sum(y) AS p, count(*) - sum(y) AS n, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY cls ORDER BY s) + (count(*) OVER (PARTITION BY cls, s) - 1) / 2.0 AS rk FROM scored) GROUP BY cls) SELECT '| ' || cls || ' | ' || CAST(p AS BIGINT) || ' | ' || CAST(n AS BIGINT) || ' | ' || printf('%+.3f', auc) || ' |' AS line FROM a", "scored"),
 }
 ORACLE["report_round_trip"] = evaluation.ORACLE["fold_comparison"].replace("SELECT k, round(mean", "SELECT 'proxy' AS basin, 'size' AS model, k, round(mean")
+
+
+def _mixture_sql(k: int, rounds: int) -> str:
+    """Rounds of expectation maximisation of one size, each as statements over the one before."""
+    density = "ln(w) - 0.5 * sum(ln(2 * pi() * s) + (x - m) ** 2 / s)"
+    out = [f"p{k}_0 AS (SELECT j, a, m, s, 1.0 / {k} AS w FROM (SELECT row_number() OVER (ORDER BY md5('42:{k}:' || id), id) AS j, id FROM ids) i JOIN (SELECT id, a, x AS m FROM long) USING (id) JOIN (SELECT a, var_pop(x) + 1e-4 AS s FROM long GROUP BY a) USING (a) WHERE j <= {k})"]
+    for t in range(rounds):
+        out.append(f"l{k}_{t} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{t} USING (a) GROUP BY id, j, w)")
+        out.append(f"g{k}_{t} AS (SELECT id, j, exp(l - top - ln(sum(exp(l - top)) OVER (PARTITION BY id))) AS g FROM (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM l{k}_{t}))")
+        out.append(f"p{k}_{t + 1} AS (SELECT j, a, m, sum(g * (x - m) ** 2) / sum(g) + 1e-4 AS s, sum(g) / (SELECT count(*) FROM ids) AS w FROM (SELECT *, sum(g * x) OVER (PARTITION BY j, a) / sum(g) OVER (PARTITION BY j, a) AS m FROM g{k}_{t} JOIN long USING (id)) GROUP BY j, a, m)")
+    out.append(f"l{k} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{rounds} USING (a) GROUP BY id, j, w)")
+    out.append(f"f{k} AS (SELECT {k} AS k, sum(t) AS ll FROM (SELECT id, max(top) + ln(sum(exp(l - top))) AS t FROM (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM l{k}) GROUP BY id))")
+    return ", ".join(out)
+
+
+ORACLE["mixture_selection"] = with_views(
+    f"WITH x AS (SELECT r * {WIDTH} + c AS id, v / 10000 AS v, q, d * 100 AS d, t * 100 AS t FROM cells), ids AS (SELECT id FROM x), long AS (SELECT id, a, x FROM x UNPIVOT (x FOR a IN (v, q, d, t))), "
+    + ", ".join(_mixture_sql(k, 3) for k in (2, 3, 4))
+    + ", f AS (SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4) SELECT CAST(k AS INTEGER) AS k, round(ll, 3) + 0.0 AS log_likelihood, round(-2 * ll + (k - 1 + 8 * k) * ln((SELECT count(*) FROM ids)), 3) + 0.0 AS bic FROM f",
+    "cells",
+)
