@@ -170,7 +170,7 @@ def forest(cells: pivots.Cells, samples: int) -> tuple[DataFrame, DataFrame]:
             break  # vectors of other lengths are no neighbours
         new = chosen.select("a", "b", "w").distinct()
         tree = new if tree is None else tree.union(new)
-        merged = components(chosen, "ca", "cb").withColumnsRenamed({"node": "comp", "component": "to"})
+        merged = components(chosen, "ca", "cb", 4 * LOCAL).withColumnsRenamed({"node": "comp", "component": "to"})
         state = state.join(merged, "comp", "left").select("id", "core", "radius", F.coalesce("to", "comp").alias("comp"))
     tree = tree if tree is not None else listed.limit(0).select("a", "b", "w")
     return tree.distinct(), state.select("id", "comp")
@@ -274,7 +274,7 @@ def hierarchy(tree: DataFrame, comps: DataFrame, least: int) -> tuple[DataFrame,
         open_ = edges.join(about.where("how = 'split'").select("p", "t", "hi"), "p")
         below = open_.where("w < hi").groupBy("p").agg(F.max("w").alias("below"))
         open_ = materialise(open_.join(below, "p").select("p", "u", "v", "w", F.least("t", "below").alias("t")), "open")
-        part = components(open_.where("w <= t"), "u", "v").select(F.col("node").alias("u"), F.concat(F.lit(f"k{turn}|"), "component").alias("k"))
+        part = components(open_.where("w <= t"), "u", "v", 4 * LOCAL).select(F.col("node").alias("u"), F.concat(F.lit(f"k{turn}|"), "component").alias("k"))
         placed = materialise(pick(nodes, "split").join(part, "u", "left"), "placed")
         sums = placed.where("k IS NOT NULL").groupBy("p", "k").agg(F.sum("size").alias("size"))
         big = sums.where(F.col("size") >= least).select("k")
@@ -313,6 +313,30 @@ def hierarchy(tree: DataFrame, comps: DataFrame, least: int) -> tuple[DataFrame,
     return points, materialise(clusters.join(parents, "cluster", "left"), "clusters")
 
 
+_STEP = "cluster string, parent string, size long, stability double, chosen boolean, worth double"
+
+
+def _climbed(g: pd.DataFrame) -> pd.DataFrame:
+    """The same step for all clusters that are left, if they are few: from those without open descendants up."""
+    left = {r.cluster: r for r in g.itertuples(index=False)}
+    got = {c: [r.ready, r.below, r.value] for c, r in left.items()}
+    todo, out = [c for c, r in left.items() if r.ready == r.kids], []
+    while todo:
+        c = todo.pop()
+        r, (_, below, value) = left[c], got[c]
+        rate = r.from_
+        stability = r.s - r.n * rate + below * (r.at - rate)
+        better = r.kids == 0 or stability >= value
+        size, worth = r.n + below, stability if better else value
+        out.append((c, r.parent, size, stability, better and r.parent is not None, worth))
+        if r.parent is not None:
+            up = got[r.parent]
+            up[0], up[1], up[2] = up[0] + 1, up[1] + size, up[2] + worth
+            if up[0] == left[r.parent].kids:
+                todo.append(r.parent)
+    return pd.DataFrame(out, columns=["cluster", "parent", "size", "stability", "chosen", "worth"])
+
+
 def stable(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(cluster, chosen, stability, size)``, from the leaves up."""
     rate = lambda c: F.coalesce(1 / F.col(c), F.lit(0.0))
@@ -325,6 +349,10 @@ def stable(points: DataFrame, clusters: DataFrame) -> DataFrame:
     while not waiting.isEmpty():
         sums = known.groupBy(F.col("parent").alias("cluster")).agg(F.sum("ready").alias("ready"), F.sum("below").alias("below"), F.sum("value").alias("value"))
         now = waiting.join(sums, "cluster", "left").fillna(0, ["ready", "below", "value"])
+        if waiting.count() <= LOCAL:
+            step = materialise(now.withColumnRenamed("from", "from_").groupBy(F.lit(0).alias("all")).applyInPandas(_climbed, _STEP), "step")
+            done = step if done is None else done.union(step)
+            break
         ripe = now.where("ready = kids")
         stability = F.col("s") - F.col("n") * F.col("from") + F.col("below") * (F.col("at") - F.col("from"))
         better = (F.col("kids") == 0) | (stability >= F.col("value"))

@@ -32,6 +32,8 @@ PIVOTS = 256
 CELL = 512
 PACK = 4096
 SHEET = 1024
+#: Packs of asking and of known vectors that one task compares.
+ASKING, KNOWN = 4, 8
 
 _CELLS = "cell long, pack long, dim int, ids array<long>, asked array<boolean>, known array<boolean>, v binary, lo array<double>, hi array<double>"
 
@@ -146,20 +148,35 @@ def needed(asking: DataFrame, cells: DataFrame, own: bool = False) -> DataFrame:
     return left.groupBy("i", "j", "dim").cogroup(right.groupBy("i", "j", "dim")).applyInArrow(run, "a long, pa long, b long, pb long")
 
 
+def _rows(t: pa.Table) -> Iterator[dict]:
+    """Rows as dicts, lists as arrays."""
+    lists = {c for c in t.column_names if pa.types.is_list(t.schema.field(c).type)}
+    for i in range(t.num_rows):
+        yield {c: t.column(c)[i].values.to_numpy(zero_copy_only=False) if c in lists else t.column(c)[i].as_py() for c in t.column_names}
+
+
 def met(asking: DataFrame, cells: DataFrame, needs: DataFrame, f: Callable[[dict, list[dict]], pa.Table | None], schema: str, empty: pa.Table) -> DataFrame:
-    """``f`` of each asking cell (a dict of its columns) and the cells of a pack that it needs, wherever they are."""
+    """``f`` of each asking cell (a dict of its columns) and the cells that it needs of some packs, wherever they are.
+
+    A task has the asking cells of about ``ASKING`` packs and the cells of about
+    ``KNOWN`` packs that any of them needs.
+    """
 
     def run(t: pa.Table, o: pa.Table) -> pa.Table:
-        others = {r["cell"]: r for r in o.to_pylist()}
-        found = [f(r, [others[b] for b in r["wanted"]]) for r in t.to_pylist()]
+        others = {r["cell"]: r for r in _rows(o)}
+        found = [f(r, [others[b] for b in r["wanted"].tolist()]) for r in _rows(t)]
         return pa.concat_tables([empty, *(x for x in found if x is not None)])
 
-    asks = needs.groupBy("a", "pa", "pb").agg(F.collect_list("b").alias("wanted"))  # as many as a pack has cells
-    left = asks.join(asking, F.col("a") == F.col("cell")).drop("a")
-    sent = needs.select("b", "pa", "pb").distinct()
-    right = sent.join(cells.toDF(*cells.columns), F.col("b") == F.col("cell")).drop("b")
+    packs = cells.select("pack").distinct().count()
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, -(-packs // n))))
+    needs = needs.select("a", "b", tile("pa", ASKING).alias("ta"), tile("pb", KNOWN).alias("tb"))
+    bounds = ("lo", "hi", "reach", "pack")
+    asks = needs.groupBy("a", "ta", "tb").agg(F.collect_list("b").alias("wanted"))  # as many as the packs have cells
+    left = asks.join(asking.drop(*bounds), F.col("a") == F.col("cell")).drop("a")
+    sent = needs.select("b", "ta", "tb").distinct()
+    right = sent.join(cells.drop(*bounds).toDF(*(c for c in cells.columns if c not in bounds)), F.col("b") == F.col("cell")).drop("b")
     right = right.toDF(*right.columns)  # both sides come from the same frames: fresh columns
-    return left.groupBy("pa", "pb").cogroup(right.groupBy("pa", "pb")).applyInArrow(run, schema)
+    return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInArrow(run, schema)
 
 
 _FOUND = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
@@ -174,19 +191,30 @@ def closest(cell: dict, others: list[dict], k: int, limit: np.ndarray) -> pa.Tab
     """For each asking vector the k nearest known ones of ``others``, none beyond its limit; squared distances at 12 decimals, ties by id."""
     asked = np.flatnonzero(cell["asked"])
     known = [np.flatnonzero(o["known"]) for o in others]
-    names = np.concatenate([np.array(o["ids"], np.int64)[w] for o, w in zip(others, known, strict=True)]) if others else np.zeros(0, np.int64)
+    names = np.concatenate([o["ids"][w] for o, w in zip(others, known, strict=True)]) if others else np.zeros(0, np.int64)
     if not len(asked) or not len(names):
         return None
-    x, ids = matrix(cell)[asked], np.array(cell["ids"], np.int64)[asked]
+    x, ids, limit = matrix(cell)[asked], cell["ids"][asked], limit[asked]
     y = np.concatenate([matrix(o)[w] for o, w in zip(others, known, strict=True)])
-    out = []
-    for lo in range(0, len(x), blocks.ROWS):
-        part = x[lo : lo + blocks.ROWS]
-        d, slack = blocks.squared(part, y)
-        d[ids[lo : lo + blocks.ROWS, None] == names[None, :]] = np.inf
-        kth = min(k, len(y)) - 1
-        top = np.minimum(np.partition(d, kth, axis=1)[:, kth], limit[asked][lo : lo + blocks.ROWS])
-        a, b = np.nonzero((d <= (top + 2 * slack + 2e-12)[:, None]) & np.isfinite(d))
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    place = np.argsort(names, kind="stable")
+    own = np.minimum(np.searchsorted(names[place], ids), len(names) - 1)
+    own = np.where(names[place[own]] == ids, place[own], -1)  # where a vector meets itself
+    out, rows = [], max(16, min(blocks.ROWS, (1 << 21) // len(y)))
+    for lo in range(0, len(x), rows):
+        part, at = x[lo : lo + rows], slice(lo, lo + rows)
+        d = part @ y.T  # squared distances less that of the asking vector from the origin
+        d *= -2
+        d += yy
+        slack = 2e-12 * (xx[at] + yy.max()) + 2e-12
+        top = limit[at] - xx[at]
+        wide = np.flatnonzero(~np.isfinite(top))
+        if len(wide):  # nothing is known yet: the k least, and one more for the vector itself
+            kth = min(k + 1, len(y)) - 1
+            top[wide] = np.partition(d[wide], kth, axis=1)[:, kth]
+        a, b = np.nonzero(d <= (top + slack)[:, None])
+        other = own[at][a] != b
+        a, b = a[other], b[other]
         e = np.round(blocks.exact(part, y, a, b), 12)
         order = np.lexsort((names[b], e, a))
         a, b, e = a[order], b[order], e[order]
@@ -210,13 +238,13 @@ def knn(cells: Cells, k: int) -> DataFrame:
     by_cell = limits.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "limit"))), lambda s: s["limit"]).alias("limit"), F.sqrt(F.max("limit")).alias("reach")).where("reach >= 0")
     asking = materialise(cells.table.join(by_cell, "cell"), "asking")
     needs = materialise(needed(asking, cells.table), "needs")
-    more = met(asking, cells.table, needs, lambda c, others: closest(c, others, k, np.array(c["limit"])), _NEAR, _FOUND.empty_table())
+    more = met(asking, cells.table, needs, lambda c, others: closest(c, others, k, c["limit"]), _NEAR, _FOUND.empty_table())
     return found.union(more).withColumn("rank", ranked).where(F.col("rank") <= k)
 
 
 def _own(cells: Cells, k: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
+        rows = list(_rows(t))
         found = [closest(r, rows, k, np.full(len(r["ids"]), np.inf)) for r in rows]
         return pa.concat_tables([_FOUND.empty_table(), *(x for x in found if x is not None)])
 

@@ -300,13 +300,13 @@ ORACLE["report_round_trip"] = evaluation.ORACLE["fold_comparison"].replace("SELE
 
 def _mixture_sql(k: int, rounds: int) -> str:
     """Rounds of expectation maximisation of one size, each as statements over the one before."""
-    density = "ln(w) - 0.5 * sum(ln(2 * pi() * s) + (x - m) ** 2 / s)"
+    density = "ln(max(w)) - 0.5 * sum(ln(2 * pi() * s) + (x - m) ** 2 / s)"
     out = [f"p{k}_0 AS (SELECT j, a, m, s, 1.0 / {k} AS w FROM (SELECT row_number() OVER (ORDER BY md5('42:{k}:' || id), id) AS j, id FROM ids) i JOIN (SELECT id, a, x AS m FROM long) USING (id) JOIN (SELECT a, var_pop(x) + 1e-4 AS s FROM long GROUP BY a) USING (a) WHERE j <= {k})"]
     for t in range(rounds):
-        out.append(f"l{k}_{t} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{t} USING (a) GROUP BY id, j, w)")
+        out.append(f"l{k}_{t} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{t} USING (a) GROUP BY id, j)")
         out.append(f"g{k}_{t} AS (SELECT id, j, exp(l - top - ln(sum(exp(l - top)) OVER (PARTITION BY id))) AS g FROM (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM l{k}_{t}))")
         out.append(f"p{k}_{t + 1} AS (SELECT j, a, m, sum(g * (x - m) ** 2) / sum(g) + 1e-4 AS s, sum(g) / (SELECT count(*) FROM ids) AS w FROM (SELECT *, sum(g * x) OVER (PARTITION BY j, a) / sum(g) OVER (PARTITION BY j, a) AS m FROM g{k}_{t} JOIN long USING (id)) GROUP BY j, a, m)")
-    out.append(f"l{k} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{rounds} USING (a) GROUP BY id, j, w)")
+    out.append(f"l{k} AS (SELECT id, j, {density} AS l FROM long JOIN p{k}_{rounds} USING (a) GROUP BY id, j)")
     out.append(f"f{k} AS (SELECT {k} AS k, sum(t) AS ll FROM (SELECT id, max(top) + ln(sum(exp(l - top))) AS t FROM (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM l{k}) GROUP BY id))")
     return ", ".join(out)
 
