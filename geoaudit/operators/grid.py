@@ -183,6 +183,22 @@ def sample_complete(candidates: DataFrame, events: DataFrame, holes: DataFrame,
     return x.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string"))), "r", "c").limit(n).select("r", "c")
 
 
+def accepted(eligible: DataFrame, n: int, seed: int, height: int, width: int, margin: int = 0, most: int = 400, strict: bool = False) -> DataFrame:
+    """``(attempt, r, c)``: a rejection sample with replacement, the first ``n`` attempts that hit an eligible cell.
+
+    Attempts are numbered and hashed to the cells that lie ``margin`` from the edge;
+    there are ``most * n`` at the most.  If too few hit, the sample is smaller, or
+    ``strict`` raises ValueError.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    part = lambda at, size: F.lit(margin) + F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") % (size - 2 * margin)
+    tries = eligible.sparkSession.range(most * n).select(F.col("id").alias("attempt"), part(1, height).alias("r"), part(9, width).alias("c"))
+    out = tries.join(eligible.select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c")).distinct(), ["r", "c"]).orderBy("attempt").limit(n).select("attempt", "r", "c")
+    if strict and (got := out.count()) < n:
+        raise ValueError(f"{got} of {n} cells after {most * n} attempts")
+    return out
+
+
 def draws(df: DataFrame, keys: list[str], n: int, numbers: list[int]) -> DataFrame:
     """For each number a draw of ``n`` rows by a hash of its own; the least n are cut in each partition first."""
     x = df.withColumn("draw", F.explode(F.array(*map(F.lit, numbers))))

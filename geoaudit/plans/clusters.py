@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaudit.functions import features, folds, inference, ranking
-from geoaudit.operators import cluster, density, encoder, grid, inventory, mixtures, models
+from geoaudit.operators import boosting, cluster, density, encoder, grid, inventory, mixtures, models
 from geoaudit.operators import minibatch as minibatches
 from geoaudit.plans import evaluation
 from geoaudit.plans._common import rounded
@@ -163,12 +163,23 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.fold_metrics(_points(spark, sf_dir), {"all": ["v", "q", "d", "t"], "two": ["q", "d"]}, lambda: models.reader("forest", trees=20, depth=6), 3)
 
 
-def boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold area of boosted trees, with residuals."""
     x = models.residuals(models.out_of_fold(_points(spark, sf_dir), ["v", "q"], lambda: models.reader("boosting", rounds=5, depth=3), 3))
     return x.groupBy("fold").agg(F.avg("residual").alias("mean_residual"), F.count(F.lit(1)).alias("n"))
 
 
+def leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold area and precision of leaf-wise boosted trees, by fold."""
+    x, names = _points(spark, sf_dir), ["v", "q", "d", "t"]
+    out = None
+    for i in range(3):
+        m = boosting.fit(x.where(F.col("fold") != i), names, rounds=4, leaves=15, rate=0.3, l2=1.0)
+        part = boosting.score(x.where(F.col("fold") == i), m)
+        out = part if out is None else out.union(part)
+    return ranking.rank_metrics(out, "score", "y", ["fold"])
+
+
 def tuned_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested selection of the penalty of a logistic reader."""
     inner = lambda t: t.join(folds.group_folds(t.groupBy("block").agg(F.count(F.lit(1)).alias("n")), 2, "block"), "block")
@@ -231,7 +242,7 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "cluster_signatures": signatures, "cluster_z_signatures": z_signatures, "contingency": contingency, "cluster_agreement": agreement, "adjusted_information": adjusted_information, "internal_quality": internal_quality, "silhouette": silhouette,
     "matched_clusters": cosine_matrix, "correspondence_components": correspondence, "nearest_label": nearest, "density_clusters": dense, "morphotypes": morphotypes, "event_types": kinds, "year_profile": years, "top_triggers": top_triggers, "class_share": class_share,
-    "type_signature": type_signature, "region_summary": regions, "rollup_counts": rollup_shares, "report_round_trip": report_round_trip, "report_table": report_table, "forest_folds": forest, "boosting_residuals": boosting, "tuned_logistic": tuned_logistic,
+    "type_signature": type_signature, "region_summary": regions, "rollup_counts": rollup_shares, "report_round_trip": report_round_trip, "report_table": report_table, "forest_folds": forest, "boosting_residuals": residuals, "leafwise_folds": leafwise, "tuned_logistic": tuned_logistic,
     "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": gaussian_mixtures, "mixture_selection": mixture_selection, "minibatch_clusters": minibatch, "bootstrap_agreement": bootstrap_agreement, "encoded_points": encoded,
 }
 

@@ -129,6 +129,18 @@ def matched_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.sample_complete(x.where("e = 0").select("r", "c"), x.where("e > 0").select("r", "c"), holes, 2, 0.95, 80, 11, HEIGHT, WIDTH)
 
 
+def rejection_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts' worth of negatives for every event: inside the basin, away from events, windows as complete as theirs."""
+    x = views.cells(spark, sf_dir).withColumn("z", F.floor("q") - 25)
+    basin = x.where(grid.inside(F.col("z"), "nonzero"))
+    events, holes = x.where("e > 0").select("r", "c"), x.where("z = 0").select("r", "c")
+    whole = lambda df: grid.hole_counts(df.select("r", "c"), holes, 2, HEIGHT, WIDTH).select("r", "c", ((F.col("holes") + 25.0 - F.col("area")) / 25.0).alias("hollow"))
+    most = whole(events).agg(F.percentile("hollow", F.lit(0.95)).alias("most"))
+    free = grid.exclude_near(basin.select("r", "c"), events, 1)
+    eligible = whole(free).crossJoin(F.broadcast(most)).where("hollow <= most")  # one row
+    return grid.accepted(eligible, 300, 11, HEIGHT, WIDTH, 2).select("attempt", "r", "c")
+
+
 def offset_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and loads of the fullest fold for three by three offsets of the block grid."""
     x = views.cells(spark, sf_dir).where("e > 0").select("r", "c")
@@ -325,7 +337,7 @@ QUERIES = {
     "stitched_surface": stitched_surface, "cluster_stability": cluster_stability,
     "control_table": control_table, "fold_ladder": fold_ladder, "ladder_significance": ladder_significance, "pretraining_gap": pretraining_gap, "layer_sweep": layer_sweep, "best_pipeline": best_pipeline, "stored_reports": reproduction,
     "rate_curves": rate_curves, "top_captures": top_captures, "common_support": common_support, "duplicate_cells": duplicate_cells, "in_basin": in_basin, "share_matrix": share_matrix, "matched_summary": matched_summary, "best_numbers": best_numbers,
-    "matched_negatives": matched_negatives, "offset_blocks": offset_blocks, "fresh_draws": fresh_draws, "label_stability": stability, "fold_exchange": fold_exchange, "feature_lookup": feature_lookup, "scattered_surface": scattered, "single_types": single_types, "projected_cells": projected,
+    "matched_negatives": matched_negatives, "rejection_sample": rejection_sample, "offset_blocks": offset_blocks, "fresh_draws": fresh_draws, "label_stability": stability, "fold_exchange": fold_exchange, "feature_lookup": feature_lookup, "scattered_surface": scattered, "single_types": single_types, "projected_cells": projected,
 }
 
 
@@ -471,3 +483,11 @@ best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY layer ORDER BY
 fits AS (SELECT layer, CAST(reach AS DOUBLE) AS reach, nugget, sill, drift, sse, coalesce(sill / nullif(nugget + sill + drift * reach, 0), 0) AS share, coalesce(sill / nullif(nugget + sill + drift * reach, 0), 0) >= 0.10 AND reach < 0.9 * 10.5 AS resolved FROM best)"""
 ORACLE["drift_variogram"] = with_views(_DRIFT + " SELECT layer, round(reach, 5) + 0.0 AS reach, round(nugget, 5) + 0.0 AS nugget, round(sill, 5) + 0.0 AS sill, round(drift, 5) + 0.0 AS drift, round(sse, 5) + 0.0 AS sse, round(share, 5) + 0.0 AS share, resolved FROM fits", "cells")
 ORACLE["local_ranges"] = with_views(_DRIFT + " SELECT count(*) AS layers, count(*) FILTER (WHERE resolved) AS resolved, round(quantile_cont(reach, 0.5) FILTER (WHERE resolved), 5) + 0.0 AS median, round(quantile_cont(reach, 0.25) FILTER (WHERE resolved), 5) + 0.0 AS low, round(quantile_cont(reach, 0.75) FILTER (WHERE resolved), 5) + 0.0 AS high FROM fits", "cells")
+ORACLE["rejection_sample"] = with_views(
+    f"""WITH h AS (SELECT a.r, a.c, a.e, floor(a.q) <> 25 AS inside, (count(b.r) FILTER (WHERE floor(b.q) = 25) + 25 - (least(a.r + 2, {HEIGHT - 1}) - greatest(a.r - 2, 0) + 1) * (least(a.c + 2, {WIDTH - 1}) - greatest(a.c - 2, 0) + 1)) / 25 AS hollow, max(b.e) FILTER (WHERE abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1) AS near
+      FROM cells a LEFT JOIN cells b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 GROUP BY a.r, a.c, a.e, a.q),
+    p AS (SELECT quantile_cont(hollow, 0.95) AS most FROM h WHERE e > 0), ok AS (SELECT r, c FROM h, p WHERE inside AND near = 0 AND hollow <= most),
+    t AS (SELECT i AS attempt, 2 + CAST('0x' || substr(md5('11:' || i), 1, 8) AS BIGINT) % {HEIGHT - 4} AS r, 2 + CAST('0x' || substr(md5('11:' || i), 9, 8) AS BIGINT) % {WIDTH - 4} AS c FROM (SELECT unnest(range(120000)) AS i))
+    SELECT attempt, r, c FROM t JOIN ok USING (r, c) ORDER BY attempt LIMIT 300""",
+    "cells",
+)

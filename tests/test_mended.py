@@ -1,5 +1,6 @@
 """Results that used to be wrong, and the drift variogram against plain least squares."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoaudit.functions import ranking
-from geoaudit.operators import encoder, variogram
+from geoaudit.operators import encoder, grid, variogram
 from geoaudit.session import new_folder
 from geoaudit.sources import reports
 
@@ -94,3 +95,16 @@ def test_local_ranges_of_resolved_layers(spark):
     assert tuple(variogram.local_ranges(fits).first()) == (4, 3, 4.0, 3.0, 4.5)
     none = variogram.local_ranges(fits.where(F.col("layer") == "c")).first()
     assert tuple(none) == (1, 0, None, None, None)
+
+
+def test_rejection_with_replacement(spark):
+    cells = spark.createDataFrame([(1, 1), (1, 2), (4, 4), (0, 0)], "r int, c int")
+    got = [tuple(r) for r in grid.accepted(cells, 20, 3, 6, 7, 1).orderBy("attempt").collect()]
+    tries = []
+    for i in range(400 * 20):
+        h = hashlib.md5(f"3:{i}".encode()).hexdigest()
+        tries.append((i, 1 + int(h[:8], 16) % 4, 1 + int(h[8:16], 16) % 5))
+    want = [t for t in tries if t[1:] in {(1, 1), (1, 2), (4, 4)}][:20]
+    assert got == want and len({t[1:] for t in got}) == 3
+    with pytest.raises(ValueError, match="0 of 5"):
+        grid.accepted(cells.where("r = 0"), 5, 3, 6, 7, 1, strict=True)
