@@ -7,7 +7,7 @@ word of every benchmark item and of every whole document, and the hashes joined.
 A window of ``WINDOW`` words of which at most a fifth were substituted keeps at
 least one mask's positions intact, wherever the substitutions are (the tests try
 all ways), so no such overlap is lost.  An item of fewer than ``SHORTEST`` words
-has one seed, its whole sequence, and overlaps where all of it occurs.
+has the masks of its whole length that ignore a fifth of it, in all ways.
 
 Documents are hashed in one pass; a bitmap of fixed size, made of the
 benchmark's hashes, lets only hashes through that could join.  Hits that lie
@@ -16,6 +16,13 @@ margin around them.  A region and an item that share a hash are brought together
 once, whatever they share; the diagonals of their common seeds are then found and
 verified word by word.
 
+A seed that many items and many regions share (an opening phrase) says little, and
+all its pairs would be too many.  Such heavy seeds bring nobody together.  Instead
+the windows around them get the full masks, which ignore a fifth of the window in all
+ways: two windows share one of those exactly if they overlap.  A window that overlaps
+has a seed that is not heavy, or one that is; so nothing is lost, and what is brought
+together by full masks is an overlap.
+
 An overlap is reported when, along one diagonal, a window of ``WINDOW`` words (the
 whole item if that is shorter) agrees in 80 % of its words or more.
 
@@ -27,6 +34,7 @@ itself, whole; empty tables give an empty result.  Other columns are unused.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +50,10 @@ MASKS = ["111111", "1110111", "11011011", "11101011", "110100111", "110011101"]
 #: Words of a window, and the share of them that must agree, in percent.
 WINDOW = 13
 PERCENT = 80
-#: Items with fewer words overlap as whole sequences only.
+#: Items with fewer words have masks of their own length.
 SHORTEST = 8
+#: Pairs of an item and a region that one seed may bring together.
+HEAVY = 4096
 #: Words kept on either side of a region of hits.
 MARGIN = 64
 #: Bits of the bitmap that benchmark hashes are looked up in first.
@@ -67,9 +77,40 @@ def seeds(h: np.ndarray, masks: list[str] = MASKS) -> Iterator[tuple[int, np.nda
         yield len(mask), mix(acc)
 
 
+def ignored(size: int) -> list[tuple[int, ...]]:
+    """All ways to ignore as many of ``size`` words as an overlap may have substituted."""
+    return list(itertools.combinations(range(size), size - -(-PERCENT * size // 100)))
+
+
 def masks_for(words_of_item: int) -> list[str]:
-    """The masks of an item: the spaced ones, or for a short item one that takes all of its words."""
-    return MASKS if words_of_item >= SHORTEST else ["1" * words_of_item]
+    """The masks of an item: the spaced ones, or for a short item its whole length less a fifth of it."""
+    if words_of_item >= SHORTEST:
+        return MASKS
+    return ["".join("0" if k in some else "1" for k in range(words_of_item)) for some in ignored(words_of_item)]
+
+
+def full_keys(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash for every window of ``size`` words and way to ignore some of them: equal where all others are."""
+    ways = ignored(size)
+    x = mix(h[starts[:, None] + np.arange(size)] + np.arange(1, size + 1).astype(np.uint64) * _STEP)
+    key = np.repeat(x.sum(1)[:, None], len(ways), 1)
+    for at in np.array(ways).reshape(len(ways), -1).T:
+        key -= x[:, at]
+    return np.unique(mix(key + (np.arange(len(ways)) + 256 * size).astype(np.uint64) * _STEP))
+
+
+def windows_with(h: np.ndarray, heavy: np.ndarray, size: int) -> np.ndarray:
+    """Where windows of ``size`` words begin that hold one of the heavy seeds."""
+    most = len(h) - size
+    edge = np.zeros(max(0, most) + 2, np.int32)
+    if most < 0:
+        return np.zeros(0, np.int64)
+    for span, x in seeds(h, MASKS):
+        if span <= size:
+            at = np.flatnonzero(np.isin(x, heavy))
+            np.add.at(edge, np.clip(at + span - size, 0, most + 1), 1)
+            np.add.at(edge, np.minimum(at, most) + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -178,7 +219,7 @@ def diagonals(doc: np.ndarray, first: int, item: np.ndarray) -> np.ndarray:
 def best_overlap(doc: np.ndarray, first: int, item: np.ndarray) -> tuple[int, int, int] | None:
     """``(agreeing, start, end)`` in document words: of all diagonals the overlap that agrees in most words, then the first."""
     m, best = len(item), None
-    size, percent = min(WINDOW, m), PERCENT if m >= SHORTEST else 100
+    size = min(WINDOW, m)
     lines = diagonals(doc, first, item)
     for some in np.array_split(lines, max(1, len(lines) * m >> 20)):
         at = some[:, None] - first + np.arange(m)
@@ -186,7 +227,7 @@ def best_overlap(doc: np.ndarray, first: int, item: np.ndarray) -> tuple[int, in
         same = inner & (doc[np.clip(at, 0, len(doc) - 1)] == item)
         sums = np.zeros((len(some), m + 1), np.int32)
         np.cumsum(same, 1, out=sums[:, 1:])
-        good = (100 * (sums[:, size:] - sums[:, :-size]) >= percent * size) & inner[:, : m - size + 1] & inner[:, size - 1 :]
+        good = (100 * (sums[:, size:] - sums[:, :-size]) >= PERCENT * size) & inner[:, : m - size + 1] & inner[:, size - 1 :]
         edges = np.zeros((len(some), m + 1), np.int32)
         edges[:, : m - size + 1] += good
         edges[:, size:] -= good
@@ -201,6 +242,38 @@ def best_overlap(doc: np.ndarray, first: int, item: np.ndarray) -> tuple[int, in
     return best
 
 
+def _full(rows: DataFrame, name: str, sizes: list[int]) -> DataFrame:
+    """``(name, key)``: the full keys of the windows of ``tokens`` around the seeds in ``heavy``; an item shorter than a window is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, tokens, heavy in zip(b.column(name).to_pylist(), b.column("tokens").to_pylist(), b.column("heavy"), strict=True):
+                h, seeds_ = np.frombuffer(tokens, np.uint64), heavy.values.to_numpy().view(np.uint64)
+                own = [s for s in sizes if s <= len(h)] if name == "region" else [min(WINDOW, len(h))]
+                keys = np.unique(np.concatenate([full_keys(h, windows_with(h, seeds_, s), s) for s in own])) if own else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), one)), pa.array(keys.view(np.int64))], names=[name, "key"])
+
+    return rows.select(name, "tokens", "heavy").mapInArrow(run, f"{name} long, key long")
+
+
+def candidates(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``(region, item_id)`` of all that may overlap, each pair once."""
+    asked = known.select("item_id", "n", F.explode("hash").alias("hash"))
+    at = found.select("region", F.explode("hash").alias("hash"))
+    long = asked.where(F.col("n") >= SHORTEST)
+    count = lambda df, c: df.groupBy("hash").agg(F.count(F.lit(1)).alias(c))
+    heavy = materialise(count(long, "i").join(count(at, "r"), "hash").where(F.col("i") * F.col("r") > HEAVY).select("hash"), "heavy")
+    light = long.join(heavy, "hash", "left_anti").select("item_id", "hash").union(asked.where(F.col("n") < SHORTEST).select("item_id", "hash"))
+    met = at.join(light, "hash").select("region", "item_id")
+    if not heavy.isEmpty():
+        having = lambda df, c: df.join(heavy, "hash").groupBy(c).agg(F.collect_list("hash").alias("heavy"))
+        sizes = [r[0] for r in known.where(F.col("n") >= SHORTEST).select(F.least("n", F.lit(WINDOW))).distinct().collect()]  # six at most
+        items = _full(known.join(having(long, "item_id"), "item_id"), "item_id", sizes)
+        around = _full(found.drop("hash").join(having(at, "region"), "region"), "region", sizes)
+        met = met.union(around.join(items, "key").select("region", "item_id"))
+    return met.distinct()
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, agreeing, item_words, start_word, end_word)``: the best overlap of each pair.
 
@@ -211,8 +284,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     exploded = known.select("item_id", F.explode("hash").alias("hash"))
     masks = MASKS + [m for n in sorted(short) for m in masks_for(n) if m not in MASKS]
     found = materialise(regions(docs.select("doc_id", "text"), bitmap(exploded.select("hash")), masks), "regions")
-    met = found.select("region", F.explode("hash").alias("hash")).join(exploded, "hash").select("region", "item_id").distinct()
-    tried = met.join(found.select("region", "doc_id", "first", F.col("tokens").alias("doc")), "region").join(known.select("item_id", F.col("tokens").alias("item")), "item_id")
+    tried = candidates(known, found).join(found.select("region", "doc_id", "first", F.col("tokens").alias("doc")), "region").join(known.select("item_id", F.col("tokens").alias("item")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,7 +30,7 @@ def plain_overlap(text, item):
     """The best overlap by loops over all diagonals and windows."""
     find = lambda x: re.findall(r"[\u3000-\u9fff]|[0-9a-z]+", (x or "").lower())
     t, u = find(text), find(item)
-    size, share = min(13, len(u)), 80 if len(u) >= 8 else 100
+    size, share = min(13, len(u)), 80
     best = None
     for line in range(1 - len(u), len(t)) if u else ():
         lo, hi = max(0, -line), min(len(u), len(t) - line)
@@ -52,6 +52,40 @@ def test_repetitive_documents_are_verified_once_per_item(spark):
     assert time.perf_counter() - began < 20
 
 
+def test_a_phrase_that_all_share_brings_nobody_together(spark):
+    random.seed(3)
+    words = ["u%d" % i for i in range(5000)]
+    opening = "which of the following is the best answer here".split()
+    make = lambda n: " ".join(opening + random.choices(words, k=n))
+    items = [(i, make(random.choice([3, 12, 30]))) for i in range(1500)]
+    rows = [(d, make(60)) for d in range(1500)]
+    for d in range(0, 40):  # some documents do hold an item
+        rows[d] = (d, " ".join(random.choices(words, k=20)) + " " + items[7 * d][1])
+    began = time.perf_counter()
+    got = {(r.doc_id, r.item_id) for r in dec.overlaps(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    took = time.perf_counter() - began
+    assert got >= {(d, 7 * d) for d in range(40)}
+    assert all(plain_overlap(rows[d][1], items[i][1]) for d, i in got)
+    # 9 of 12 words: three quarters agree with the shortest items, which is too few
+    assert took < 60
+
+
+def test_full_masks_find_what_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(dec, "HEAVY", 0)
+    test_overlaps(spark)
+
+
+def test_full_masks_agree_where_windows_overlap():
+    random.seed(6)
+    for size in range(dec.SHORTEST, dec.WINDOW + 1):
+        a = np.array(random.sample(range(1 << 40), size), np.uint64)
+        for changed in (0, size - -(-80 * size // 100), size - -(-80 * size // 100) + 1):
+            b = a.copy()
+            b[random.sample(range(size), changed)] += np.uint64(1)
+            same = np.intersect1d(dec.full_keys(a, np.array([0]), size), dec.full_keys(b, np.array([0]), size))
+            assert (len(same) > 0) == (100 * (size - changed) >= 80 * size)
+
+
 def test_overlaps(spark):
     random.seed(1)
     words = ["v%d" % i for i in range(500)]
@@ -70,7 +104,7 @@ def test_overlaps(spark):
             text[at:at] = [p.upper() + random.choice(["", ",", "."]) for p in part]
             want[d] = i
         rows.append((d, " ".join(text)))
-    rows += [(1000, None), (1001, ""), (None, items[3][1]), rows[0], (1002, items[4][1].upper()), (1003, " ".join(items[5][1].split()[:5])), (1004, "x " + items[5][1] + " y"), (1005, "前置き" + "漢字仮名交じり文の長い例文です。これは"[:16] + "別"), (1006, "a short han 漢字 b"), (1007, "short han 漢")]
+    rows += [(1000, None), (1001, ""), (None, items[3][1]), rows[0], (1002, items[4][1].upper()), (1003, " ".join(items[5][1].split()[:4])), (1004, "x " + items[5][1] + " y"), (1005, "前置き" + "漢字仮名交じり文の長い例文です。これは"[:16] + "別"), (1006, "a short han 漢字 b"), (1007, "short han 漢")]
     rows.append((1008, " ".join(random.choices(words[:4], k=30_000) + items[3][1].split()[5:30])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "'h' AS hash").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
