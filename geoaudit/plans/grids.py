@@ -131,6 +131,21 @@ def streamed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stream.read_composite(spark, state), 5)
 
 
+def resumed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mean from keyed state, by a stream that is stopped after its first batch and goes on from there."""
+    x = views.observations(spark, sf_dir)
+    folder, work = new_folder(spark, "observations"), new_folder(spark, "work")
+    x.select("scene_id", "band", "cell", composite.harmonised(F.col("dn"), F.lit(1000.0)).alias("dn")).repartition(6, "scene_id").write.parquet(folder)
+    seen = []
+
+    def stop(number: int) -> None:
+        seen.append(number)
+        if len(seen) == 1:
+            raise RuntimeError("stopped on purpose")
+
+    return rounded(stream.resumable_composite(spark, folder, work, 2, after=stop), 5)
+
+
 def spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indices, logarithms, clipping and the no-data rule on cells."""
     x = views.cells(spark, sf_dir)
@@ -185,7 +200,7 @@ def landform_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "valid_cells": valid_cells, "exclusion": exclusion, "point_table": points, "window_stats": window_features, "window_sums": integral_image, "block_means": block_means, "strided_grid": strided, "coordinates": coordinates,
     "constrained_sample": constrained_sample, "variogram_bins": variogram_bins, "variogram_fit": variogram_fit, "patches": patches, "scene_selection": scene_selection, "mean_composite": skip_na_mean, "merged_composite": merged_mean,
-    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
+    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "resumed_composite": resumed_mean, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
 }
 
 _FREE = f"SELECT r, c FROM cells x WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= {B} AND abs(x.c - y.c) <= {B})"
@@ -242,4 +257,4 @@ ORACLE = {
     "fingerprint": with_views("WITH h AS (SELECT md5(r || '|' || c) AS h FROM cells WHERE e > 0) SELECT md5('cells:' || count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT) % 1000000007) AS BIGINT) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT) % 1000000007) AS BIGINT)) AS fingerprint FROM h", "cells"),
     "surface_difference": with_views("WITH x AS (SELECT q / 50 AS a, d * 10 - q / 50 AS diff FROM cells), t AS (SELECT quantile_cont(abs(diff), 0.99) AS top FROM x), y AS (SELECT a, least(greatest(diff, -top), top) AS diff FROM x, t) SELECT CASE WHEN a < 0.2 THEN 'low' WHEN a < 0.5 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, round(avg(diff), 6) + 0.0 AS mean_diff, round(100 * avg((diff > 0)::INT), 6) + 0.0 AS percent_higher FROM y GROUP BY 1", "cells"),
 }
-ORACLE["merged_composite"] = ORACLE["streamed_composite"] = ORACLE["mean_composite"]
+ORACLE["merged_composite"] = ORACLE["streamed_composite"] = ORACLE["resumed_composite"] = ORACLE["mean_composite"]
