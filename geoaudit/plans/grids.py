@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaudit.functions import features
-from geoaudit.operators import composite, encoder, grid, variogram
+from geoaudit.operators import composite, encoder, grid, grids, variogram
 from geoaudit.plans._common import rounded
 from geoaudit.session import new_folder
 from geoaudit.sources import views
@@ -146,6 +146,27 @@ def resumed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stream.resumable_composite(spark, folder, work, 2, after=stop), 5)
 
 
+#: Two grids over the proxy's area: the layers' own, and a turned one of another resolution.
+_GRIDS = [("layers", HEIGHT, WIDTH, 30.0, 0.0, 500_000.0, 0.0, -30.0, 6_000_000.0), ("turned", 25, 26, 77.0, 11.0, 499_913.0, -9.0, -71.0, 6_000_067.0)]
+
+
+def grid_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers gathered to the cells of a turned grid; cells beyond the layers stay missing."""
+    known = grids.dimension(spark, _GRIDS)
+    turned = grids.cells(known.where("grid = 'turned'"))
+    return rounded(grids.nearest(turned, known, "layers", views.cells(spark, sf_dir), ["q", "d"]).drop("x", "y"), 6)
+
+
+def area_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer on a grid of cells 2.5 by 3.2 as large that begins half a cell off."""
+    return rounded(grids.area_weighted(views.cells(spark, sf_dir).withColumn("q", F.when(F.col("q") > 18, F.col("q"))), "q", (2.5, 3.2), (0.5, -0.5)), 6)
+
+
+def half_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of blocks of six cells that begin half a stride from the edge."""
+    return rounded(grids.half_stride_means(views.cells(spark, sf_dir), "q", 6, HEIGHT, WIDTH), 6)
+
+
 def spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indices, logarithms, clipping and the no-data rule on cells."""
     x = views.cells(spark, sf_dir)
@@ -200,7 +221,7 @@ def landform_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "valid_cells": valid_cells, "exclusion": exclusion, "point_table": points, "window_stats": window_features, "window_sums": integral_image, "block_means": block_means, "strided_grid": strided, "coordinates": coordinates,
     "constrained_sample": constrained_sample, "variogram_bins": variogram_bins, "variogram_fit": variogram_fit, "patches": patches, "scene_selection": scene_selection, "mean_composite": skip_na_mean, "merged_composite": merged_mean,
-    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "resumed_composite": resumed_mean, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
+    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "resumed_composite": resumed_mean, "grid_gather": grid_gather, "area_weighted": area_weighted, "half_stride_means": half_stride, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
 }
 
 _FREE = f"SELECT r, c FROM cells x WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= {B} AND abs(x.c - y.c) <= {B})"
@@ -258,3 +279,17 @@ ORACLE = {
     "surface_difference": with_views("WITH x AS (SELECT q / 50 AS a, d * 10 - q / 50 AS diff FROM cells), t AS (SELECT quantile_cont(abs(diff), 0.99) AS top FROM x), y AS (SELECT a, least(greatest(diff, -top), top) AS diff FROM x, t) SELECT CASE WHEN a < 0.2 THEN 'low' WHEN a < 0.5 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, round(avg(diff), 6) + 0.0 AS mean_diff, round(100 * avg((diff > 0)::INT), 6) + 0.0 AS percent_higher FROM y GROUP BY 1", "cells"),
 }
 ORACLE["merged_composite"] = ORACLE["streamed_composite"] = ORACLE["resumed_composite"] = ORACLE["mean_composite"]
+ORACLE["grid_gather"] = with_views(
+    f"""WITH t AS (SELECT 'turned' AS grid, r, c, 499913 + 77 * (c + 0.5::DOUBLE) + 11 * (r + 0.5::DOUBLE) AS x, 6000067 - 9 * (c + 0.5::DOUBLE) - 71 * (r + 0.5::DOUBLE) AS y FROM (SELECT unnest(range(25)) AS r), (SELECT unnest(range(26)) AS c)),
+    p AS (SELECT *, CAST(floor((6000000 - y) / 30) AS BIGINT) AS sr, CAST(floor((x - 500000) / 30) AS BIGINT) AS sc FROM t),
+    k AS (SELECT grid, r, c, CASE WHEN sr BETWEEN 0 AND {HEIGHT - 1} AND sc BETWEEN 0 AND {WIDTH - 1} THEN sr END AS sr, CASE WHEN sr BETWEEN 0 AND {HEIGHT - 1} AND sc BETWEEN 0 AND {WIDTH - 1} THEN sc END AS sc FROM p)
+    SELECT grid, k.r, k.c, sr, sc, round(q, 6) + 0.0 AS q, round(d, 6) + 0.0 AS d FROM k LEFT JOIN cells x ON x.r = sr AND x.c = sc""",
+    "cells",
+)
+ORACLE["area_weighted"] = with_views(
+    """WITH s AS (SELECT r - 0.5::DOUBLE AS top, c + 0.5::DOUBLE AS left_, q FROM cells WHERE q > 18), t AS (SELECT i, j FROM (SELECT unnest(range(-1, 30)) AS i), (SELECT unnest(range(-1, 30)) AS j)),
+    o AS (SELECT i, j, q, least((i + 1) * 2.5::DOUBLE, top + 1) - greatest(i * 2.5::DOUBLE, top) AS h, least((j + 1) * 3.2::DOUBLE, left_ + 1) - greatest(j * 3.2::DOUBLE, left_) AS w FROM s JOIN t ON top < (i + 1) * 2.5 AND top + 1 > i * 2.5 AND left_ < (j + 1) * 3.2 AND left_ + 1 > j * 3.2)
+    SELECT i AS r, j AS c, round(sum(h * w * q) / sum(h * w), 6) + 0.0 AS mean, round(sum(h * w) / 8, 6) + 0.0 AS covered FROM o WHERE h > 1e-12 AND w > 1e-12 GROUP BY i, j""",
+    "cells",
+)
+ORACLE["half_stride_means"] = with_views("SELECT (r - 3) // 6 AS i, (c - 3) // 6 AS j, round(avg(q), 6) + 0.0 AS mean, count(q) AS n FROM cells WHERE r BETWEEN 3 AND 56 AND c BETWEEN 3 AND 68 GROUP BY 1, 2", "cells")
