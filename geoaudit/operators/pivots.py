@@ -32,7 +32,7 @@ PIVOTS = 256
 CELL = 512
 PACK = 4096
 SHEET = 1024
-#: Packs of asking and of known vectors that one task compares.
+#: Packs' worth of asking and of known vectors that one task compares.
 ASKING, KNOWN = 4, 8
 
 _CELLS = "cell long, pack long, dim int, ids array<long>, asked array<boolean>, known array<boolean>, v binary, lo array<double>, hi array<double>"
@@ -158,8 +158,9 @@ def _rows(t: pa.Table) -> Iterator[dict]:
 def met(asking: DataFrame, cells: DataFrame, needs: DataFrame, f: Callable[[dict, list[dict]], pa.Table | None], schema: str, empty: pa.Table) -> DataFrame:
     """``f`` of each asking cell (a dict of its columns) and the cells that it needs of some packs, wherever they are.
 
-    A task has the asking cells of about ``ASKING`` packs and the cells of about
-    ``KNOWN`` packs that any of them needs.
+    A task has about ``ASKING`` packs' worth of asking cells (less if there would be
+    fewer tasks than cores) and those of about ``KNOWN`` packs' worth that any of them
+    needs.
     """
 
     def run(t: pa.Table, o: pa.Table) -> pa.Table:
@@ -167,9 +168,10 @@ def met(asking: DataFrame, cells: DataFrame, needs: DataFrame, f: Callable[[dict
         found = [f(r, [others[b] for b in r["wanted"].tolist()]) for r in _rows(t)]
         return pa.concat_tables([empty, *(x for x in found if x is not None)])
 
-    packs = cells.select("pack").distinct().count()
-    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, -(-packs // n))))
-    needs = needs.select("a", "b", tile("pa", ASKING).alias("ta"), tile("pb", KNOWN).alias("tb"))
+    n = cells.agg(F.sum(F.size("ids"))).first()[0] or 0
+    asked = max(-(-n // (ASKING * PACK)), cells.sparkSession.sparkContext.defaultParallelism)
+    tile = lambda c, k: F.pmod(F.xxhash64(c), F.lit(max(1, k)))
+    needs = needs.select("a", "b", tile("pa", asked).alias("ta"), tile("pb", -(-n // (KNOWN * PACK))).alias("tb"))
     bounds = ("lo", "hi", "reach", "pack")
     asks = needs.groupBy("a", "ta", "tb").agg(F.collect_list("b").alias("wanted"))  # as many as the packs have cells
     left = asks.join(asking.drop(*bounds), F.col("a") == F.col("cell")).drop("a")
