@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaudit.functions import features, folds, inference, ranking
-from geoaudit.operators import boosting, cluster, density, encoder, grid, inventory, mixtures, models
+from geoaudit.operators import boosting, cluster, density, encoder, grid, inventory, mixtures, models, pca
 from geoaudit.operators import minibatch as minibatches
 from geoaudit.plans import evaluation
 from geoaudit.plans._common import rounded
@@ -209,6 +209,19 @@ def gaussian_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.mixture_bic(x, "pc", [2, 4])
 
 
+def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all components of the vectors must satisfy: variances of the coordinates, which add up to those of the columns, and no covariance."""
+    c, x = pca.fit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, standardise=False)
+    z = pca.transformed(x, c)
+    at = [F.col("pc")[i] for i in range(len(c.variances))]
+    moments = z.agg(*(F.var_samp(a).alias(f"v{i}") for i, a in enumerate(at)), *(F.covar_samp(at[i], at[i + 1]).alias(f"c{i}") for i in range(len(at) - 1)))
+    whole = sum((F.col(f"v{i}") for i in range(len(at))), F.lit(0.0))
+    rising = sum((F.greatest(F.col(f"v{i + 1}") - F.col(f"v{i}"), F.lit(0.0)) for i in range(len(at) - 1)), F.lit(0.0))
+    mixed = F.greatest(*(F.abs(F.col(f"c{i}")) for i in range(len(at) - 1)))
+    lengths = z.agg(F.avg(F.aggregate("pc", F.lit(0.0), lambda s, v: s + v * v)).alias("mean_square"))
+    return rounded(moments.select(whole.alias("variance"), rising.alias("rising"), mixed.alias("covariance")).crossJoin(lengths), 8)  # one row each
+
+
 def mixture_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood and criterion of diagonal mixtures of the grid's layers, after three rounds."""
     x = views.cells(spark, sf_dir).select((F.col("r") * WIDTH + F.col("c")).alias("id"), F.array(F.col("v") / 10_000, "q", F.col("d") * 100, F.col("t") * 100).alias("x"))
@@ -243,7 +256,7 @@ QUERIES = {
     "cluster_signatures": signatures, "cluster_z_signatures": z_signatures, "contingency": contingency, "cluster_agreement": agreement, "adjusted_information": adjusted_information, "internal_quality": internal_quality, "silhouette": silhouette,
     "matched_clusters": cosine_matrix, "correspondence_components": correspondence, "nearest_label": nearest, "density_clusters": dense, "morphotypes": morphotypes, "event_types": kinds, "year_profile": years, "top_triggers": top_triggers, "class_share": class_share,
     "type_signature": type_signature, "region_summary": regions, "rollup_counts": rollup_shares, "report_round_trip": report_round_trip, "report_table": report_table, "forest_folds": forest, "boosting_residuals": residuals, "leafwise_folds": leafwise, "tuned_logistic": tuned_logistic,
-    "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": gaussian_mixtures, "mixture_selection": mixture_selection, "minibatch_clusters": minibatch, "bootstrap_agreement": bootstrap_agreement, "encoded_points": encoded,
+    "importances": importances, "transfer": transfer, "kmeans_clusters": kmeans, "mixture_bic": gaussian_mixtures, "mixture_selection": mixture_selection, "principal_components": principal_components, "minibatch_clusters": minibatch, "bootstrap_agreement": bootstrap_agreement, "encoded_points": encoded,
 }
 
 _LAB = "WITH lab AS (SELECT *, CAST(least(floor((q - 15) / 6), 3) AS BIGINT) AS ca, CAST(least(floor(v / 30000), 2) AS BIGINT) AS cb FROM cells)"
@@ -328,3 +341,7 @@ ORACLE["mixture_selection"] = with_views(
     + ", f AS (SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4) SELECT CAST(k AS INTEGER) AS k, round(ll, 3) + 0.0 AS log_likelihood, round(-2 * ll + (k - 1 + 8 * k) * ln((SELECT count(*) FROM ids)), 3) + 0.0 AS bic FROM f",
     "cells",
 )
+ORACLE["principal_components"] = """
+WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(v) AS m, var_samp(v) AS s FROM x GROUP BY i),
+d AS (SELECT vec_id, sum((v - m) ** 2) AS d FROM x JOIN m USING (i) GROUP BY vec_id)
+SELECT round((SELECT sum(s) FROM m), 8) + 0.0 AS variance, 0.0::DOUBLE AS rising, 0.0::DOUBLE AS covariance, round((SELECT avg(d) FROM d), 8) + 0.0 AS mean_square"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoaudit.functions import features
+from geoaudit.functions import features, layers
 from geoaudit.operators import composite, encoder, grid, grids, variogram
 from geoaudit.plans._common import rounded
 from geoaudit.session import new_folder
@@ -150,6 +150,14 @@ def resumed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRIDS = [("layers", HEIGHT, WIDTH, 30.0, 0.0, 500_000.0, 0.0, -30.0, 6_000_000.0), ("turned", 25, 26, 77.0, 11.0, 499_913.0, -9.0, -71.0, 6_000_067.0)]
 
 
+def spectral_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spectral layers of every cell, from the table function; the proxy layers stand for the bands."""
+    x = views.cells(spark, sf_dir)
+    bands = {2: F.col("v") / 10, 3: F.col("q") * 100, 4: F.col("d") * 10_000, 8: F.col("t") * 10_000, 9: F.col("v") / 20, 11: F.when(F.col("e") == 0, F.col("q") * 50), 12: F.col("d") * 5000}
+    wide = x.select("r", "c", F.array(*(bands.get(i, F.lit(None).cast("double")) for i in range(1, 13))).alias("bands"))
+    return rounded(layers.spectral(wide, "bands"), 12)
+
+
 def grid_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers gathered to the cells of a turned grid; cells beyond the layers stay missing."""
     known = grids.dimension(spark, _GRIDS)
@@ -221,7 +229,7 @@ def landform_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "valid_cells": valid_cells, "exclusion": exclusion, "point_table": points, "window_stats": window_features, "window_sums": integral_image, "block_means": block_means, "strided_grid": strided, "coordinates": coordinates,
     "constrained_sample": constrained_sample, "variogram_bins": variogram_bins, "variogram_fit": variogram_fit, "patches": patches, "scene_selection": scene_selection, "mean_composite": skip_na_mean, "merged_composite": merged_mean,
-    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "resumed_composite": resumed_mean, "grid_gather": grid_gather, "area_weighted": area_weighted, "half_stride_means": half_stride, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
+    "scene_batches": scene_batches, "streamed_composite": streamed_mean, "resumed_composite": resumed_mean, "spectral_layers": spectral_layers, "grid_gather": grid_gather, "area_weighted": area_weighted, "half_stride_means": half_stride, "spectral_features": spectral, "standardised": standardised, "filled": filled, "buckets": buckets, "one_hot": one_hot, "fingerprint": fingerprint, "surface_difference": landform_surface,
 }
 
 _FREE = f"SELECT r, c FROM cells x WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.e > 0 AND abs(x.r - y.r) <= {B} AND abs(x.c - y.c) <= {B})"
@@ -293,3 +301,9 @@ ORACLE["area_weighted"] = with_views(
     "cells",
 )
 ORACLE["half_stride_means"] = with_views("SELECT (r - 3) // 6 AS i, (c - 3) // 6 AS j, round(avg(q), 6) + 0.0 AS mean, count(q) AS n FROM cells WHERE r BETWEEN 3 AND 56 AND c BETWEEN 3 AND 68 GROUP BY 1, 2", "cells")
+ORACLE["spectral_layers"] = with_views(
+    """WITH b AS (SELECT r, c, v / 1e5 AS blue, q / 100 AS green, d AS red, t AS nir, v / 2e5 AS nir_narrow, CASE WHEN e = 0 THEN q * 50 / 10000 END AS swir1, d / 2 AS swir2 FROM cells),
+    l AS (SELECT r, c, unnest(['blue', 'green', 'red', 'nir_narrow', 'swir1', 'swir2', 'ndvi', 'nbr']) AS layer, unnest([blue, green, red, nir_narrow, swir1, swir2, (nir - red) / (nir + red + 1e-6), (nir_narrow - swir2) / (nir_narrow + swir2 + 1e-6)]) AS value FROM b)
+    SELECT r, c, layer, round(value, 12) + 0.0 AS value FROM l""",
+    "cells",
+)
