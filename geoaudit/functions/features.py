@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoaudit.functions.ranking import quantile
+
 
 def log1p_or_missing(x: Column) -> Column:
     """log(1 + x); missing below 0."""
@@ -54,9 +56,10 @@ def filled(df: DataFrame, columns: list[str], how: str = "global_median") -> Dat
     """Missing values (null or NaN) replaced by one median over all columns, or by each column's."""
     clean = df.select(*(c for c in df.columns if c not in columns), *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
     if how == "global_median":
-        one = clean.select(F.explode(F.array(*columns)).alias("v")).agg(F.percentile("v", F.lit(0.5)).alias("__m"))
+        one = quantile(clean.select(F.explode(F.array(*columns)).alias("v")), "v", 0.5, "__m")
         return clean.crossJoin(F.broadcast(one)).select(*(c for c in df.columns if c not in columns), *(F.coalesce(c, "__m").alias(c) for c in columns))
-    each = clean.agg(*(F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns))
+    long = clean.select(F.explode(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.k", "x.v")
+    each = quantile(long, "v", 0.5, "m", ["k"]).agg(*(F.max(F.when(F.col("k") == c, F.col("m"))).alias(f"__{c}") for c in columns))
     return clean.crossJoin(F.broadcast(each)).select(*(c for c in df.columns if c not in columns), *(F.coalesce(c, f"__{c}").alias(c) for c in columns))
 
 

@@ -93,6 +93,20 @@ def order_statistic(df: DataFrame, value: str, shares: list[float], by: list[str
     return x.groupBy(*by).agg(*(F.max(F.when(hit(p), F.col("v"))).alias(f"q{round(100 * p)}") for p in shares))
 
 
+def quantile(df: DataFrame, value: str, share: float, name: str, by: list[str] = ()) -> DataFrame:
+    """``(*by, name)``: the exact quantile between neighbouring values, from counts by value in ranges; no task holds them all.
+
+    Null and NaN values are left out; a group without values has no row, and without
+    groups there is one row, which is null then.
+    """
+    v = F.col(value).cast("double")
+    x = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.lit(float(share)) * (F.col("n_all") - 1)
+    hit = lambda k: F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col("v")))
+    ends = running_totals(x, list(by), "v", ["n"]).groupBy(*by).agg(hit(F.floor(at)).alias("lo"), hit(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    return ends.select(*by, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias(name))
+
+
 def rate_curve_area(areas: DataFrame, events: DataFrame, score: str, by: list[str]) -> DataFrame:
     """Mean over events of the share of area scored below them, ties counting half: ``rate_auc``."""
     both = areas.select(*by, score, F.lit(0).alias("__y")).union(events.select(*by, score, F.lit(1).alias("__y")))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaudit.functions.ranking import quantile
 
 def _spread(points: DataFrame, row: str, col: str, side: int, names: list[str]) -> DataFrame:
     """Each point under its own bucket of ``side`` cells and the eight around it."""
@@ -111,7 +112,7 @@ def sample_exact(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 def sample_constrained(cells: DataFrame, positives: DataFrame, slope: str, share: float, n: int, seed: int) -> DataFrame:
     """n cells whose ``slope`` is at least the positives' percentile ``share``."""
-    floor = positives.agg(F.percentile(slope, F.lit(share)).alias("__floor"))  # one row
+    floor = quantile(positives, slope, share, "__floor")  # one row
     return sample_exact(cells.crossJoin(F.broadcast(floor)).where(F.col(slope) >= F.col("__floor")).drop("__floor"), n, seed, "r", "c")
 
 
@@ -178,7 +179,7 @@ def sample_complete(candidates: DataFrame, events: DataFrame, holes: DataFrame,
     """
     whole = float((2 * half + 1) ** 2)
     hollow = lambda df: hole_counts(df, holes, half, height, width).select("r", "c", ((F.col("holes") + whole - F.col("area")) / whole).alias("hollow"))
-    most = hollow(events).agg(F.percentile("hollow", F.lit(share)).alias("most"))
+    most = quantile(hollow(events), "hollow", share, "most")
     x = hollow(candidates).crossJoin(F.broadcast(most)).where("hollow <= most")  # one row
     return x.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string"))), "r", "c").limit(n).select("r", "c")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoaudit.functions import features, layers
+from geoaudit.functions import features, layers, ranking
 from geoaudit.operators import composite, encoder, grid, grids, variogram
 from geoaudit.plans._common import rounded
 from geoaudit.session import new_folder
@@ -220,7 +220,7 @@ def landform_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two scaled layers by band of the first, clipped at its 99th percentile of size."""
     x = views.cells(spark, sf_dir).select("r", "c", (F.col("q") / 50).alias("a"), (F.col("d") * 10).alias("b"))
     d = x.withColumn("diff", F.col("b") - F.col("a"))
-    top = d.agg(F.percentile(F.abs("diff"), F.lit(0.99)).alias("top"))
+    top = ranking.quantile(d.withColumn("size", F.abs("diff")), "size", 0.99, "top")
     d = d.crossJoin(F.broadcast(top)).withColumn("diff", F.least(F.greatest("diff", -F.col("top")), F.col("top")))  # one row
     band = F.when(F.col("a") < 0.2, "low").when(F.col("a") < 0.5, "middle").otherwise("high")
     return rounded(d.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"), (100.0 * F.avg((F.col("diff") > 0).cast("int"))).alias("percent_higher")))

@@ -135,7 +135,7 @@ def rejection_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     basin = x.where(grid.inside(F.col("z"), "nonzero"))
     events, holes = x.where("e > 0").select("r", "c"), x.where("z = 0").select("r", "c")
     whole = lambda df: grid.hole_counts(df.select("r", "c"), holes, 2, HEIGHT, WIDTH).select("r", "c", ((F.col("holes") + 25.0 - F.col("area")) / 25.0).alias("hollow"))
-    most = whole(events).agg(F.percentile("hollow", F.lit(0.95)).alias("most"))
+    most = ranking.quantile(whole(events), "hollow", 0.95, "most")
     free = grid.exclude_near(basin.select("r", "c"), events, 1)
     eligible = whole(free).crossJoin(F.broadcast(most)).where("hollow <= most")  # one row
     return grid.accepted(eligible, 300, 11, HEIGHT, WIDTH, 2).select("attempt", "r", "c")

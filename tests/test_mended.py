@@ -48,6 +48,17 @@ def test_null_groups_stay(spark):
     assert {r.g for r in caught} == {None, "a"}
 
 
+def test_quantiles_between_values(spark):
+    r = np.random.default_rng(9)
+    for n in (1, 2, 7, 1000):
+        x = np.round(r.normal(0, 3, n), 1)
+        df = spark.createDataFrame([(float(v), "g") for v in x] + [(None, "g"), (float("nan"), None)], "v double, g string")
+        for p in (0.0, 0.05, 0.5, 0.99, 1.0):
+            assert ranking.quantile(df, "v", p, "q").first().q == pytest.approx(np.quantile(x, p), abs=1e-12)
+    assert ranking.quantile(df.where("v > 1e9 AND NOT isnan(v)"), "v", 0.5, "q").collect() == [(None,)]
+    assert [tuple(q) for q in ranking.quantile(df, "v", 0.5, "q", ["g"]).collect()] == [("g", pytest.approx(np.median(x)))]
+
+
 def test_wide_windows_of_bands_are_not_mixed_up(spark):
     cells = spark.createDataFrame([(r, c, float(r * 10000 + c)) for r, c in ((0, 0), (1, -600), (0, 400), (-1, 399))], "r int, c int, v double")
     point = spark.createDataFrame([(7, 0, 0)], "id long, r int, c int")
