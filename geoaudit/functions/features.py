@@ -110,3 +110,9 @@ def feature_sets(point: list[str], spectral: list[str], point_context: list[str]
         "SCTX": spectral + spectral_context,
         "AFULL": point + point_context + spectral + spectral_context,
     }
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles as IEEE 754 has it: a divisor of zero gives an infinity, or NaN for 0 / 0, and no error."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))

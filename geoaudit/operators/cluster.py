@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoaudit.functions.features import quotient
 from geoaudit.operators import blocks, pivots
 from geoaudit.operators.components import components
 
@@ -115,8 +116,12 @@ def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str)
     return x.select("i", "j", F.when(most == expected, F.lit(1.0)).otherwise((F.col("pab") - expected) / (most - expected)).alias("ari"))
 
 
-def internal_quality(df: DataFrame, cluster: str, values: list[str]) -> DataFrame:
-    """One row ``(davies_bouldin, calinski_harabasz)`` from the clusters' centroids."""
+def internal_quality(df: DataFrame, cluster: str, values: list[str], single: float = math.nan) -> DataFrame:
+    """One row ``(davies_bouldin, calinski_harabasz)`` from the clusters' centroids.
+
+    A single cluster has no Davies-Bouldin index (null), and ``single`` for the other,
+    or NaN if it has no spread; equal centroids are infinitely alike.
+    """
     cent = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.avg(v).alias(f"__{v}") for v in values))
     cent = cent.withColumn("__m", F.array(*(F.col(f"__{v}") for v in values)))
     dist2 = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -125,9 +130,10 @@ def internal_quality(df: DataFrame, cluster: str, values: list[str]) -> DataFram
     c = cent.join(within, cluster)
     whole = F.array(*((F.sum(F.col(f"__{v}") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())) for v in values))
     ch = c.withColumn("__g", dist2(F.col("__m"), whole)).agg(F.sum(F.col("n") * F.col("__g")).alias("b"), F.sum("ss").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    ch = ch.select((F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    between = F.when(F.col("k") == 1, F.when(F.col("w") > 0, F.lit(single)).otherwise(F.lit(math.nan))).otherwise(quotient(F.col("b"), F.col("k") - 1))
+    ch = ch.select(quotient(between, quotient(F.col("w"), F.col("n") - F.col("k"))).alias("calinski_harabasz"))
     l, r = c.select(F.col(cluster).alias("i"), F.col("s").alias("si"), F.col("__m").alias("mi")), c.select(F.col(cluster).alias("j"), F.col("s").alias("sj"), F.col("__m").alias("mj"))
-    worst = l.crossJoin(r).where("i <> j").groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / F.sqrt(dist2(F.col("mi"), F.col("mj")))).alias("w"))
+    worst = l.crossJoin(r).where("i <> j").groupBy("i").agg(F.max(quotient(F.col("si") + F.col("sj"), F.sqrt(dist2(F.col("mi"), F.col("mj"))))).alias("w"))
     return worst.agg(F.avg("w").alias("davies_bouldin")).crossJoin(ch)
 
 
