@@ -198,11 +198,14 @@ def matched(pairs: DataFrame, a: str, b: str, score: str, k: int, by: list[str])
     """The one-to-one matching of k and k clusters with the greatest total score, per group.
 
     ``pairs`` has k times k rows a group (k up to 16); ties go to the first in order.
+    A group that lacks one of the clusters has no such matching, and no rows.
     """
     if k > 16:
         raise ValueError("matching takes up to 16 clusters")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) < k * k:
+            return g.iloc[:0]
         g = g.sort_values([a, b])
         way = best_way(g[score].to_numpy(float).reshape(k, k))
         return g.iloc[[i * k + j for i, j in enumerate(way)]]

@@ -14,3 +14,11 @@ def test_quality_of_one_cluster_is_undefined(spark):
     same = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 1.0), (1, 3.0)], "k int, a double")
     r = cluster.internal_quality(same, "k", ["a"]).first()
     assert r.davies_bouldin == math.inf and r.calinski_harabasz == 0
+
+
+def test_groups_without_a_cluster_have_no_matching(spark):
+    rows = [("whole", a, b, float(a == b)) for a in range(2) for b in range(2)] + [("part", 1, b, 1.0) for b in range(2)] + [("one", 1, 1, 1.0)]
+    p = spark.createDataFrame(rows, "g string, a int, b int, s double")
+    assert {tuple(r) for r in cluster.matched(p, "a", "b", "s", 2, ["g"]).collect()} == {("whole", 0, 0, 1.0), ("whole", 1, 1, 1.0)}
+    none = cluster.matched(p.where("g <> 'whole'"), "a", "b", "s", 2, ["g"])
+    assert none.collect() == []
