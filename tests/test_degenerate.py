@@ -2,7 +2,7 @@
 
 import math
 
-from geoaudit.operators import cluster
+from geoaudit.operators import cluster, reporttables
 
 
 def test_quality_of_one_cluster_is_undefined(spark):
@@ -22,3 +22,5 @@ def test_groups_without_a_cluster_have_no_matching(spark):
     assert {tuple(r) for r in cluster.matched(p, "a", "b", "s", 2, ["g"]).collect()} == {("whole", 0, 0, 1.0), ("whole", 1, 1, 1.0)}
     none = cluster.matched(p.where("g <> 'whole'"), "a", "b", "s", 2, ["g"])
     assert none.collect() == []
+    r = reporttables.matched_summary(none, "s").first()
+    assert r.n == 0 and r["mean"] is None and r["median"] is None and r.ge_08 is None and r.ge_05 is None
