@@ -71,8 +71,8 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(n.alias("n"), F.when(most == expected, F.lit(1.0)).otherwise((F.col("pab") - expected) / (most - expected)).alias("ari"), F.when(ha + hb == 0, F.lit(1.0)).otherwise(F.greatest(mi, F.lit(0.0)) / ((ha + hb) / 2)).alias("nmi"))
 
 
-def expected_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``(emi, ami)``: expected and adjusted mutual information under fixed margins.
+def expected_information(df: DataFrame, a: str, b: str, trivial: float = 1.0) -> DataFrame:
+    """One row ``(emi, ami)``: expected and adjusted mutual information under fixed margins; ``trivial`` is the latter of two labellings with one class each.
 
     Sums over pairs of classes and the counts where the hypergeometric law has its
     mass (twelve deviations around its mean); the counts of a pair are made in runs,
@@ -92,12 +92,13 @@ def expected_information(df: DataFrame, a: str, b: str) -> DataFrame:
     lf, whole = log_factorial, F.lit(n)
     p = F.exp(lf(x) + lf(y) + lf(whole - x) + lf(whole - y) - lf(whole) - lf(m) - lf(x - m) - lf(y - m) - lf(whole - x - y + m))
     emi = terms.agg(F.sum(m / n * F.log(m.cast("double") * n / (x * y)) * p).alias("emi"))
-    w = t.groupBy("a").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("ha"))
-    v = t.groupBy("b").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("hb"))
+    w = t.groupBy("a").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("ha"), F.count(F.lit(1)).alias("ka"))
+    v = t.groupBy("b").agg(F.sum("n").alias("n")).agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("hb"), F.count(F.lit(1)).alias("kb"))
     c = t.agg((F.log(F.lit(float(n or 1))) - F.sum(F.col("n") * F.log("n")) / n).alias("hab"))
     x = emi.crossJoin(w).crossJoin(v).crossJoin(c)
     mi = F.col("ha") + F.col("hb") - F.col("hab")
-    return x.select("emi", ((mi - F.col("emi")) / ((F.col("ha") + F.col("hb")) / 2 - F.col("emi"))).alias("ami"))
+    ami = quotient(mi - F.col("emi"), (F.col("ha") + F.col("hb")) / 2 - F.col("emi"))
+    return x.select("emi", F.when((F.col("ka") == 1) & (F.col("kb") == 1), F.lit(trivial)).otherwise(ami).alias("ami"))
 
 
 def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str) -> DataFrame:

@@ -24,3 +24,10 @@ def test_groups_without_a_cluster_have_no_matching(spark):
     assert none.collect() == []
     r = reporttables.matched_summary(none, "s").first()
     assert r.n == 0 and r["mean"] is None and r["median"] is None and r.ge_08 is None and r.ge_05 is None
+
+
+def test_information_of_two_single_classes(spark):
+    x = spark.createDataFrame([(1, 1)] * 5, "a int, b int")
+    r = cluster.expected_information(x, "a", "b", trivial=math.nan).first()
+    assert r.emi == 0 and math.isnan(r.ami)
+    assert cluster.expected_information(x, "a", "b").first().ami == 1
