@@ -54,21 +54,31 @@ def log_factorial(k: Column) -> Column:
     return F.when(k < 16, F.get(listed, F.greatest(k, F.lit(0.0)).cast("int"))).otherwise(series)
 
 
-def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: adjusted Rand index ``ari`` and normalised mutual information ``nmi`` (arithmetic mean)."""
+def _adjusted(pairs: Column, trivial: float) -> Column:
+    """Adjusted Rand index from the pairs that agree in both (``pab``), in one (``pa``) and in the other (``pb``), of all ``pairs``."""
+    expected, most = F.try_divide(F.col("pa") * F.col("pb"), pairs), (F.col("pa") + F.col("pb")) / 2
+    return F.when((pairs == 0) | (most == expected), F.lit(trivial)).otherwise(F.try_divide(F.col("pab") - expected, most - expected))
+
+
+def agreement(df: DataFrame, a: str, b: str, trivial: float = 1.0) -> DataFrame:
+    """One row: adjusted Rand index ``ari`` and normalised mutual information ``nmi`` (arithmetic mean).
+
+    ``trivial`` stands for 0 / 0: no pair of rows could be told apart by chance, or both
+    labellings have one class.
+    """
     t = contingency(df, a, b)
     w = lambda k: Window.partitionBy(k)  # noqa: E731  - the table of two labellings, not the rows
     pairs = lambda x: x * (x - 1) / 2.0
-    rows = t.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("pa"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("la"))
-    cols = t.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("pb"), F.sum(F.col("n") * F.log("n")).alias("lb"))
+    rows = t.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("pa"), F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("la"), F.count(F.lit(1)).alias("ka"))
+    cols = t.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("pb"), F.sum(F.col("n") * F.log("n")).alias("lb"), F.count(F.lit(1)).alias("kb"))
     both = t.agg(F.sum(pairs(F.col("n"))).alias("pab"), F.sum(F.col("n") * F.log("n")).alias("lab"))
     x = rows.crossJoin(cols).crossJoin(both)
     n = F.col("n")
-    expected = F.col("pa") * F.col("pb") / pairs(n)
-    most = (F.col("pa") + F.col("pb")) / 2
+    ari = _adjusted(pairs(n), trivial)
     ha, hb = F.log(n) - F.col("la") / n, F.log(n) - F.col("lb") / n
     mi = F.log(n) + (F.col("lab") - F.col("la") - F.col("lb")) / n
-    return x.select(n.alias("n"), F.when(most == expected, F.lit(1.0)).otherwise((F.col("pab") - expected) / (most - expected)).alias("ari"), F.when(ha + hb == 0, F.lit(1.0)).otherwise(F.greatest(mi, F.lit(0.0)) / ((ha + hb) / 2)).alias("nmi"))
+    nmi = F.when((F.col("ka") == 1) & (F.col("kb") == 1), F.lit(trivial)).otherwise(quotient(F.greatest(mi, F.lit(0.0)), (ha + hb) / 2))
+    return x.select(n.alias("n"), ari.alias("ari"), nmi.alias("nmi"))
 
 
 def expected_information(df: DataFrame, a: str, b: str, trivial: float = 1.0) -> DataFrame:

@@ -39,3 +39,13 @@ def test_buffers_that_leave_no_cell_have_no_row(spark, tmp_path):
     rows = [row, (60, 1, 1.0, 1.0, 0.0, 0.0, "N"), (1, 2, 1.0, 1.0, 0.0, 0.0, "N")]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {tuple(r) for r in reporting.buffer_sweep(spark, str(tmp_path)).collect()} == {(0, 2), (1, 1)}
+
+
+def test_agreement_of_two_single_classes(spark):
+    x = spark.createDataFrame([(1, 1)] * 4200, "a int, b int")
+    r = cluster.agreement(x, "a", "b", trivial=math.nan).first()
+    assert r.n == 4200 and math.isnan(r.ari) and math.isnan(r.nmi)
+    r = cluster.agreement(x, "a", "b").first()
+    assert r.ari == 1 and r.nmi == 1
+    r = cluster.agreement(x.limit(1), "a", "b", trivial=math.nan).first()
+    assert r.n == 1 and math.isnan(r.ari) and math.isnan(r.nmi)
