@@ -111,8 +111,8 @@ def expected_information(df: DataFrame, a: str, b: str, trivial: float = 1.0) ->
     return x.select("emi", F.when((F.col("ka") == 1) & (F.col("kb") == 1), F.lit(trivial)).otherwise(ami).alias("ami"))
 
 
-def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str) -> DataFrame:
-    """``(i, j, ari)``: adjusted Rand index of every two runs over the rows that both label.
+def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str, trivial: float = 1.0) -> DataFrame:
+    """``(i, j, ari)``: adjusted Rand index of every two runs over the rows that both label, ``trivial`` for 0 / 0.
 
     A row's labels come together once (one per run), and pairs of runs are counted
     into tables of labels before anything else is exchanged.
@@ -123,8 +123,7 @@ def pairwise_agreement(labels: DataFrame, keys: list[str], run: str, label: str)
     pairs = lambda: F.sum(F.col("n") * (F.col("n") - 1) / 2.0)
     side = lambda c: t.groupBy("i", "j", c).agg(F.sum("n").alias("n")).groupBy("i", "j").agg(pairs().alias(f"p{c}"))
     x = t.groupBy("i", "j").agg(pairs().alias("pab"), F.sum("n").alias("n")).join(side("a"), ["i", "j"]).join(side("b"), ["i", "j"])
-    expected, most = F.col("pa") * F.col("pb") / (F.col("n") * (F.col("n") - 1) / 2.0), (F.col("pa") + F.col("pb")) / 2
-    return x.select("i", "j", F.when(most == expected, F.lit(1.0)).otherwise((F.col("pab") - expected) / (most - expected)).alias("ari"))
+    return x.select("i", "j", _adjusted(F.col("n") * (F.col("n") - 1) / 2.0, trivial).alias("ari"))
 
 
 def internal_quality(df: DataFrame, cluster: str, values: list[str], single: float = math.nan) -> DataFrame:

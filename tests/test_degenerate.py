@@ -49,3 +49,13 @@ def test_agreement_of_two_single_classes(spark):
     assert r.ari == 1 and r.nmi == 1
     r = cluster.agreement(x.limit(1), "a", "b", trivial=math.nan).first()
     assert r.n == 1 and math.isnan(r.ari) and math.isnan(r.nmi)
+
+
+def test_pairwise_agreement_of_single_classes(spark):
+    rows = [(k, run, label) for k in range(6) for run, label in ((0, 5), (1, 5), (2, k % 2))]
+    x = spark.createDataFrame(rows, "id int, run int, label int")
+    got = {(r.i, r.j): r.ari for r in cluster.pairwise_agreement(x, ["id"], "run", "label", trivial=math.nan).collect()}
+    assert math.isnan(got[0, 1]) and got[0, 2] == 0 and got[1, 2] == 0
+    assert {(r.i, r.j): r.ari for r in cluster.pairwise_agreement(x, ["id"], "run", "label").collect()}[0, 1] == 1
+    single = cluster.pairwise_agreement(x.where("id = 0"), ["id"], "run", "label", trivial=math.nan).collect()
+    assert len(single) == 3 and all(math.isnan(r.ari) for r in single)
