@@ -38,13 +38,13 @@ def fit(bins: DataFrame, reaches: list[float], kind: str = "spherical") -> DataF
     grid = bins.sparkSession.createDataFrame([(float(a),) for a in reaches], "reach double")
     g = _shape(kind, F.col("lag"), F.col("reach"))
     x = bins.crossJoin(F.broadcast(grid)).select("reach", F.col("n").cast("double").alias("w"), g.alias("g"), F.col("gamma").alias("y"))
-    s = x.groupBy("reach").agg(*(F.sum(e).alias(a) for a, e in (("sw", F.col("w")), ("sg", F.col("w") * F.col("g")), ("sgg", F.col("w") * F.col("g") * F.col("g")), ("sy", F.col("w") * F.col("y")), ("sgy", F.col("w") * F.col("g") * F.col("y")), ("syy", F.col("w") * F.col("y") * F.col("y")))))
+    s = x.groupBy("reach").agg(*(F.sum(e).alias(a) for a, e in (("sw", F.col("w")), ("sg", F.col("w") * F.col("g")), ("sgg", F.col("w") * F.col("g") * F.col("g")), ("sy", F.col("w") * F.col("y")), ("sgy", F.col("w") * F.col("g") * F.col("y")))), F.array_sort(F.collect_list(F.struct("y", "w", "g"))).alias("bins"))  # lag bins, which are few
     det = F.col("sw") * F.col("sgg") - F.col("sg") * F.col("sg")
     sill = F.try_divide(F.col("sw") * F.col("sgy") - F.col("sg") * F.col("sy"), det)
     nug = (F.col("sy") - sill * F.col("sg")) / F.col("sw")
     pair = F.when(nug < 0, F.struct(F.lit(0.0).alias("nugget"), F.greatest(F.col("sgy") / F.col("sgg"), F.lit(0.0)).alias("sill"))).when((sill < 0) | sill.isNull(), F.struct((F.col("sy") / F.col("sw")).alias("nugget"), F.lit(0.0).alias("sill"))).otherwise(F.struct(nug.alias("nugget"), sill.alias("sill")))
-    m = s.withColumn("p", pair).select("reach", "p.nugget", "p.sill", "sw", "sg", "sgg", "sy", "sgy", "syy")
-    sse = F.expr("syy - 2 * nugget * sy - 2 * sill * sgy + nugget * nugget * sw + 2 * nugget * sill * sg + sill * sill * sgg")
+    m = s.withColumn("p", pair).select("reach", "p.nugget", "p.sill", "bins")
+    sse = F.expr("aggregate(bins, 0D, (e, b) -> e + b.w * power(b.y - nugget - sill * b.g, 2))")
     best = m.withColumn("sse", sse).agg(F.min_by(F.struct("reach", "nugget", "sill", "sse"), F.struct(F.round("sse", 9), "reach")).alias("b")).select("b.*")
     return best.withColumn("censored", F.col("reach") == float(max(reaches)))
 
@@ -121,11 +121,12 @@ def fit_drift(bins: DataFrame, reaches: list[float], longest: float, by: list[st
     """
     asked = bins.sparkSession.createDataFrame([(float(a),) for a in reaches], "reach double")
     x = bins.crossJoin(F.broadcast(asked)).select(*by, "reach", F.col("n").cast("double").alias("k"), F.col("lag").alias("l"), _shape("spherical", F.col("lag"), F.col("reach")).alias("s"), F.col("gamma").alias("v"))  # the asked ranges
-    part = {"w": "k", "g": "k * s", "h": "k * l", "gg": "k * s * s", "gh": "k * s * l", "hh": "k * l * l", "y": "k * v", "gy": "k * s * v", "hy": "k * l * v", "yy": "k * v * v"}
-    sums = x.groupBy(*by, "reach").agg(*(F.sum(F.expr(e)).alias(n) for n, e in part.items()))
+    part = {"w": "k", "g": "k * s", "h": "k * l", "gg": "k * s * s", "gh": "k * s * l", "hh": "k * l * l", "y": "k * v", "gy": "k * s * v", "hy": "k * l * v"}
+    sums = x.groupBy(*by, "reach").agg(*(F.sum(F.expr(e)).alias(n) for n, e in part.items()), F.array_sort(F.collect_list(F.struct("l", "k", "s", "v"))).alias("bins"))  # lag bins, which are few
     ways = [f"CASE WHEN {det} > 1e-9 * {scale} THEN named_struct('way', {i}, 'nugget', ({n}) / ({det}), 'sill', ({s}) / ({det}), 'drift', ({b}) / ({det})) END" for i, (det, scale, n, s, b) in enumerate(_WAYS)]
-    each = sums.select(*by, "reach", "y", "gy", "hy", "yy", F.explode(F.array(*map(F.expr, ways))).alias("c")).where("c.nugget >= -1e-12 AND c.sill >= -1e-12 AND c.drift >= -1e-12")
-    sse = F.expr("yy - c.nugget * y - c.sill * gy - c.drift * hy")
+    each = sums.select(*by, "reach", "bins", F.explode(F.array(*map(F.expr, ways))).alias("c")).where("c.nugget >= -1e-12 AND c.sill >= -1e-12 AND c.drift >= -1e-12")
+    # from the residuals: what is left of sums of squares hides which ranges fit equally well
+    sse = F.expr("aggregate(bins, 0D, (e, b) -> e + b.k * power(b.v - c.nugget - c.sill * b.s - c.drift * b.l, 2))")
     fits = each.select(*by, "reach", "c.way", *(F.greatest(F.col(f"c.{p}"), F.lit(0.0)).alias(p) for p in ("nugget", "sill", "drift")), sse.alias("sse"))
     best = fits.groupBy(*by).agg(F.min_by(F.struct("reach", "nugget", "sill", "drift", "sse"), F.struct(F.round("sse", 9), "reach", "way")).alias("b")).select(*by, "b.*")
     share = F.try_divide(F.col("sill"), F.col("nugget") + F.col("sill") + F.col("drift") * F.col("reach"))

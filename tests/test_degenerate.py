@@ -2,7 +2,9 @@
 
 import math
 
-from geoaudit.operators import cluster, reporttables
+import numpy as np
+
+from geoaudit.operators import cluster, reporttables, variogram
 from geoaudit.plans import reporting
 
 
@@ -59,3 +61,19 @@ def test_pairwise_agreement_of_single_classes(spark):
     assert {(r.i, r.j): r.ari for r in cluster.pairwise_agreement(x, ["id"], "run", "label").collect()}[0, 1] == 1
     single = cluster.pairwise_agreement(x.where("id = 0"), ["id"], "run", "label", trivial=math.nan).collect()
     assert len(single) == 3 and all(math.isnan(r.ari) for r in single)
+
+
+def test_ranges_that_fit_equally_well_give_the_least(spark):
+    # from the last lag on every range spans the same curves, below the second one only the first bin counts
+    lags, rows = [1.2, 2.1, 3.0, 4.1, 5.0], []
+    for seed in range(12):
+        r = np.random.default_rng(seed)
+        shape = [1.5 * h / 6 - 0.5 * (h / 6) ** 3 for h in lags]
+        rows += [(f"far{seed}", 10**6 + 7 * i, h, 0.3 + 0.5 * s + 0.02 * h) for i, (h, s) in enumerate(zip(lags, shape, strict=True))]
+        rows += [(f"near{seed}", 10**6 + 7 * i, h, (0.88 if i == 0 else 0.9) + r.normal(0, 1e-4)) for i, h in enumerate(lags)]
+    b = spark.createDataFrame(rows, "layer string, n long, lag double, gamma double")
+    got = {x.layer: x.reach for x in variogram.fit_drift(b, [1.5, 1.75, 2.0, 5.0, 5.25, 5.5, 6.0], 5.0, ["layer"]).collect()}
+    assert got == {f"far{s}": 5.0 for s in range(12)} | {f"near{s}": 1.5 for s in range(12)}
+    # falling semivariances leave the nugget alone, whatever the range
+    falling = spark.createDataFrame([(i + 1, 10**6 + 7 * i, h, 0.5 - 0.0317 * h) for i, h in enumerate(lags)], "bin long, n long, lag double, gamma double")
+    assert variogram.fit(falling, [2.0, 3.0, 4.0]).first().reach == 2.0
