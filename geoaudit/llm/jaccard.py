@@ -65,6 +65,8 @@ FAN = 8
 #: Open prefixes that a shingle may be in before shingles are counted exactly; how many are then put last at most.
 HEAVY = 4 * BLOCK
 LISTED = 1 << 21
+#: Links from which on one task finishes the components: rounds of jobs over so few cost the driver more than they save.
+FEW = 1 << 16
 #: Counters of the sketch of shingle frequencies, and how many travel together.
 SKETCH = 1 << 24
 SKETCH_PART = 1 << 18
@@ -522,7 +524,7 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     seated = seats.join(docs, F.col("rep") == F.col("id")).select("key", "block", "id", "text")
     blocks = seated.repartition("key", "block").sortWithinPartitions("key", "block")
     near = materialise(near_in_blocks(blocks, k, percent), "near")
-    comps = materialise(components(near), "components")
+    comps = materialise(components(near, few=FEW), "components")
 
     # step 3: prefixes whose classes are not all connected yet
     owners = reps.select(F.col("fp_a").alias("fp"), F.col("rep").alias("id"), "n")
@@ -561,7 +563,7 @@ def join_near(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5,
     pairs = materialise(promising(near_enough, reps, percent), "pairs")
     late = materialise(verified(pairs, docs, k, percent), "links")
 
-    found = components(same.union(near).union(late))
+    found = components(same.union(near).union(late), few=FEW)
     for used in (tokens, pairs):
         dematerialise(used)
     out = rows.join(found, F.col("id") == F.col("node"), "left")

@@ -11,6 +11,8 @@ shared folder, and nothing but two numbers reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ def _at_once(edges: DataFrame) -> DataFrame:
     """The stars of few edges, by one task."""
     node = edges.schema["a"].dataType.simpleString()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         root: dict = {}
 
         def find(x):
@@ -40,13 +42,14 @@ def _at_once(edges: DataFrame) -> DataFrame:
                 x = root[x]
             return x
 
-        for x, y in zip(g["a"], g["b"], strict=True):
-            x, y = find(x), find(y)
-            root[max(x, y)] = min(x, y)
+        for g in parts:
+            for x, y in zip(g["a"], g["b"], strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
         found = [(x, find(x)) for x in list(root)]
-        return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"])
+        yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"])
 
-    return edges.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"a {node}, b {node}")
+    return edges.coalesce(1).mapInPandas(run, f"a {node}, b {node}")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:

@@ -13,3 +13,14 @@ def test_runs_of_crowded_windows(spark, capsys):
     assert runs == {(1, 1): [(0, 3), (5, 1), (7, 2)], (1, 2): [(0, 3), (9, 1)], (1, 3): [(4, 1)], (2, 4): [(0, 3), (5, 1), (7, 2)]}
     got.explain()
     assert "Generate" not in capsys.readouterr().out
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    from geoaudit.operators import components as C
+
+    links = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (900, 900)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    want = {i: 0 for i in range(201)} | {500: 500, 501: 500, 900: 900}
+    calls = []
+    monkeypatch.setattr(C, "_hang", lambda *a: calls.append(a))
+    assert {r.node: r.component for r in C.components(df, few=1000).collect()} == want and not calls
