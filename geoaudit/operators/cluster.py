@@ -28,11 +28,14 @@ def signatures(df: DataFrame, cluster: str, values: list[str], k: int) -> DataFr
     return out.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy()))  # k rows
 
 
-def z_signatures(df: DataFrame, cluster: str, values: list[str]) -> DataFrame:
-    """Cluster means as z-scores of the whole table's moments."""
-    whole = df.agg(*(f(v).alias(f"__{v}{n}") for v in values for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))
-    means = df.groupBy(cluster).agg(*(F.avg(v).alias(v) for v in values))
-    return means.crossJoin(F.broadcast(whole)).select(cluster, *(((F.col(v) - F.col(f"__{v}m")) / (F.col(f"__{v}s") + 1e-9)).alias(v) for v in values))
+def z_signatures(df: DataFrame, cluster: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """Cluster means as z-scores of the whole table's moments, or of those of each group ``by``."""
+    by = by or []
+    moments = [f(v).alias(f"__{v}{n}") for v in values for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]
+    means = df.groupBy(*by, cluster).agg(*(F.avg(v).alias(v) for v in values))
+    whole = F.broadcast(df.groupBy(*by).agg(*moments) if by else df.agg(*moments))
+    both = means.join(whole, by) if by else means.crossJoin(whole)
+    return both.select(*by, cluster, *(((F.col(v) - F.col(f"__{v}m")) / (F.col(f"__{v}s") + 1e-9)).alias(v) for v in values))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

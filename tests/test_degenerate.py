@@ -77,3 +77,11 @@ def test_ranges_that_fit_equally_well_give_the_least(spark):
     # falling semivariances leave the nugget alone, whatever the range
     falling = spark.createDataFrame([(i + 1, 10**6 + 7 * i, h, 0.5 - 0.0317 * h) for i, h in enumerate(lags)], "bin long, n long, lag double, gamma double")
     assert variogram.fit(falling, [2.0, 3.0, 4.0]).first().reach == 2.0
+
+
+def test_signatures_of_groups_are_scored_by_their_own_moments(spark):
+    x = spark.createDataFrame([(g, c, float(g * 10 + c * c)) for g in range(3) for c in range(3)] + [(7, 1, 5.0)], "g int, c int, q double")
+    got = {(r.g, r.c): r.q for r in cluster.z_signatures(x, "c", ["q"], ["g"]).collect()}
+    for g in (0, 1, 2, 7):
+        assert {c: v for (k, c), v in got.items() if k == g} == {r.c: r.q for r in cluster.z_signatures(x.where(f"g = {g}"), "c", ["q"]).collect()}
+    assert len(got) == 10
