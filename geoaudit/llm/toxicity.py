@@ -212,11 +212,29 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     sizes = made.groupBy("place").agg(F.sum("size").alias("n")).orderBy("place").toArrow()
     reach = np.cumsum(sizes.column("n").to_numpy()) if sizes.num_rows else np.zeros(0)
     last = sizes.column("place")[int(max(0, np.searchsorted(reach, most_terms, "right") - 1))].as_py() if sizes.num_rows else 0
-    machine = fit(made.where(F.col("place") <= last).orderBy("place", "y", "size").toArrow())
+    machine = fitted(made.where(F.col("place") <= last))
     dematerialise(made)
     return machine
 
 
+def fitted(terms: DataFrame) -> Machine:
+    """:func:`fit` of a bounded sample, in a task of its own: the driver gets the machine, never the terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            m = fit(pa.Table.from_batches(held))
+            columns = [pa.array([m.bias]), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.factors.ravel()], pa.list_(pa.float64())), pa.array([m.index], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bias", "weights", "factors", "index"])
+
+    sample = terms.repartition(1).sortWithinPartitions("place", "y", "size").select("y", "buckets")
+    one = sample.mapInArrow(run, "bias double, weights array<double>, factors array<double>, index array<int>").toArrow()
+    if not one.num_rows:
+        return fit(pa.table({"y": pa.array([], pa.int32()), "buckets": pa.array([], pa.list_(pa.int32()))}))
+    bias, (weights, factors, index) = one.column("bias")[0].as_py(), (one.column(c).combine_chunks().flatten().to_numpy() for c in ("weights", "factors", "index"))
+    return Machine(bias, weights, factors.reshape(-1, FACTORS), index)
+
+
 def score(df: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row."""
     shared = df.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers and as many factors at most

@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from geoaudit.llm import decontaminate as dec
@@ -409,3 +410,18 @@ def test_archive(spark):
     assert none.count() == 0 and warc.read_captures(df, folder, none).count() == 0
     small = warc.read_captures(df, folder, warc.write_archive(df, folder, least=100))
     assert small.where("record_type = 'revisit'").agg(F.min("payload_bytes")).first()[0] == 6000
+
+
+def test_machine_is_not_fitted_on_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, "good day" if d % 2 else "bad night") for d in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, toxic int")
+
+    fit = toxicity.fit
+
+    def watched(sample):
+        assert TaskContext.get() is not None, "the driver got the sample's terms"
+        return fit(sample)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    machine = toxicity.learn(docs, labels)
+    assert [r.predicted for r in toxicity.score(docs, machine).orderBy("doc_id").collect()] == [d % 2 for d in range(40)]
