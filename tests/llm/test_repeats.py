@@ -96,6 +96,17 @@ def test_suffixes_and_factors_are_those_of_plain_loops():
         assert later.tolist() == [max(same[text[p : p + length]]) > place[p] for p in at.tolist()]
 
 
+def test_only_suffixes_with_a_partner_are_put_in_order():
+    data = np.frombuffer(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(200)) + hashlib.sha256(b"7").digest() * 2, np.uint8)
+    at = np.arange(len(data) - 39)
+    text = data.tobytes()
+    twice = [p for p in at.tolist() if text.count(text[p : p + 24]) > 1]
+    assert R.alike(data, at, 24).tolist() == twice
+    order, _ = R.suffix_order(data, at, 24)
+    assert sorted(order.tolist()) == twice
+    assert R.suffix_order(data, at[:0], 24)[0].tolist() == []
+
+
 def test_previous_smaller_places():
     random.seed(5)
     values = np.array([random.randrange(50) for _ in range(500)])
