@@ -1,6 +1,11 @@
 """Runs of crowded segments are found within a segment's row: no window is dealt out again for them."""
 
+import random
+
+import pytest
+
 from geoaudit.llm import repeats as R
+from tests.llm.test_repeats import run, texts, wanted
 
 
 def test_runs_of_crowded_windows(spark, capsys):
@@ -24,3 +29,24 @@ def test_few_links_take_no_rounds(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(C, "_hang", lambda *a: calls.append(a))
     assert {r.node: r.component for r in C.components(df, few=1000).collect()} == want and not calls
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_blocks_of_crowded_windows_are_those_of_plain_loops(spark, monkeypatch, keep):
+    monkeypatch.setattr(R, "CROWD", 1)
+    monkeypatch.setattr(R, "BLOCKS", (16, 4))
+    rows = list(enumerate(texts(6, 80, "ab c")))
+    random.shuffle(rows)
+    assert run(spark, rows, length=40, gram=9, keep=keep) == wanted(rows, length=40, keep=keep)
+
+
+def test_a_common_passage_is_not_counted_window_by_window(spark, monkeypatch):
+    random.seed(8)
+    make = lambda n: "".join(random.choices("abcdefgh", k=n))
+    passage, n = make(700), 60
+    rows = [(i, make(500) + passage + make(500)) for i in range(n)]
+    monkeypatch.setattr(R, "CROWD", 8)
+    counted, plain = [], R._crowds
+    monkeypatch.setattr(R, "_crowds", lambda windows, first: counted.append(windows.count()) or plain(windows, first))
+    assert run(spark, rows, length=400) == wanted(rows, length=400)
+    assert 0 < sum(counted) <= 64 * n  # of 301 windows of every text
