@@ -7,7 +7,8 @@ The forest grows by Boruvka rounds.  A component takes the least edge out of the
 neighbour lists of its points; the edge is proven if no point of the component has a
 list that ends before it.  Only when too few components have proven edges are vectors
 compared again: then points whose lists end too early look among the cells that pivots
-do not prove to be farther than the component's best edge so far.
+do not prove to be farther than the component's best edge so far; the largest component
+never looks, since its least edge to another one is found from there.
 
 The hierarchy comes from the forest by halving: the lighter half of a problem's edges
 makes components, which are problems of their own, and in the heavier half each of
@@ -39,7 +40,7 @@ from geoaudit.session import materialise
 
 #: Neighbours in a list at least, and edges that one task may solve.
 NEIGHBOURS = 8
-LOCAL = 4096
+LOCAL = 1 << 15
 LEAST = 1e-9
 
 _EDGE = "w double, a long, b long"
@@ -103,15 +104,15 @@ def _to_pivots(dressed: DataFrame, cells: pivots.Cells, state: DataFrame) -> Dat
     return one.union(one.select("cb", "ca", "w", "b", "a"))
 
 
-def _searched(cells: pivots.Cells, state: DataFrame, best: DataFrame) -> DataFrame:
-    """Candidates of the components without a proven edge, their least edges among them.
+def _searched(cells: pivots.Cells, state: DataFrame, best: DataFrame, largest: int) -> DataFrame:
+    """Candidates of the components without a proven edge (but for the largest), their least edges among them.
 
     ``best`` has ``ca, w, proven`` of the components that have an edge from a list.
     """
     dressed = materialise(_dressed(cells, state), "dressed")
     far = materialise(_to_pivots(dressed, cells, state), "far")
     goal = far.select("ca", "w").union(best.select("ca", "w")).groupBy("ca").agg(F.min("w").alias("goal"))
-    goal = goal.join(best.where("proven").select("ca"), "ca", "left_anti")
+    goal = goal.where(F.col("ca") != largest).join(best.where("proven").select("ca"), "ca", "left_anti")
     held = dressed.select("cell", F.explode(F.array_distinct("comp")).alias("ca")).join(goal, "ca").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("ca", "goal"))).alias("goals"))
     cut = F.transform(F.arrays_zip("comp", "radius"), lambda s: F.when(s["radius"] < F.col("goals")[s["comp"]], F.col("goals")[s["comp"]]).otherwise(F.lit(-1.0)))
     asking = dressed.join(held, "cell").withColumn("cut", F.transform(cut, lambda x: F.coalesce(x, F.lit(-1.0)))).withColumn("reach", F.array_max("cut")).where("reach >= 0").drop("goals")
@@ -154,23 +155,24 @@ def forest(cells: pivots.Cells, samples: int) -> tuple[DataFrame, DataFrame]:
         of = lambda c: state.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))  # noqa: B023, E731
         out = both.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("ca", "cb", "w", "a", "b")
         edge = F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "cb").alias("e")
-        bound = state.groupBy("comp").agg(F.min("radius").alias("bound")).withColumnRenamed("comp", "ca")
-        best = bound.join(out.groupBy("ca").agg(F.min(edge).alias("e")), "ca", "left").select("ca", F.col("e.w").alias("w"), (F.col("e.w") <= F.col("bound")).alias("proven"), "e")
+        bound = state.groupBy("comp").agg(F.min("radius").alias("bound"), F.count(F.lit(1)).alias("n")).withColumnRenamed("comp", "ca")
+        best = bound.join(out.groupBy("ca").agg(F.min(edge).alias("e")), "ca", "left").select("ca", F.col("e.w").alias("w"), (F.col("e.w") <= F.col("bound")).alias("proven"), "e", "n")
         best = materialise(best.withColumn("proven", F.coalesce("proven", F.lit(False))), "best")
-        every, sure = best.agg(F.count(F.lit(1)), F.count_if("proven")).first()
+        every, sure, most = best.agg(F.count(F.lit(1)), F.count_if("proven"), F.max(F.struct("n", "ca"))).first()
         if every <= 1:
             break
         chosen = best.where("proven").select("ca", "e")
         if 4 * sure < every:
-            found = _searched(cells, state, best.where("w IS NOT NULL")).union(out)
-            unsure = best.where("NOT proven").select("ca")
+            # the largest one, with most of the points, can wait: an edge that joins it is also the other component's
+            found = _searched(cells, state, best.where("w IS NOT NULL"), most.ca).union(out)
+            unsure = best.where(~F.col("proven") & (F.col("ca") != most.ca)).select("ca")
             chosen = chosen.union(found.join(unsure, "ca").groupBy("ca").agg(F.min(edge).alias("e")))
         chosen = materialise(chosen.select("ca", "e.cb", "e.w", F.col("e.lo").alias("a"), F.col("e.hi").alias("b")), "chosen")
         if chosen.isEmpty():
             break  # vectors of other lengths are no neighbours
         new = chosen.select("a", "b", "w").distinct()
         tree = new if tree is None else tree.union(new)
-        merged = components(chosen, "ca", "cb", 4 * LOCAL).withColumnsRenamed({"node": "comp", "component": "to"})
+        merged = components(chosen, "ca", "cb", 2 * LOCAL).withColumnsRenamed({"node": "comp", "component": "to"})
         state = state.join(merged, "comp", "left").select("id", "core", "radius", F.coalesce("to", "comp").alias("comp"))
     tree = tree if tree is not None else listed.limit(0).select("a", "b", "w")
     return tree.distinct(), state.select("id", "comp")
@@ -274,7 +276,7 @@ def hierarchy(tree: DataFrame, comps: DataFrame, least: int) -> tuple[DataFrame,
         open_ = edges.join(about.where("how = 'split'").select("p", "t", "hi"), "p")
         below = open_.where("w < hi").groupBy("p").agg(F.max("w").alias("below"))
         open_ = materialise(open_.join(below, "p").select("p", "u", "v", "w", F.least("t", "below").alias("t")), "open")
-        part = components(open_.where("w <= t"), "u", "v", 4 * LOCAL).select(F.col("node").alias("u"), F.concat(F.lit(f"k{turn}|"), "component").alias("k"))
+        part = components(open_.where("w <= t"), "u", "v", 2 * LOCAL).select(F.col("node").alias("u"), F.concat(F.lit(f"k{turn}|"), "component").alias("k"))
         placed = materialise(pick(nodes, "split").join(part, "u", "left"), "placed")
         sums = placed.where("k IS NOT NULL").groupBy("p", "k").agg(F.sum("size").alias("size"))
         big = sums.where(F.col("size") >= least).select("k")

@@ -137,3 +137,26 @@ def test_odd_tables(spark):
     assert set(got) == {1, 2, 3}  # a single root is never a cluster
     assert got[3] == -1
     assert density.cluster(spark.createDataFrame([], "id long, v array<double>"), 2, 2).count() == 0
+
+
+def test_the_largest_component_never_looks(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CELL", 16)
+    monkeypatch.setattr(pivots, "PACK", 32)
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((120, 2)), r.standard_normal((20, 2)) + 60, r.standard_normal((16, 2)) - 90])
+    asked, largest, met, searched = [], [], pivots.met, density._searched
+
+    def search(cells, state, *rest):
+        largest.append(state.groupBy("comp").count().orderBy("count", "comp", ascending=False).first().comp)
+        return searched(cells, state, *rest)
+
+    def meet(asking, *rest):
+        if "cut" in asking.columns:
+            asked.append({c for row in asking.collect() for c, cut in zip(row.comp, row.cut, strict=True) if cut >= 0})
+        return met(asking, *rest)
+
+    monkeypatch.setattr(density, "_searched", search)
+    monkeypatch.setattr(pivots, "met", meet)
+    got = {r.id: r.label for r in density.cluster(table(spark, x), 10, 5).collect()}
+    assert [got[i] for i in range(len(x))] == plain(x, 10, 5)
+    assert any(asked) and not any(c in a for c, a in zip(largest, asked, strict=True))
